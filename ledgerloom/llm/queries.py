@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup_digest
+from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .shared import table
 from .token_counts import token_counts
+from .toxicity import toxicity
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -27,6 +29,14 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), similarity=0.85).drop("row_key")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -35,7 +45,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op4_exact_dedup, op9_token_counts, op10_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op4_exact_dedup, op5_toxicity, op7_minhash_near_dedup, op9_token_counts, op10_line_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": r"""
