@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup_digest
+from .lm_scoring import lm_scores
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .shared import table
@@ -33,6 +34,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), similarity=0.85).drop("row_key")
 
@@ -45,7 +50,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op4_exact_dedup, op5_toxicity, op7_minhash_near_dedup, op9_token_counts, op10_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op4_exact_dedup, op5_toxicity, op6_lm_scoring, op7_minhash_near_dedup, op9_token_counts, op10_line_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": r"""

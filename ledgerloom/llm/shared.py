@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,3 +40,15 @@ def parts(spark: SparkSession) -> int:
 def held(modulus: int) -> Column:
     """crc32(doc_id as text) mod ``modulus`` is 2; a null doc_id is never held out."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == 2, F.lit(False))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Like ``stored``, as a compressed Parquet table in the same shared folder; it goes when the application ends."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "ledgerloom-checkpoints")
+    path = f"{folder.rstrip('/')}/ledgerloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
