@@ -12,6 +12,7 @@ from .lm_scoring import lm_scores
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .shared import table
+from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
 from .toxicity import toxicity
 
@@ -26,6 +27,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -50,7 +55,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op4_exact_dedup, op5_toxicity, op6_lm_scoring, op7_minhash_near_dedup, op9_token_counts, op10_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_array_dedup, op4_exact_dedup, op5_toxicity, op6_lm_scoring, op7_minhash_near_dedup, op9_token_counts, op10_line_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": r"""
