@@ -12,7 +12,6 @@ Null and empty texts are documents of the end id alone. Repeated rows are packed
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,9 +27,10 @@ from pyspark.sql import functions as F
 from .pretokens import Cutter
 from .shared import documents, stored
 from .textarrays import ragged
+from .token_counts import RankMerger
 
 #: Pieces of a shard (about), shards that meet in a later round, distinct pre-tokens a worker remembers.
-SHARD, FAN, REMEMBERED = 6000, 64, 300_000
+SHARD, FAN, REMEMBERED = 6000, 64, 600_000
 #: A shard's least filled bins under this share of the tokens are packed again in the next round, this many at most.
 LOOSE_UNDER, LOOSE_BINS = 0.92, 16
 
@@ -80,29 +80,30 @@ def best_fit(lengths: np.ndarray, cap: Capacities) -> np.ndarray:
 
 
 @lru_cache(2)
-def _tools(path: str) -> tuple[Cutter, dict[str, int], list]:
-    """Cutter, places of known pre-tokens, and [ids, starts, lengths] of these."""
-    return Cutter(path), {}, [np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+def _tools(path: str) -> tuple[Cutter, RankMerger, dict[str, int], list]:
+    """Cutter, merger, places of known pre-tokens, and [ids, starts, lengths] of these."""
+    return Cutter(path), RankMerger(path), {}, [np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)]
 
 
 def encode(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, offsets) of texts. Distinct pre-tokens are encoded by the library once and put together by index."""
-    cutter, known, store = _tools(path)
+    """(ids, offsets) of texts. Distinct pre-tokens are merged once and put together by index; the ids are the library's."""
+    cutter, merger, known, store = _tools(path)
     cut = [cutter.pieces(t) for t in texts]
     fresh = list(set().union(*cut) - known.keys()) if cut else []
     if len(known) + len(fresh) > REMEMBERED:
         known.clear()
         store[:] = [np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)]
         fresh = list(set().union(*cut))
-    if fresh:
-        coded = [[cutter.specials[w]] if w in cutter.specials else None for w in fresh]
-        plain = [k for k, c in enumerate(coded) if c is None]
-        for k, e in zip(plain, cutter.tokenizer.encode_batch_fast([fresh[k] for k in plain], add_special_tokens=False), strict=True):
-            coded[k] = e.ids
-        lengths = np.array([len(c) for c in coded], np.int64)
-        starts = len(store[0]) + np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
-        store[:] = [np.concatenate([store[0], np.array([i for c in coded for i in c], np.uint32)]), np.concatenate([store[1], starts]), np.concatenate([store[2], lengths])]
+    for k in range(0, len(fresh), 50_000):
+        part = fresh[k : k + 50_000]
+        special = [w for w in part if w in cutter.specials]
+        plain = [w for w in part if w not in cutter.specials] if special else part
+        ids, offsets = merger.merged([w.encode() for w in plain])
+        ids = np.concatenate([ids, [cutter.specials[w] for w in special]]).astype(np.uint32)
+        lengths = np.concatenate([np.diff(offsets), np.ones(len(special), np.int64)])
+        starts = len(store[0]) + np.cumsum(lengths) - lengths
+        known.update(zip(chain(plain, special), range(len(known), len(known) + len(part)), strict=True))
+        store[:] = [np.concatenate(x) for x in ((store[0], ids), (store[1], starts), (store[2], lengths))]
     get = known.__getitem__
     at = np.fromiter(map(get, chain.from_iterable(cut)), np.int64)
     lengths = store[2][at]
@@ -115,10 +116,9 @@ def pieces(docs: DataFrame, path: str, end_id: int = 1, max_tokens: int = 4096)
     """doc_id, row_key, copy_, piece, start, length, ids_crc32."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
                 ids, offsets = encode(part.column("text").to_pylist(), path)
                 rows: list[list] = [[], [], [], [], []]
                 for r in range(part.num_rows):
