@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import contaminated
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup_digest
 from .lm_scoring import lm_scores
 from .near_dedup import near_duplicates
 from .packing import pack_documents
+from .pii import pii_surrogates
 from .shared import table
 from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
@@ -31,6 +33,10 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_key")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -47,6 +53,10 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), similarity=0.85).drop("row_key")
 
 
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_surrogates(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -55,7 +65,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_array_dedup, op4_exact_dedup, op5_toxicity, op6_lm_scoring, op7_minhash_near_dedup, op9_token_counts, op10_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_array_dedup, op3_benchmark_decontamination, op4_exact_dedup, op5_toxicity, op6_lm_scoring, op7_minhash_near_dedup, op8_pii_surrogates, op9_token_counts, op10_line_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": r"""
