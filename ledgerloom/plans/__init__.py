@@ -1,0 +1 @@
+"""Plans: the query catalogue and the runtime of JSON plans."""
