@@ -8,9 +8,9 @@ from its own set, so trees cost one pass over the texts.
 1. Documents of equal sets form a class; only the smallest id of a class goes on.
 2. At the nodes of depth ``SHALLOW`` every member is compared with the node's smallest id (a number of pairs
    linear in the node), and the links found give first components.
-3. The rest of each node is compared exhaustively, but for pairs that already share a component: members
-   outside the node's largest component against all members. Nodes above ``LARGE`` branch on to depth
-   ``DEEP`` before that, and so does each tree.
+3. Members outside their node's largest component are compared with ``PROBES`` members of it by hash, and
+   what is still apart then exhaustively, in blocks: members outside the largest component against all.
+   Nodes above ``LARGE`` branch on to depth ``DEEP`` before that, and so does each tree.
 4. Candidates are confirmed on the full shingle sets of the whole texts, and components follow from all
    links by star contraction.
 
@@ -30,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import documents, stored
+from .shared import documents, stored, written
 from .textarrays import Words, mix, slices, text_buffers
 
-SHALLOW, DEEP, LARGE = 3, 6, 256
+SHALLOW, DEEP, LARGE, PROBES, BLOCK = 3, 5, 4096, 4, 256
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -83,8 +83,16 @@ def shingle_table(docs: DataFrame, trees: int, width: int = 5) -> DataFrame:
     return documents(docs).select("doc_id", "row_key", "text").mapInArrow(work, "doc_id long, row_key long, n_shingles long, s1 long, s2 long, shallow array<long>, deep array<long>")
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, classes: DataFrame, similarity: float, width: int) -> DataFrame:
-    """pairs (a, b) of class representatives whose full sets are similar enough."""
+def _candidate_texts(docs: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFrame:
+    """doc_id, text of the representatives that share a node with another."""
+    wanted = nodes.select(F.col("rep").alias("id")).distinct().join(classes.select(F.col("rep").alias("id"), F.col("row_key").alias("key")), "id")
+    rows = documents(docs).select("doc_id", "row_key", "text")
+    met = rows.join(wanted, (rows.doc_id == wanted.id) & (rows.row_key == wanted.key), "left_semi")
+    return written(met.select("doc_id", "text").dropDuplicates(["doc_id"]))
+
+
+def _confirmed(texts: DataFrame, pairs: DataFrame, similarity: float, width: int) -> DataFrame:
+    """pairs (a, b) of representatives whose full sets are similar enough."""
     percent = round(similarity * 100)
 
     def sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -110,11 +118,6 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, classes: DataFrame, similarity
                 union = np.bincount(ra, minlength=n) + np.bincount(rb, minlength=n) - common
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array((100 * common >= percent * union) & (union > 0)))
 
-    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = ends.join(classes.select(F.col("rep").alias("id"), "row_key"), "id")
-    rows = documents(docs).select("doc_id", "row_key", "text")
-    wanted = wanted.withColumnRenamed("row_key", "key")
-    texts = stored(rows.join(wanted, (rows.doc_id == wanted.id) & (rows.row_key == wanted.key), "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]))
     b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     return stored(pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(test, "a long, b long"))
@@ -130,31 +133,110 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, re
     nodes = classes.select("rep", "n_shingles", zipped).select("rep", F.col("n_shingles").alias("n"), F.col("k.shallow").alias("node"), F.col("k.deep").alias("deep"))
     heads = stored(nodes.groupBy("node").agg(F.min(F.struct("rep", "n")).alias("h"), F.count("*").alias("members")).where("members > 1").select("node", F.col("h.rep").alias("pivot"), F.col("h.n").alias("pivot_n"), "members"))
     ratio = F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * round(similarity * 100)
-    spokes = nodes.join(heads, "node")
-    first = spokes.where((F.col("rep") != F.col("pivot")) & ratio).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    links = _confirmed(docs, stored(first), classes, similarity, width)
+    spokes = written(nodes.join(heads, "node"))
+    texts = _candidate_texts(docs, spokes, classes)
+    tried = stored(spokes.where((F.col("rep") != F.col("pivot")) & ratio).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
+    links = _confirmed(texts, tried, similarity, width)
     comp = stored(components(links))
-    rest = stored(_rest(spokes, comp, similarity).join(first, ["a", "b"], "left_anti"))
-    if rest.head(1):
-        comp = stored(components(links.unionByName(_confirmed(docs, rest, classes, similarity, width))))
+    more = stored(_probes(spokes, comp, similarity).join(tried, ["a", "b"], "left_anti"))
+    if more.head(1):
+        links = links.unionByName(_confirmed(texts, more, similarity, width))
+        comp = stored(components(links))
+    found = stored(_blocks(spokes, comp, texts, similarity, width))
+    if found.head(1):
+        comp = stored(components(links.unionByName(found)))
     named = classes.join(comp, classes.rep == comp.id, "left").select("s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = table.select("doc_id", "row_key", "n_shingles", "s1", "s2").join(named, ["s1", "s2", "n_shingles"], "left")
     own = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "row_key", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
-def _rest(spokes: DataFrame, comp: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of a node that the first round left apart: members outside its largest component against all members."""
+def _mixed(spokes: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (node, rep, n, comp), and the nodes of several components: main (the largest), its probes, n_left, n_all."""
     key = F.when(F.col("members") > LARGE, F.col("deep")).otherwise(F.col("node"))
     at = spokes.join(comp, spokes.rep == comp.id, "left").select(key.alias("node"), "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    sizes = at.groupBy("node", "comp").agg(F.count("*").alias("size"))
-    mixed = sizes.groupBy("node").agg(F.max(F.struct("size", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("node", F.col("top.comp").alias("main"))
-    members = at.join(mixed, "node")
-    left = members.where(F.col("comp") != F.col("main")).select("node", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-    right = members.select("node", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"), "main")
+    probes = [F.min(F.struct(F.xxhash64("rep", "node", F.lit(k)), F.col("rep"), F.col("n"))).alias(f"probe{k}") for k in range(PROBES)]
+    sizes = at.groupBy("node", "comp").agg(F.count("*").alias("size"), *probes)
+    top = F.max(F.struct("size", "comp", F.array(*(f"probe{k}" for k in range(PROBES))).alias("probes"))).alias("top")
+    mixed = sizes.groupBy("node").agg(top, F.sum("size").alias("n_all"), F.count("*").alias("comps")).where("comps > 1")
+    return at, mixed.select("node", F.col("top.comp").alias("main"), F.col("top.probes").alias("probes"), (F.col("n_all") - F.col("top.size")).alias("n_left"), "n_all")
+
+
+def _probes(spokes: DataFrame, comp: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of members outside their node's largest component with ``PROBES`` members of it."""
+    at, mixed = _mixed(spokes, comp)
+    left = at.join(mixed, "node").where(F.col("comp") != F.col("main")).select(F.col("rep").alias("x"), F.col("n").alias("nx"), F.explode(F.array_distinct("probes")).alias("p"))
+    met = left.select("x", "nx", F.col("p.rep").alias("y"), F.col("p.n").alias("ny"))
     close = F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * round(similarity * 100)
-    met = left.join(right, "node").where((F.col("cx") != F.col("cy")) & close & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return met.where(close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _blocks(spokes: DataFrame, comp: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
+    """Links (a, b) that join components, by comparing all members outside a node's largest component with all its members.
+
+    Both sides come in blocks of ``BLOCK``, each pair of blocks is one product of incidence matrices, and only a
+    spanning set of its links is returned, so that nothing grows with the number of pairs.
+    """
+    at, mixed = _mixed(spokes, comp)
+    percent = round(similarity * 100)
+    cuts = mixed.select("node", "main", F.ceil(F.col("n_left") / BLOCK).cast("int").alias("cut_l"), F.ceil(F.col("n_all") / BLOCK).cast("int").alias("cut_r"))
+    members = at.join(cuts, "node")
+    own_l, own_r = F.pmod(F.xxhash64("rep"), F.col("cut_l")).cast("int"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("cut_r")).cast("int")
+    left = members.where(F.col("comp") != F.col("main")).select("node", own_l.alias("lb"), F.explode(F.sequence(F.lit(0), F.col("cut_r") - 1)).alias("rb"), F.lit(0).alias("side"), "rep", "comp")
+    right = members.select("node", F.explode(F.sequence(F.lit(0), F.col("cut_l") - 1)).alias("lb"), own_r.alias("rb"), F.lit(1).alias("side"), "rep", "comp")
+
+    def joined(t: pa.Table) -> pa.RecordBatch:
+        side, rep, parts = t.column("side").to_numpy(), t.column("rep").to_numpy(), t.column("comp").to_numpy()
+        data, offsets = text_buffers(t.column("text"))
+        row, token = (np.concatenate(x) for x in zip(*((r + lo, k) for lo, hi in slices(offsets) for r, k in (Words(data, offsets, lo, hi).shingles(width),)), strict=True))
+        size = np.bincount(row, minlength=len(side))
+        _, place, often = np.unique(token, return_inverse=True, return_counts=True)
+        keep = often[place] > 1  # tokens of one text only count for its size
+        row, place = row[keep], np.unique(place[keep], return_inverse=True)[1]
+        common = np.zeros((int((side == 0).sum()), int((side == 1).sum())), np.float32)
+        at_side = np.where(side == 0, np.cumsum(side == 0) - 1, np.cumsum(side == 1) - 1)
+        for lo in range(0, int(place.max(initial=-1)) + 1, 8192):
+            pick = (place >= lo) & (place < lo + 8192)
+            cell = [np.zeros((m, 8192), np.float32) for m in common.shape]
+            for s in (0, 1):
+                mine = pick & (side[row] == s)
+                cell[s][at_side[row[mine]], place[mine] - lo] = 1
+            common += cell[0] @ cell[1].T
+        l, r = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        union = size[l][:, None] + size[r][None, :] - common
+        x, y = np.nonzero((100 * common >= percent * union) & (parts[l][:, None] != parts[r][None, :]))
+        boss: dict[int, int] = {}
+
+        def find(v: int) -> int:
+            while (up := boss.get(v, v)) != v:
+                boss[v] = v = boss.get(up, up)
+            return v
+
+        out: list[tuple[int, int]] = []
+        for i, j in zip(l[x], r[y], strict=True):
+            a, b = find(parts[i]), find(parts[j])
+            if a != b:
+                boss[a] = b
+                out.append((int(rep[i]), int(rep[j])))
+        return pa.RecordBatch.from_arrays([pa.array([min(o) for o in out], pa.int64()), pa.array([max(o) for o in out], pa.int64())], ["a", "b"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = None
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("node", "lb", "rb")), strict=True))
+            start = 0
+            for i, k in enumerate(keys):
+                if k != key:
+                    if key is not None:
+                        yield joined(pa.Table.from_batches([*held, batch.slice(start, i - start)]))
+                    held, start, key = [], i, k
+            held.append(batch.slice(start))
+        if key is not None:
+            yield joined(pa.Table.from_batches(held))
+
+    both = left.unionByName(right).join(texts, F.col("rep") == F.col("doc_id")).select("node", "lb", "rb", "side", "rep", "comp", "text")
+    return both.repartition("node", "lb", "rb").sortWithinPartitions("node", "lb", "rb").mapInArrow(work, "a long, b long")
 
 
 def near_dedup(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: float = 0.9999) -> DataFrame:
