@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from .textarrays import ragged
+
 SHALLOW_WORDS = 8
 
 
@@ -74,6 +76,37 @@ def common_prefix(a: bytes, b: bytes) -> int:
     return int(x.argmax())
 
 
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as a number that sorts like them."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
+    out = np.zeros(len(data), np.uint64)
+    for k in range(8):
+        out <<= np.uint64(8)
+        out |= padded[k : k + len(data)]
+    return out
+
+
+def _pairs(data, begin, size, ahead, group, heads, members, length, out) -> None:
+    """Groups of two need no order: the runs of equal bytes on their common stretch give all common prefixes."""
+    members = members[np.argsort(group[members], kind="stable")]
+    a, b = members[::2], members[1::2]
+    before = np.minimum(ahead[a], ahead[b])
+    after = np.minimum(size[a] - ahead[a], size[b] - ahead[b])
+    n = before + after
+    from_a, from_b = ahead[a] - before, ahead[b] - before
+    same = data[ragged(begin[a] + from_a, n)] == data[ragged(begin[b] + from_b, n)]
+    # equal bytes from each place on, to the end of the pair's stretch
+    which = np.repeat(np.arange(len(n)), n)
+    ends = np.cumsum(n)
+    place = np.arange(len(same))
+    stop = np.where(same, ends[which], place)
+    stop = np.minimum.accumulate(stop[::-1])[::-1] if len(stop) else stop
+    good = np.flatnonzero(np.minimum(stop, ends[which]) - place >= length)
+    p, offset = which[good], place[good] - (ends - n)[which[good]]
+    out[heads[a[p]] + from_a[p] + offset] = True
+    out[heads[b[p]] + from_b[p] + offset] = True
+
+
 def repeated(data: np.ndarray, begin: np.ndarray, size: np.ndarray, ahead: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
     """For each window of each segment, in order: whether it repeats.
 
@@ -85,10 +118,16 @@ def repeated(data: np.ndarray, begin: np.ndarray, size: np.ndarray, ahead: np.nd
     segment = np.repeat(np.arange(len(size)), windows)
     step = np.arange(len(segment)) - heads[segment]
     start = begin[segment] + step
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    out = np.zeros(len(segment), bool)
+    members = np.bincount(group, minlength=int(group.max(initial=-1)) + 1)
+    pair = members[group] == 2
+    if pair.any():
+        _pairs(data, begin, size, ahead, group, heads, np.flatnonzero(pair), length, out)
+    words = _words(data)
     # level 0: suffixes of one group at one distance from the anchor
     cell = np.stack([group[segment], ahead[segment] - step], 1)
-    order = np.lexsort((cell[:, 1], cell[:, 0]))
+    order = np.flatnonzero(~pair[segment])
+    order = order[np.lexsort((cell[order, 1], cell[order, 0]))]
     cut = (np.diff(cell[order], axis=0) != 0).any(1)
     tie = np.concatenate([[0], np.cumsum(cut)]) if len(order) else np.zeros(0, np.int64)
     for level in range(min(SHALLOW_WORDS, length // 8)):
@@ -97,14 +136,10 @@ def repeated(data: np.ndarray, begin: np.ndarray, size: np.ndarray, ahead: np.nd
         order, tie = order[keep], tie[keep]
         if not len(order):
             break
-        at = start[order] + 8 * level
-        word = np.zeros(len(at), np.uint64)
-        for k in range(8):
-            word = word << np.uint64(8) | padded[at + k]
+        word = words[start[order] + 8 * level]
         inner = np.lexsort((word, tie))
         order, tie, word = order[inner], tie[inner], word[inner]
         tie = np.concatenate([[0], np.cumsum((tie[1:] != tie[:-1]) | (word[1:] != word[:-1]))])
-    out = np.zeros(len(segment), bool)
     if not len(order):
         return out
     bounds = np.flatnonzero(np.concatenate([[True], tie[1:] != tie[:-1], [True]]))

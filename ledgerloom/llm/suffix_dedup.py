@@ -13,8 +13,8 @@
 4. Runs of repeated windows come together by text, and each text is cut once.
 
 Texts are UTF-8 bytes; matches never cross texts. Null and short texts lose nothing. Equal texts are
-repeats of each other (of ``length`` bytes or more), rows repeated under one doc_id included; they share one
-result. An empty table gives an empty result.
+repeats of each other (of ``length`` bytes or more), rows repeated under one doc_id included; they are counted
+as whole texts, compared once, and share one result. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ from .deep_shallow import repeated
 from .shared import parts, written
 from .textarrays import _BYTE, _INV, _MULT, mix, slices, text_buffers
 
-GRAM, CROWD = 32, 256
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+GRAM, CROWD = 32, 2000
+_POWERS: dict[int, tuple[np.ndarray, ...]] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -42,6 +42,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+def _places(n: int) -> np.ndarray:
+    have = _POWERS.get(1)
+    if have is None or len(have[0]) < n:
+        have = _POWERS[1] = (np.arange(n, dtype=np.uint64),)
+    return have[0][:n]
+
+
 def _prefix(data: np.ndarray) -> np.ndarray:
     """Sums that give the hash of any stretch of bytes by one difference and one product."""
     total = np.zeros(len(data) + 1, np.uint64)
@@ -59,9 +66,11 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     if n < length:
         return tuple(np.zeros(0, np.int64) for _ in range(6))
     total = _prefix(data)
-    place = np.arange(n - GRAM + 1)
-    gram = mix((total[GRAM:] - total[:-GRAM]) * _powers(n + 1)[1][: n - GRAM + 1])
-    value = (gram & np.uint64((1 << 64) - (1 << 28))) | place.astype(np.uint64)
+    gram = (total[GRAM:] - total[:-GRAM]) * _powers(n + 1)[1][: n - GRAM + 1]
+    gram ^= gram >> np.uint64(31)
+    gram *= np.uint64(0x94D049BB133111EB)
+    value = gram & np.uint64((1 << 64) - (1 << 28))
+    value |= _places(len(value))
     for e in offsets[1:-1]:  # strings across the end of a row are none
         value[max(0, e - GRAM + 1) : e] = np.uint64((1 << 64) - 1)
     pad = -len(value) % width
@@ -70,18 +79,17 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     behind = np.minimum.accumulate(block[:, ::-1], 1)[:, ::-1].ravel()
     windows = n - length + 1
     least = np.minimum(behind[:windows], ahead[width - 1 : width - 1 + windows])
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:windows]
-    inside = np.arange(windows) + length <= offsets[row + 1]
-    anchor = (least & np.uint64((1 << 28) - 1)).astype(np.int64)
-    anchor[~inside] = -1
-    cut = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])]))
+    ends = offsets[1:-1]
+    cut = np.unique(np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1, ends, ends - length + 1]))
+    cut = cut[(cut >= 0) & (cut < windows)]
     last = np.append(cut[1:], windows) - 1
-    keep = anchor[cut] >= 0
-    first, last = cut[keep], last[keep]
-    at, r = anchor[first], row[first]
+    row = np.searchsorted(offsets, cut, "right") - 1
+    keep = cut + length <= offsets[row + 1]
+    first, last, r = cut[keep], last[keep], row[keep]
+    at = (least[first] & np.uint64((1 << 28) - 1)).astype(np.int64)
     segment = mix(_stretch(total, first, last + length) + ((at - first).astype(np.uint64) << np.uint64(32)) + (last - first).astype(np.uint64))
     base = offsets[r]
-    return r, gram[at], segment, first - base, last - base, at - base
+    return r, mix(gram[at]), segment, first - base, last - base, at - base
 
 
 def _ident(text) -> list:
@@ -99,8 +107,18 @@ FULL, MIXED, EDGE = 0, 1, 2
 
 
 def _segments(texts: DataFrame, length: int) -> DataFrame:
+    """Segments of texts; copies within a partition are left out, and those of other partitions by the sorted stream."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
+            pairs = list(zip(batch.column("t1").to_pylist(), batch.column("t2").to_pylist(), strict=True))
+            fresh = []
+            for i, pair in enumerate(pairs):
+                if pair not in seen:
+                    seen.add(pair)
+                    fresh.append(i)
+            batch = batch.take(pa.array(fresh, pa.int64()))
             data, offsets = text_buffers(batch.column("text"))
             t1, t2 = batch.column("t1").to_numpy(), batch.column("t2").to_numpy()
             for lo, hi in slices(offsets):
@@ -112,14 +130,17 @@ def _segments(texts: DataFrame, length: int) -> DataFrame:
 
 
 def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From segments in order of (key, seg): repeats (FULL), different segments of one anchor (MIXED, one of each), and
-    the first and last anchor of the partition (EDGE), whose other segments may stand in the next one."""
+    """From segments in order of (key, seg, text): repeats (FULL), different segments of one anchor (MIXED, one of each), and
+    one of each segment of the first and last anchor (EDGE), whose others may stand in the next partition."""
     names = ["key", "seg", "t1", "t2", "first", "last", "ahead"]
     carried: pa.Table | None = None
     at_start = True
 
     def told(t: pa.Table, first_edge: bool, last_edge: bool) -> pa.RecordBatch:
-        key, seg = t.column("key").to_numpy(), t.column("seg").to_numpy()
+        columns = [t.column(c).to_numpy() for c in ("key", "seg", "t1", "t2", "first")]
+        differ = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)])
+        t = t.filter(pa.array(differ))  # the same segment of a copy of the text
+        key, seg = columns[0][differ], columns[1][differ]
         new_key = np.concatenate([[True], key[1:] != key[:-1]])
         new_seg = new_key | np.concatenate([[True], seg[1:] != seg[:-1]])
         of_key, of_seg = np.cumsum(new_key) - 1, np.cumsum(new_seg) - 1
@@ -130,9 +151,9 @@ def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             edge |= of_key == 0
         if last_edge:
             edge |= of_key == of_key[-1]
-        full = ~edge & (copies > 1)
+        full = copies > 1
         mixed = ~edge & (kinds > 1) & new_seg
-        pick = [np.flatnonzero(m) for m in (full, mixed, edge)]
+        pick = [np.flatnonzero(m) for m in (full, mixed, edge & new_seg)]
         at = np.concatenate(pick)
         kind = np.repeat([FULL, MIXED, EDGE], [len(p) for p in pick]).astype(np.int32)
         out = t.take(pa.array(at))
@@ -148,7 +169,7 @@ def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if cut:
             yield from told(t.slice(0, cut), at_start, False).to_batches()
             at_start = False
-        elif carried.num_rows > 50_000:  # one anchor over several batches: leave it to the count over all partitions
+        elif carried.num_rows > 20_000:  # one anchor over several batches: leave it to the count over all partitions
             yield from told(carried, True, True).to_batches()
             carried, at_start = None, True
     if carried is not None and carried.num_rows:
@@ -162,25 +183,28 @@ def repeated_windows(docs: DataFrame, length: int = 200) -> DataFrame:
     """t1, t2, first, last: runs of window starts whose windows stand elsewhere, too."""
     texts = _texts(docs)
     n = parts(docs.sparkSession)
-    ranged = _segments(texts, length).repartitionByRange(n, "key", "seg", "t1").sortWithinPartitions("key", "seg")
+    distinct = written(texts.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max(F.octet_length("text")).alias("size")))
+    copied_texts = distinct.where(f"copies > 1 AND size >= {length}").select("t1", "t2", F.lit(0).alias("first"), (F.col("size") - length).cast("int").alias("last"))
+    ranged = _segments(texts, length).repartitionByRange(n, "key", "seg", "t1").sortWithinPartitions("key", "seg", "t1", "t2", "first")
     told = written(ranged.mapInArrow(_sorted_out, SORTED))
     columns = ["key", "seg", "t1", "t2", "first", "last", "ahead"]
-    edges = told.where(F.col("kind") == EDGE).select(*columns)
-    likes = edges.groupBy("key", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("t1", "t2", "first", "last", "ahead")).alias("one"))
+    edges = told.where(F.col("kind") == EDGE).select(*columns, "settled")
+    one = F.min(F.struct("t1", "t2", "first", "last", "ahead")).alias("one")
+    likes = edges.groupBy("key", "seg").agg(((F.count("*") > 1) | F.max("settled")).alias("settled"), one)
     kinds = likes.groupBy("key").agg(F.count("*").alias("kinds"))
-    copied = likes.where("copies > 1").select(F.col("key").alias("k"), F.col("seg").alias("s"))
-    edge_full = edges.join(copied, (edges.key == copied.k) & (edges.seg == copied.s), "left_semi")
-    edge_mixed = likes.join(kinds.where("kinds > 1"), "key").select("key", "seg", "one.*", (F.col("copies") > 1).alias("settled"), "kinds")
+    copied = likes.where("settled").select(F.col("key").alias("k"), F.col("seg").alias("s"))
+    alone = edges.where(~F.col("settled"))
+    edge_full = alone.join(copied, (alone.key == copied.k) & (alone.seg == copied.s), "left_semi")
+    edge_mixed = likes.join(kinds.where("kinds > 1"), "key").select("key", "seg", "one.*", "settled", "kinds")
     full = told.where(F.col("kind") == FULL).select("t1", "t2", "first", "last").unionByName(edge_full.select("t1", "t2", "first", "last"))
     mixed = told.where(F.col("kind") == MIXED).select(*columns, "settled", "kinds").unionByName(edge_mixed.select(*columns, "settled", "kinds"))
-    return full.unionByName(_compared(texts, mixed, length))
+    return full.unionByName(copied_texts).unionByName(_compared(texts, distinct, mixed, length))
 
 
-def _compared(texts: DataFrame, mixed: DataFrame, length: int) -> DataFrame:
+def _compared(texts: DataFrame, distinct: DataFrame, mixed: DataFrame, length: int) -> DataFrame:
     """Repeated windows of segments whose anchors have different segments; settled ones are repeats anyway and serve to compare."""
     by_text = mixed.groupBy("t1", "t2").agg(F.collect_list(F.struct("key", "first", "last", "ahead", "settled", "kinds")).alias("segs"))
-    one = texts.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"))
-    wanted = by_text.join(one, ["t1", "t2"]).withColumnsRenamed({"t1": "w1", "t2": "w2"})
+    wanted = by_text.join(distinct.select("t1", "t2", "rep"), ["t1", "t2"]).withColumnsRenamed({"t1": "w1", "t2": "w2"})
     # one row per text: of rows repeated under one doc_id, segments come twice and are told apart below
     rows = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.rep) & (texts.t1 == wanted.w1) & (texts.t2 == wanted.w2)).select("t1", "t2", "text", "segs")
     schema = "key long, t1 long, t2 long, first int, ahead int, settled boolean, bytes binary, w1 long, w2 long, at int"
