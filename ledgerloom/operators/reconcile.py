@@ -131,6 +131,7 @@ def match_amount_date(a: DataFrame, b: DataFrame, o: Options) -> DataFrame:
     tol = F.lit(str(o.tolerance)).cast(P.AMOUNT)
     ready = F.col("amt").isNotNull() & (F.col("dt").isNotNull() if o.date else F.lit(True))
     both = a.withColumn("side", F.lit("a")).unionByName(b.withColumn("side", F.lit("b")))
+    both = _kept(both)
     live, dead = both.where(ready), both.where(~ready)
     if o.tolerance > 0:  # islands of distinct amounts that lie within the tolerance of the next
         steps = live.select("amt").distinct()
@@ -147,7 +148,7 @@ def match_amount_date(a: DataFrame, b: DataFrame, o: Options) -> DataFrame:
     else:
         live = live.withColumn("island", F.xxhash64("amt"))
     sizes = live.groupBy("island").agg(F.count_if(F.col("side") == "a").alias("na"), F.count_if(F.col("side") == "b").alias("nb"))
-    live = live.join(sizes, "island")
+    live = _kept(live.join(sizes, "island"))
     lone = live.where("na = 0 OR nb = 0")
     names = ["rid", "amt", "dt", "ccy", "key", "side"]
 
@@ -211,6 +212,7 @@ def refine(buckets: DataFrame, o: Options) -> DataFrame:
     """One-sided records that pair by opposite sign, or by a usual tax rate, become value_diff; twins of matched or earlier
     one-sided records on amount and date become duplicates."""
     tol, near = (F.lit(str(v)).cast(P.AMOUNT) for v in (o.tolerance, o.rounding))
+    buckets = _kept(buckets)  # read several times below
     a = buckets.where("bucket = 'a_only' AND a_amt IS NOT NULL").select("a", "a_amt", "a_dt", "a_ccy")
     b = buckets.where("bucket = 'b_only' AND b_amt IS NOT NULL").select("b", "b_amt", "b_dt", "b_ccy")
     compatible = A.currency_relation(F.col("a_ccy"), F.col("b_ccy")) != "mismatch"
@@ -221,7 +223,7 @@ def refine(buckets: DataFrame, o: Options) -> DataFrame:
     x = a.where(F.abs("a_amt") > near).withColumn("cell", cell(F.col("a_amt")))
     y = b.select("*", F.explode(F.array(*(cell(-F.col("b_amt")) + i for i in (-1, 0, 1)))).alias("cell_b"))
     flips = x.join(y, x.cell == y.cell_b).where((F.abs(F.col("a_amt") + F.col("b_amt")) <= near) & compatible & inside).withColumn("rank", F.lit(0))
-    flips = _greedy(flips.select("a", "b", F.lit(0).alias("w")))
+    flips = _kept(_greedy(flips.select("a", "b", F.lit(0).alias("w"))))
     a2, b2 = a.join(flips, "a", "left_anti"), b.join(flips, "b", "left_anti")
     ratios = F.explode(F.array(*(F.lit(1 + float(r)) for r in A.TAX_RATES)))
     width = F.log(F.lit(1.002))
@@ -233,16 +235,18 @@ def refine(buckets: DataFrame, o: Options) -> DataFrame:
         met = net.join(gross, F.col("cell") == F.col("cell_b"))
         sides.append(met.where((F.signum("a_amt") == F.signum("b_amt")) & (F.abs(F.col("a_amt") - F.col("b_amt")) > tol) & compatible & inside & A.tax_hint(F.col("a_amt"), F.col("b_amt")).isNotNull()).select("a", "b", F.coalesce(gap, F.lit(0)).alias("w")))
     taxed = _greedy(sides[0].unionByName(sides[1]).distinct())
-    pairs = flips.unionByName(taxed)
+    pairs = _kept(flips.unionByName(taxed))
     full = pairs.join(a, "a").join(b, "b")
     diffs = _bucketed(full, F.lit("value_diff"))
     rest = buckets.join(pairs.select(F.col("a").alias("pa")), (F.col("bucket") == "a_only") & (F.col("a") == F.col("pa")), "left_anti").join(pairs.select(F.col("b").alias("pb")), (F.col("bucket") == "b_only") & (F.col("b") == F.col("pb")), "left_anti")
+    rest = _kept(rest)
     for s in "ab":
         twins = rest.where(F.col("bucket").isin("matched", f"{s}_only") & F.col(f"{s}_amt").isNotNull())
         order = Window.partitionBy(f"{s}_amt", f"{s}_dt").orderBy((F.col("bucket") != "matched").cast("int"), s)
         again = twins.select("bucket", F.col(s).alias("t"), F.row_number().over(order).alias("nth")).where(f"bucket = '{s}_only' AND nth > 1").select("t")
         hit = again.withColumn("hit", F.lit(True))
         rest = rest.join(hit, (rest.bucket == f"{s}_only") & (rest[s] == hit.t), "left").withColumn("bucket", F.when(F.col("hit"), f"dup_{s}").otherwise(F.col("bucket"))).drop("t", "hit")
+        rest = _kept(rest)
     return rest.select(*_COLUMNS).unionByName(diffs)
 
 
@@ -261,7 +265,7 @@ def _greedy(edges: DataFrame) -> DataFrame:
                     out.append((int(a), b))
             return pd.DataFrame(out, columns=["a", "b"])
 
-        return edges.groupBy(F.lit(0)).applyInPandas(choose, "a long, b long")
+        return edges.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(choose, "a long, b long")
     taken, left = None, edges
     for _ in range(50):
         best = left.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy("w", "b"))).where("n = 1")
