@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import documents
+from .shared import documents, stored
 
 WINDOW, LITERALS, LEAST = 8, 5, 12
 #: Rows of benchmark windows up to which they are broadcast; beyond it both sides are shuffled.
@@ -97,6 +97,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> D
         items = F.broadcast(items)
     own = windows(documents(docs).select("doc_id", "row_key", "text"), "doc_id", "row_key")
     met = own.join(items, own.w == items.item_w).select("doc_id", "row_key", "item_id", "item_tokens", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), "words", "item_words", "is_slot").distinct()
+    met = stored(met)  # matches only; read twice below
     pairs = met.where(F.col("words").isNotNull()).select("doc_id", "row_key", "item_id", "shift", F.explode(F.filter(F.arrays_zip("words", "item_words", "is_slot"), lambda z: z["is_slot"])).alias("z")).select("doc_id", "row_key", "item_id", "shift", F.col("z.item_words").alias("mine"), F.col("z.words").alias("theirs")).distinct()
     line = ["doc_id", "row_key", "item_id", "shift"]
     slots = pairs.groupBy(*line).agg(F.count("*").alias("n_slots"), F.count_distinct("mine").alias("n_mine"), F.count_distinct("theirs").alias("n_theirs"))
