@@ -35,12 +35,12 @@ TRIAGE = {
     "currency_unknown": ("amounts tie but a currency is unknown", "establish the currency and run again", "confirm"),
     "parse_error": ("a matched item has no readable amount", "fix the source value and run again", "correct"),
 }
-#: Column names and windows of usual reconciliations.
+# Labels, modes and columns of usual reconciliations.
 PRESETS = {
-    "bank": {"mode": "amount_date", "amount": "amount", "date": "date", "date_window_days": 5, "tolerance": 0.01},
-    "ap_ledger": {"mode": "key", "key": "invoice_no", "amount": "amount", "date": "date", "tolerance": 0.01},
-    "intercompany": {"mode": "key", "key": "reference", "amount": "amount", "currency": "currency", "tolerance": 0.01},
-    "payroll": {"mode": "key", "key": "employee_id", "amount": "net_pay", "tolerance": 0.01},
+    "invoice_tracker_vs_ledger": {"a_label": "Tracker", "b_label": "Ledger", "mode": "key", "key": "invoice_no", "amount": "amount", "date": "date"},
+    "bank_vs_ledger": {"a_label": "Bank", "b_label": "Cashbook", "mode": "amount_date", "amount": "amount", "date": "date"},
+    "fa_vs_internal": {"a_label": "FA", "b_label": "Internal", "mode": "key", "key": "ref", "amount": "amount", "date": "date"},
+    "payments_vs_bank": {"a_label": "Approved", "b_label": "Bank", "mode": "key", "key": "payment_ref", "amount": "amount", "date": "date"},
 }
 
 
@@ -314,16 +314,27 @@ def triage(buckets: DataFrame, o: Options) -> DataFrame:
     return out.orderBy(order, F.desc(F.abs(F.coalesce("magnitude", F.lit(0)))), "a", "b")
 
 
-def summarise(buckets: DataFrame, exceptions: DataFrame) -> dict[str, object]:
-    """Counts by bucket and category, share reconciled, a RAG status, and a warning where equal amounts should have matched."""
-    by = {r.bucket: r["count"] for r in buckets.groupBy("bucket").count().collect()}
-    cats = {r.category: r["count"] for r in exceptions.groupBy("category").count().collect()}
-    one = lambda s: sum(v for k, v in by.items() if k not in (f"{'b' if s == 'a' else 'a'}_only", f"dup_{'b' if s == 'a' else 'a'}"))
-    total, matched = max(one("a"), one("b")), by.get("matched", 0)
-    share = matched / total if total else None
-    n_open = sum(v for k, v in cats.items() if k not in ("timing_difference", "rounding"))
-    rag = "green" if share is not None and share >= 0.98 and not n_open else "amber" if share is not None and share >= 0.9 else "red"
-    return {"buckets": by, "categories": cats, "matched": matched, "exceptions": sum(cats.values()), "reconciled": share, "rag": rag}
+def summarise(buckets: DataFrame, exceptions: DataFrame, aggregated_items: int = 0) -> dict[str, object]:
+    """matched, exceptions, pct_reconciled, values matched and in exception (all, by category, by currency), RAG status. Items
+    matched inside the window on different days count as matched and as exceptions."""
+    size = lambda c: F.coalesce(F.sum(F.abs(c)), F.lit(0)).cast("decimal(38,2)")
+    hit = buckets.where("bucket = 'matched'").groupBy(F.coalesce("a_ccy", "b_ccy", F.lit("?")).alias("ccy")).agg(F.count("*").alias("n"), size(F.col("a_amt")).alias("v")).collect()
+    out = exceptions.groupBy("category", F.coalesce("currency", F.lit("?")).alias("ccy")).agg(F.count("*").alias("n"), size(F.col("magnitude")).alias("v"), F.count_if(F.col("materiality").isin("material", "escalate")).alias("red")).collect()
+    matched, n_exceptions, red = sum(r.n for r in hit), sum(r.n for r in out), sum(r.red for r in out)
+    reconciled = matched + aggregated_items
+    total = reconciled + n_exceptions
+    by_category: dict[str, dict] = {}
+    by_currency: dict[str, dict] = {r.ccy: {"matched_val": r.v, "exception_val": 0} for r in hit}
+    for r in out:
+        c = by_category.setdefault(r.category, {"n": 0, "val": 0})
+        c["n"], c["val"] = c["n"] + r.n, c["val"] + r.v
+        m = by_currency.setdefault(r.ccy, {"matched_val": 0, "exception_val": 0})
+        m["exception_val"] += r.v
+    return {
+        "matched": matched, "exceptions": n_exceptions, "total": total, "pct_reconciled": round(100 * reconciled / total, 1) if total else 100.0,
+        "value_matched": sum(r.v for r in hit), "value_in_exception": sum(r.v for r in out), "by_category": by_category, "by_currency": by_currency,
+        "material_or_escalate": red, "rag": "RED" if red else "AMBER" if n_exceptions else "GREEN",
+    }
 
 
 def absurd_warning(potential: dict[str, int], reconciled: int) -> str | None:

@@ -500,7 +500,7 @@ def iban_bic_checks(spark, sf):
     return df.select("cell", X.valid_iban(F.col("cell")).alias("iban"), X.valid_bic(F.col("cell")).alias("bic"))
 
 
-@query("""SELECT doc_id, regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}') AS email, regexp_matches(text, '\\b[STFGM][0-9]{7}[A-Z]\\b') AS national_id FROM documents""")
+@query("""SELECT doc_id, regexp_matches(text, '(?i)\\b[0-9A-Za-z_.+-]+@[0-9A-Za-z_-]+\\.[0-9A-Za-z_.-]+\\b') AS email, regexp_matches(text, '(?i)\\b[stfg][0-9]{7}[a-z]\\b') AS national_id FROM documents""")
 def pii_flags(spark, sf):
     flags = X.pii_flags(F.col("text"))
     return t(spark, sf, "documents", "doc_id", "text").select("doc_id", flags["email"].alias("email"), flags["national_id"].alias("national_id"))

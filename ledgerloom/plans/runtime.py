@@ -29,6 +29,7 @@ from ..operators import reshape as S
 from ..operators import tidy as T
 from ..operators.common import RID, Result, values
 from ..sources import readers, sinks
+from . import dialect
 
 SKILLS = ("analyse", "reconcile", "convert", "tidy", "extract", "visualise")
 #: Rows of a result that go into the envelope.
@@ -125,6 +126,7 @@ def source_hash(spark: SparkSession, path: str) -> str:
 
 
 def approval_request(spark: SparkSession, plan: dict[str, Any], base: str = "") -> dict[str, Any]:
+    plan = dialect.normalised(plan)
     body = {k: v for k, v in plan.items() if k != "approval"}
     return {"plan": canonical_hash(body), "sources": {i: source_hash(spark, read_table(spark, s, base).path) for i, s in enumerate(inputs(plan))}}
 
@@ -168,6 +170,7 @@ def inputs(plan: dict[str, Any]) -> list[Any]:
 
 def validate_plan(spark: SparkSession | None, plan: dict[str, Any], base: str = "") -> list[dict[str, str]]:
     """Everything wrong with a plan; with a session also whether its sources can be read."""
+    plan = dialect.normalised(plan)
     out: list[dict[str, str]] = []
     if plan.get("version") != 1:
         out.append({"pointer": "/version", "error": "must be 1"})
@@ -252,6 +255,11 @@ def _out(plan: dict, base: str, name: str) -> str:
     return os.path.join(folder, name)
 
 
+def _file(plan: dict, name: str) -> str:
+    output = plan.get("output")
+    return output.get("file", name) if isinstance(output, dict) else name
+
+
 def _run_analyse(spark, plan, base, dry):
     frames = [read_table(spark, s, base).df for s in inputs(plan)]
     now, results = frames[0], []
@@ -265,7 +273,7 @@ def _run_analyse(spark, plan, base, dry):
     payload = {"sources": [s if isinstance(s, str) else s["path"] for s in inputs(plan)], "results": results}
     files = []
     if not dry:
-        files = [_out(plan, base, "analysis.json")]
+        files = [_out(plan, base, _file(plan, "analysis.json"))]
         with open(files[0], "w", encoding="utf-8") as f:
             json.dump(payload, f, ensure_ascii=False, indent=2)
     return payload, files
@@ -297,7 +305,7 @@ def _run_reconcile(spark, plan, base, dry):
             raise PlanError("accepted must list different proposals by number", "/aggregate/accepted")
     files = []
     if not dry:
-        files = [_out(plan, base, "workpaper.xlsx")]
+        files = [_out(plan, base, _file(plan, "workpaper.xlsx"))]
         flat = lambda df: sinks._rows(df)
         sinks.write_workbook({"Summary": (["item", "value"], [[k, json.dumps(plain(v))] for k, v in summary.items()]), "Exceptions": flat(exceptions), "Matched": flat(got.df.where("bucket = 'matched'"))}, files[0])
     return payload, files
@@ -311,7 +319,7 @@ def readers_rid(df: DataFrame) -> DataFrame:
 
 def _run_convert(spark, plan, base, dry):
     tables = [read_table(spark, s, base) for s in inputs(plan)]
-    spec = plan["spec"] if isinstance(plan["spec"], dict) else load_plan(os.path.join(base, plan["spec"]))
+    spec = plan["spec"] if isinstance(plan["spec"], dict) else dialect.conversion(load_plan(os.path.join(base, plan["spec"])))
     df = tables[0].df if len(tables) == 1 else readers_rid(S.union([t.df.drop(RID) for t in tables], plan["union"]))
     drift = C.sense_check(values(df), spec, plan.get("as_of"))
     if any(d["severity"] == "error" for d in drift):
@@ -345,7 +353,7 @@ def _run_tidy(spark, plan, base, dry):
     payload = {k: [plain(r.asDict()) for r in v.limit(RESULT_ROWS).collect()] for k, v in got.extra.items()} | {"report": plain(got.coverage()), "rows": got.df.count()}
     files = []
     if not dry:
-        files = [_out(plan, base, "tidy.xlsx"), _out(plan, base, "tidy.report.md")]
+        files = [_out(plan, base, _file(plan, "tidy.xlsx")), _out(plan, base, os.path.splitext(_file(plan, "tidy.xlsx"))[0] + ".report.md")]
         sinks.write_xlsx(got.df, files[0])
         with open(files[1], "w", encoding="utf-8") as f:
             f.write("\n\n".join(f"## {k}\n\n{V.markdown(v) if v else 'none'}" for k, v in payload.items() if isinstance(v, list)))
@@ -364,13 +372,13 @@ def _run_extract(spark, plan, base, dry):
     payload = _shown(got) | {"flags": [plain(r.asDict()) for r in got.extra["flags"].limit(RESULT_ROWS).collect()] if "flags" in got.extra else []}
     files = []
     if not dry:
-        files = [_out(plan, base, "extracted.xlsx")]
+        files = [_out(plan, base, _file(plan, "extracted.xlsx"))]
         sinks.write_xlsx(got.df, files[0])
     return payload, files
 
 
-def _block(b: dict[str, Any], results: list[dict]) -> str:
-    rows = results[b["result"]]["rows"] if "result" in b else b.get("rows", [])
+def _block(b: dict[str, Any], results: list[dict], sources: list[list[dict]]) -> str:
+    rows = sources[b["source"]] if "source" in b else results[b["result"]]["rows"] if "result" in b else b.get("rows", [])
     pick = lambda k: [r.get(b[k]) for r in rows] if k in b else []
     title, kind = b.get("title", ""), b["type"]
     if kind == "kpi":
@@ -401,10 +409,12 @@ def _run_visualise(spark, plan, base, dry):
             results = json.load(f)["results"]
     elif plan.get("operations"):
         results = _run_analyse(spark, plan, base, True)[0]["results"]
-    text = V.page(plan.get("title", "Dashboard"), [_block(b, results) for b in plan["blocks"]])
+    used = {b["source"] for b in plan["blocks"] if "source" in b}
+    sources = [V.rows_of(read_table(spark, s, base).df.drop(RID)) if i in used else [] for i, s in enumerate(inputs(plan))]
+    text = V.page(plan.get("title", "Dashboard"), [_block(b, results, sources) for b in plan["blocks"]])
     files = []
     if not dry:
-        files = [_out(plan, base, "dashboard.html")]
+        files = [_out(plan, base, _file(plan, "dashboard.html"))]
         with open(files[0], "w", encoding="utf-8") as f:
             f.write(text)
     return {"bytes": len(text)}, files
@@ -415,6 +425,7 @@ RUNNERS = {"analyse": _run_analyse, "reconcile": _run_reconcile, "convert": _run
 
 def run_plan(spark: SparkSession, plan: dict[str, Any], base: str = "", dry: bool = False) -> dict[str, Any]:
     """The envelope of a run: status ok, dry_run, invalid, needs_approval or error, with result and files."""
+    plan = dialect.normalised(plan)
     envelope = lambda status, **more: {"status": status, "skill": plan.get("skill"), "plan": canonical_hash({k: v for k, v in plan.items() if k != "approval"})} | more
     errors = validate_plan(spark, plan, base)
     if errors:
