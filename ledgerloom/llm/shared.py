@@ -18,10 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def modest(df: DataFrame) -> DataFrame:
+    """df, whose session sends texts to Python in batches of at most 8 MB where nothing else has been asked for."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if str(conf.get(name)).rstrip("b") == str(64 << 20):
+        conf.set(name, "8m")
+    return df
+
+
 def documents(docs: DataFrame, *extra: Column) -> DataFrame:
     """doc_id, text (null: empty), row_key (a hash of the text) and extras; other columns go, so names can't clash."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("row_key"), *extra)
+    return modest(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("row_key"), *extra)
 
 
 def stored(df: DataFrame) -> DataFrame:

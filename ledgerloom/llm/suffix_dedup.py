@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .deep_shallow import repeated
-from .shared import parts, written
+from .shared import modest, parts, written
 from .textarrays import _BYTE, _INV, _MULT, mix, slices, text_buffers
 
 GRAM, CROWD = 32, 2000
@@ -99,7 +99,7 @@ def _ident(text) -> list:
 
 def _texts(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_ident(text), text.alias("text"))
+    return modest(docs).select(F.col("doc_id").cast("long").alias("doc_id"), *_ident(text), text.alias("text"))
 
 
 PLACED = "key long, seg long, t1 long, t2 long, first int, last int, ahead int"

@@ -20,6 +20,19 @@ _INV = np.uint64(pow(int(_MULT), -1, 1 << 64))
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
+#: Bytes over which hashes of words are summed at once.
+STRETCH = 1 << 19
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse, from exponent 1 on, ``n`` at least; kept for the next call."""
+    if not _POWERS or len(_POWERS[0][0]) < n:
+        size = max(n, STRETCH + 4096)
+        _POWERS[:] = [(np.cumprod(np.full(size, _MULT, np.uint64)), np.cumprod(np.full(size, _INV, np.uint64)))]
+    return _POWERS[0]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (splitmix64)."""
     x = x.astype(np.uint64, copy=True)
@@ -82,14 +95,20 @@ class Words:
         self._hash: np.ndarray | None = None
 
     def hashes(self) -> np.ndarray:
+        """A 64-bit hash of each word, whatever its place; worked out over stretches of bounded length."""
         if self._hash is None:
-            n = len(self.data)
-            power = np.cumprod(np.full(n, _MULT, np.uint64)) if n else np.zeros(0, np.uint64)
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum(_BYTE[self.data] * power, out=total[1:])
-            inverse = np.cumprod(np.full(n + 1, _INV, np.uint64))
-            h = (total[self.end] - total[self.start]) * inverse[self.start]
-            self._hash = mix(h + (self.end - self.start).astype(np.uint64))
+            out = np.empty(len(self.start), np.uint64)
+            i = 0
+            while i < len(self.start):
+                j = max(i + 1, int(np.searchsorted(self.start, self.start[i] + STRETCH)))
+                base, stop = self.start[i], self.end[j - 1]
+                power, inverse = powers(int(stop - base) + 1)
+                total = np.zeros(stop - base + 1, np.uint64)
+                np.cumsum(_BYTE[self.data[base:stop]] * power[: stop - base], out=total[1:])
+                a, b = self.start[i:j] - base, self.end[i:j] - base
+                out[i:j] = mix((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64))
+                i = j
+            self._hash = out
         return self._hash
 
     def shingles(self, width: int = 5) -> tuple[np.ndarray, np.ndarray]:

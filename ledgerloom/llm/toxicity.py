@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import documents, held
+from .shared import documents, held, modest
 from .textarrays import Words, ragged, slices, text_buffers
 
-SAMPLE, SAMPLE_BYTES = 5000, 40_000
+SAMPLE, SAMPLE_BYTES = 3500, 30_000
 WINDOW, STRIDE = 64, 48
 WORDS, LEAST_TEXTS, CHAR_BITS, WORD_DIM, CHAR_DIM, HIDDEN = 40_000, 3, 13, 8, 8, 8
 EPOCHS, BATCH, RATE = 6, 256, 0.01
@@ -80,12 +80,15 @@ class Coded:
         chars = np.add.reduceat(p["char"][self.char], self.heads) / self.lengths[:, None] if len(self.heads) else np.zeros((0, CHAR_DIM))
         return np.concatenate([p["word"][self.bucket], chars], 1).astype(np.float32)
 
-    def ids(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, place) → distinct word, and the mask of words that are there."""
+    def ids(self, windows: np.ndarray, repeats: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(window, place) → distinct word, and the mask of words that are there. A word right after its like is read over."""
         place = np.arange(WINDOW)
         mask = place < self.size[windows][:, None]
         at = np.where(mask, self.begin[windows][:, None] + place, 0)
-        return (self.word[at] if len(self.word) else np.zeros(at.shape, np.int64)), mask
+        word = self.word[at] if len(self.word) else np.zeros(at.shape, np.int64)
+        if not repeats:
+            mask[:, 1:] &= word[:, 1:] != word[:, :-1]
+        return word, mask
 
 
 def _run(gate: np.ndarray, ids: np.ndarray, mask: np.ndarray, u: np.ndarray, back: bool, keep: list | None = None) -> np.ndarray:
@@ -175,7 +178,7 @@ def gradients(p: Params, coded: Coded, windows: np.ndarray, target: np.ndarray,
 
 def _subset(coded: Coded, windows: np.ndarray) -> tuple[Coded, np.ndarray]:
     """The same with the words of these windows only, so that a step costs what its windows hold."""
-    ids, mask = coded.ids(windows)
+    ids, mask = coded.ids(windows, repeats=True)
     used, inverse = np.unique(ids[mask], return_inverse=True)
     out = object.__new__(Coded)
     out.bucket, out.lengths = coded.bucket[used], coded.lengths[used]
@@ -213,8 +216,10 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     coded, p = Coded(words, known), start(known, seed)
     p["word"][1:, 0] = odds / 2
     # the first guess of each window: its strongest words
-    ids, mask = coded.ids(np.arange(len(coded.begin)))
-    now = np.sort(np.where(mask, np.append(0, odds)[coded.bucket[ids]], 0), 1)[:, -2:].sum(1)
+    strength, now = np.append(0, odds).astype(np.float32), np.empty(len(coded.begin), np.float32)
+    for k in range(0, len(now), 4096):
+        ids, mask = coded.ids(np.arange(k, min(len(now), k + 4096)))
+        now[k : k + 4096] = np.sort(np.where(mask, strength[coded.bucket[ids]], 0), 1)[:, -2:].sum(1)
     toxic = y[coded.row] == 1
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items() if k not in ("scale", "known")}
     step = 0
@@ -307,4 +312,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) ->
         for batch in batches:
             yield batch.filter(pa.array(score_texts(params.value, batch.column("text")) < threshold)).select(names)
 
-    return docs.mapInArrow(work, docs.schema)
+    return modest(docs).mapInArrow(work, docs.schema)
