@@ -403,6 +403,15 @@ def propose_aggregations(a: DataFrame, b: DataFrame, group_a: str, group_b: str,
     return whole.unionByName(many).unionByName(part).orderBy("grp", "kind")
 
 
+def apply_aggregations(buckets: DataFrame, accepted: DataFrame) -> DataFrame:
+    """buckets with the one-sided records of accepted proposals (with a_ids and b_ids) moved to the bucket matched_agg."""
+    for s in "ab":
+        ids = accepted.select(F.explode(f"{s}_ids").alias("i")).distinct().withColumn("hit", F.lit(True))
+        moved = buckets.join(ids, (buckets.bucket == f"{s}_only") & (buckets[s] == ids.i), "left")
+        buckets = moved.withColumn("bucket", F.when(F.col("hit"), "matched_agg").otherwise(F.col("bucket"))).drop("i", "hit")
+    return buckets
+
+
 def result(a: DataFrame, b: DataFrame, o: Options) -> Result:
     """Buckets with exceptions, kept so that summary and reports read them once."""
     buckets = _kept(match(a, b, o))

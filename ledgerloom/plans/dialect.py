@@ -137,6 +137,9 @@ def normalised(plan: dict[str, Any]) -> dict[str, Any]:
             del out["preset"]
         if o.pop("aggregate", False):
             out["aggregate"] = {"group": o.get("group_col") or o.get("party_col"), "accepted": plan.get("accepted", [])}
+        balance = {x: {"opening": float(o[f"opening_{x}"]), "closing": float(o[f"closing_{x}"])} for x in "ab" if o.get(f"opening_{x}") is not None and o.get(f"closing_{x}") is not None}
+        if balance:
+            out["balance"] = balance
         for k in ("group_col", "party_col", "opening_a", "closing_a", "opening_b", "closing_b"):
             o.pop(k, None)
         o |= {k: plan[k] for k in ("a_label", "b_label") if k in plan}

@@ -292,17 +292,29 @@ def _run_reconcile(spark, plan, base, dry):
     a, b = (T.numbered(readers_rid(read_table(spark, s, base).df)) for s in inputs(plan))
     o = options(plan)
     got = R.result(a, b, o)
-    exceptions = got.extra["exceptions"]
-    summary = R.summarise(got.df, exceptions)
-    potential = J.amount_potential(R.items(a, o), "amt", R.items(b, o, o.flip_b), "amt").first().asDict()
-    payload = {"summary": plain(summary), "warning": R.absurd_warning(potential, summary["matched"]), "exceptions": _shown(exceptions)["rows"]}
+    proposals, taken = [], 0
     if plan.get("aggregate"):
         g = plan["aggregate"]
-        rows = [plain(r.asDict(True)) for r in R.propose_aggregations(a, b, g.get("group_a", g.get("group")), g.get("group_b", g.get("group")), o).collect()]
-        payload["proposals"] = rows
+        frame = R.propose_aggregations(a, b, g.get("group_a", g.get("group")), g.get("group_b", g.get("group")), o)
+        proposals = [plain(r.asDict(True)) for r in frame.collect()]
         accepted = g.get("accepted", [])
-        if len(set(accepted)) != len(accepted) or any(not isinstance(i, int) or not 0 <= i < len(rows) for i in accepted):
+        if len(set(accepted)) != len(accepted) or any(not isinstance(i, int) or not 0 <= i < len(proposals) for i in accepted):
             raise PlanError("accepted must list different proposals by number", "/aggregate/accepted")
+        if accepted:
+            chosen = spark.createDataFrame([(proposals[i]["a_ids"], proposals[i]["b_ids"]) for i in accepted], "a_ids array<long>, b_ids array<long>")
+            taken = sum(len(proposals[i]["a_ids"]) for i in accepted)
+            got.df = R.apply_aggregations(got.df, chosen)
+            got.extra["exceptions"] = R.triage(got.df, o)
+    exceptions = got.extra["exceptions"]
+    summary = R.summarise(got.df, exceptions, taken)
+    potential = J.amount_potential(R.items(a, o), "amt", R.items(b, o, o.flip_b), "amt").first().asDict()
+    payload = {"summary": plain(summary), "warning": R.absurd_warning(potential, summary["matched"]), "exceptions": _shown(exceptions)["rows"]}
+    if proposals:
+        payload["proposals"] = proposals
+    for side, df in (("a", a), ("b", b)):
+        limits = plan.get("balance", {}).get(side)
+        if limits:
+            payload[f"balance_{side}"] = plain(R.check_balance(df, o.amount, limits["opening"], limits["closing"]).first().asDict())
     files = []
     if not dry:
         files = [_out(plan, base, _file(plan, "workpaper.xlsx"))]

@@ -239,6 +239,10 @@ def test_aggregation_proposals(spark):
     b = table(spark, ["party", "amount"], [["x", "100"], ["x", "200"], ["y", "20"], ["y", "30"], ["y", "99"]])
     got = {(r.kind, r.grp, tuple(r.a_ids), tuple(r.b_ids)) for r in R.propose_aggregations(a, b, "party", "party", R.Options()).collect()}
     assert got == {("group", "x", (), ()), ("one_to_many", "y", (1,), (2, 3))}
+    o = R.Options(mode="key", key="party")
+    chosen = spark.createDataFrame([([2], [4])], "a_ids array<long>, b_ids array<long>")
+    after = R.apply_aggregations(R.match(a.where("party = 'Z'"), b.where("amount = '99'"), o), chosen)
+    assert {r.bucket for r in after.collect()} == {"matched_agg"}
 
 
 def test_extract_fields(spark):
