@@ -18,6 +18,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -278,12 +279,28 @@ def score_texts(p: Params, column: pa.Array) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 4) -> Params:
-    """Train on a bounded sample of labelled documents that aren't held out."""
+    """Train on a bounded sample of labelled documents that aren't held out. The one task that trains runs on an executor;
+    the driver gets the parameters."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, tuple[str, int]] = {}
+        for batch in batches:
+            rows = (batch.column(c).to_pylist() for c in ("row_key", "text", "toxic"))
+            seen |= {k: (t, int(y > 0)) for k, t, y in zip(*rows, strict=True)}
+        own = [seen[k] for k in sorted(seen)]
+        out = io.BytesIO()
+        np.savez(out, **train([t for t, _ in own], [y for _, y in own]))
+        yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], ["params"])
+
     wanted = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held(folds)).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").alias("toxic"))
     wanted = wanted.orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = documents(docs).where(F.octet_length("text") <= SAMPLE_BYTES)
-    rows = rows.join(F.broadcast(wanted), rows.doc_id == wanted.id).select("row_key", "text", "toxic").dropDuplicates(["row_key"]).orderBy("row_key").toArrow()
-    return train(rows.column("text").to_pylist(), [int(x > 0) for x in rows.column("toxic").to_pylist()])
+    rows = rows.join(F.broadcast(wanted), rows.doc_id == wanted.id).select("row_key", "text", F.col("toxic").cast("int").alias("toxic"))
+    got = rows.repartition(1).mapInArrow(work, "params binary").first()
+    if got is None:  # nothing is labelled, and the plan was cut short
+        return train([], [])
+    with np.load(io.BytesIO(bytes(got.params))) as f:
+        return {k: f[k] for k in f.files}
 
 
 def scores(docs: DataFrame, params: Params, threshold: float = 0.3, folds: int = 4) -> DataFrame:
