@@ -27,9 +27,10 @@ class _Side:
     def __init__(self, c: Column, dtype: str = "string"):
         known = _typed(dtype)
         self.kind = F.lit(known) if known else P.kind(c)
-        self.number = c.cast("decimal(38,10)") if known == "number" else P.amount(c).cast("decimal(38,10)")
-        self.date = c.cast("date") if known == "date" else P.day(c)
-        self.string = F.lower(P.text(c))
+        none = F.lit(None)  # a typed column has no other readings, and they aren't worked out
+        self.number = c.cast("decimal(38,10)") if known == "number" else none.cast("decimal(38,10)") if known else P.amount(c).cast("decimal(38,10)")
+        self.date = c.cast("date") if known == "date" else none.cast("date") if known else P.day(c)
+        self.string = none.cast("string") if known else F.lower(P.text(c))
 
 
 def _literal(v: Any) -> _Side:
