@@ -4,8 +4,9 @@ Texts become template tokens: numbers, names (capitalised words inside a sentenc
 turn into typed placeholders, everything else is folded and freed of punctuation. Windows of ``WINDOW``
 template tokens of benchmark items are hash-joined with those of documents, so a question with other
 numbers and names matches, too. Along each alignment (document, item, shift) the slots must be consistent:
-one value of the item always meets one value of the document, and the other way round. A document is
-contaminated by an item if the consistent windows cover ``least`` of the item's tokens, or all of a shorter
+one number or name of the item always meets one of the document; two may become the same, and units may
+change. Windows without slots, and those with the item's own values, count in any alignment. A document is
+contaminated by an item if the windows that count cover ``least`` of the item's tokens, or all of a shorter
 item.
 
 Windows of fewer than ``LITERALS`` different words that aren't placeholders say too little and are left out,
@@ -100,10 +101,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> D
     met = stored(met)  # matches only; read twice below
     pairs = met.where(F.col("words").isNotNull()).select("doc_id", "row_key", "item_id", "shift", F.explode(F.filter(F.arrays_zip("words", "item_words", "is_slot"), lambda z: z["is_slot"])).alias("z")).select("doc_id", "row_key", "item_id", "shift", F.col("z.item_words").alias("mine"), F.col("z.words").alias("theirs")).distinct()
     line = ["doc_id", "row_key", "item_id", "shift"]
-    slots = pairs.groupBy(*line).agg(F.count("*").alias("n_slots"), F.count_distinct("mine").alias("n_mine"), F.count_distinct("theirs").alias("n_theirs"))
-    slots = slots.select(*(F.col(c).alias(f"s_{c}") for c in line), "n_slots", ((F.col("n_mine") == F.col("n_slots")) & (F.col("n_theirs") == F.col("n_slots"))).alias("consistent"))
+    bound = F.col("mine").startswith(_NAME) | F.col("mine").between("0", "9￿")  # names and numbers differ in form, so one count serves both
+    slots = pairs.groupBy(*line).agg(F.count("*").alias("n_slots"), F.count_if(bound).alias("n_bound"), F.count_distinct(F.when(bound, F.col("mine"))).alias("n_mine"))
+    slots = slots.select(*(F.col(c).alias(f"s_{c}") for c in line), "n_slots", (F.col("n_mine") == F.col("n_bound")).alias("consistent"))
     same = reduce(lambda a, b: a & b, (met[c].eqNullSafe(slots[f"s_{c}"]) for c in line))
-    good = met.join(slots, same, "left").where(F.coalesce("consistent", F.lit(True)))
+    own_values = F.col("words").isNull() | (F.col("words") == F.col("item_words"))
+    good = met.join(slots, same, "left").where(F.coalesce("consistent", F.lit(True)) | own_values)
     covered = F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence("item_at", F.col("item_at") + (WINDOW - 1))))))
     per = good.groupBy("doc_id", "row_key", "item_id").agg(F.count_distinct("item_at").alias("n_windows"), covered.cast("long").alias("n_covered"), F.max("item_tokens").cast("long").alias("n_item_tokens"), F.max(F.coalesce("n_slots", F.lit(0))).alias("n_slots"))
     return per.where(F.col("n_covered") >= F.least(F.lit(least), F.col("n_item_tokens")))

@@ -26,6 +26,19 @@ def test_reparameterised_questions(spark, docs_of):
     assert {r.doc_id for r in decontaminated(docs, items(spark, [QUESTION])).collect()} == {1, 2, 3, 4, 5}
 
 
+def test_slots_that_become_equal_and_windows_that_count_alone(spark, docs_of):
+    walk = "If Anna walks for 3 hours in the hills and then rests for 1 hour, how far does she get before the evening comes?"
+    plain = "The old miller and his two sons carried all the grain over the narrow bridge before 12 men and 15 women came to buy 12 sacks"
+    docs = docs_of([
+        walk.replace("3 hours", "4 hours").replace("1 hour", "2 hours"),  # hours and hour both meet hours
+        walk.replace("3 hours", "2 hours").replace("1 hour", "2 hours"),  # two numbers become the same
+        plain.replace("before 12", "before 30").replace("buy 12", "buy 40"),  # 12 meets two numbers; the start has no slots
+        plain.replace("before 12", "before 30").replace("The old miller and", "Some"),  # nothing long enough is left
+    ])
+    got = {(r.doc_id, r.item_id) for r in contaminated(docs, items(spark, [walk, plain])).collect()}
+    assert {(0, 0), (1, 0), (2, 1)} <= got and not got & {(0, 1), (1, 1), (2, 0), (3, 0)}
+
+
 def test_planted_passages_and_clean_texts(spark, docs_of):
     rng = random.Random(7)
     words = ["".join(rng.choices(["an", "re", "th", "el", "ou", "st"], k=rng.randint(1, 4))) for _ in range(900)]
