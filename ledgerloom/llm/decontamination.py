@@ -9,9 +9,11 @@ change. Windows without slots, and those with the item's own values, count in an
 contaminated by an item if the windows that count cover ``least`` of the item's tokens, or all of a shorter
 item.
 
-Windows of fewer than ``LITERALS`` different words that aren't placeholders say too little and are left out,
-and items of fewer than ``WINDOW`` tokens never match. Null and empty texts match nothing; repeated rows
-match alike and are reported once; empty tables give an empty result.
+Windows of fewer than ``LITERALS`` different words that aren't placeholders say too little and are left out.
+Items whose other windows can't cover enough, and those of fewer than ``WINDOW`` tokens, match where a
+document has their whole sequence of folded words, however short. An item's first word is also looked for as
+the name that it seems to be after lower-case text. Null and empty texts match nothing; repeated rows match
+alike and are reported once; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -32,9 +34,9 @@ _PUNCTUATION = ".,;:!?\"'()[]{}|#$%&*<>/\\_=+~^@`“”„‘’«»…–—-"
 _NAME, _NUMBER, _UNIT = "\u0001", "\u0002num", "\u0002unit"
 
 
-def tokens(text: Column) -> Column:
-    """Folded words; a name keeps a mark in front."""
-    marked = F.regexp_replace(text, r"(?<=[\p{Ll},;] )\p{Lu}\p{Ll}+", "\u0001$0")
+def tokens(text: Column, names: bool = True) -> Column:
+    """Folded words; a name keeps a mark in front where names are asked for."""
+    marked = F.regexp_replace(text, r"(?<=[\p{Ll},;] )\p{Lu}\p{Ll}+", "\u0001$0") if names else text
     joined = F.regexp_replace(marked, r"(?<=[0-9])[.,](?=[0-9])", "")
     bare = F.lower(F.translate(joined, _PUNCTUATION + "\t\n\x0b\f\r", " " * (len(_PUNCTUATION) + 5)))
     return F.filter(F.split(bare, " "), lambda w: w != "")
@@ -79,25 +81,59 @@ def windows(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """The telling windows of the items, and each window's template hashes of slots' places."""
+    """The telling windows of the items, and each window's template hashes of slots' places; an item's first window comes
+    twice if its first word would be a name inside a sentence (inner)."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    t = _once(items, ["item_id"], t=tokens(F.col("text"))).where(F.size("t") >= WINDOW)
-    t = _once(t, ["item_id", "t"], h=template(F.col("t")))
-    at = t.select("item_id", F.size("t").alias("item_tokens"), "t", "h", F.explode(F.sequence(F.lit(0), F.size("t") - WINDOW)).alias("item_at"))
+    opens = F.col("text").rlike(r"^[^\p{L}\p{N}]*\p{Lu}\p{Ll}")
+    t = _once(items, ["item_id"], t=tokens(F.col("text")), opens=opens).where(F.size("t") >= WINDOW)
+    t = _once(t, ["item_id", "t", "opens"], h=template(F.col("t")))
+    at = t.select("item_id", F.size("t").alias("item_tokens"), "t", "h", "opens", F.explode(F.sequence(F.lit(0), F.size("t") - WINDOW)).alias("item_at"))
     own = F.slice("h", F.col("item_at") + 1, WINDOW)
     is_slot = F.transform(own, lambda y: reduce(lambda a, b: a | b, _slots(y)))
-    full = at.select("item_id", "item_tokens", "item_at", F.xxhash64(*(F.get("h", F.col("item_at") + k) for k in range(WINDOW))).alias("item_w"), F.slice("t", F.col("item_at") + 1, WINDOW).alias("item_words"), is_slot.alias("is_slot"), own.alias("own"))
+    w = lambda first: F.xxhash64(first, *(F.get("h", F.col("item_at") + k) for k in range(1, WINDOW)))
+    words = F.slice("t", F.col("item_at") + 1, WINDOW)
+    plain = F.struct(w(F.get("h", F.col("item_at"))).alias("item_w"), words.alias("item_words"), is_slot.alias("is_slot"), F.lit(False).alias("inner"))
+    named = F.concat(F.array(F.concat(F.lit(_NAME), F.get("t", F.lit(0)))), F.slice("t", 2, WINDOW - 1))
+    inner = F.struct(w(F.xxhash64(F.lit(_NAME))).alias("item_w"), named.alias("item_words"), F.concat(F.array(F.lit(True)), F.slice(is_slot, 2, WINDOW - 1)).alias("is_slot"), F.lit(True).alias("inner"))
+    both = F.when(F.col("opens") & (F.col("item_at") == 0), F.array(plain, inner)).otherwise(F.array(plain))
+    full = at.select("item_id", "item_tokens", "item_at", own.alias("own"), F.inline(both))
     literal = F.size(F.array_distinct(F.filter("own", lambda y: ~reduce(lambda a, b: a | b, _slots(y)))))
-    return full.where(literal >= LITERALS).drop("own").dropDuplicates(["item_id", "item_at"])
+    return full.where(literal >= LITERALS).drop("own").dropDuplicates(["item_id", "item_at", "inner"])
+
+
+def _covered() -> Column:
+    return F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence("item_at", F.col("item_at") + (WINDOW - 1)))))).cast("long")
+
+
+def whole_matches(docs: DataFrame, benchmark: DataFrame, telling: DataFrame, least: int) -> DataFrame | None:
+    """doc_id, row_key, item_id, n_windows (places), n_covered, n_item_tokens, n_slots of documents with the whole word sequence
+    of an item that its telling windows can't find; None without such items. One hash a place and length of these items."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    items = _once(items, ["item_id"], t=tokens(F.col("text"), names=False)).where(F.size("t") > 0)
+    able = telling.groupBy(F.col("item_id").alias("able")).agg(_covered().alias("most"))
+    items = items.join(able, F.col("item_id").eqNullSafe(F.col("able")), "left").where(F.coalesce("most", F.lit(0)) < F.least(F.lit(least), F.size("t")))
+    items = stored(items.select("item_id", F.size("t").alias("item_tokens"), F.xxhash64("t").alias("item_w")).distinct())
+    lengths = sorted(r[0] for r in items.select("item_tokens").distinct().collect())
+    if not lengths:
+        return None
+    if items.count() <= BROADCAST_ROWS:
+        items = F.broadcast(items)
+    own = _once(documents(docs).select("doc_id", "row_key", "text"), ["doc_id", "row_key"], t=tokens(F.col("text"), names=False)).where(F.size("t") >= lengths[0])
+    size = F.explode(F.filter(F.array(*(F.lit(n) for n in lengths)), lambda n: n <= F.size("t"))).alias("n")
+    sized = own.select("doc_id", "row_key", "t", size)
+    places = sized.select("doc_id", "row_key", "n", F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - F.col("n") + 1), lambda i: F.xxhash64(F.slice("t", i, F.col("n"))))).alias("w"))
+    met = places.join(items, (places.w == items.item_w) & (places.n == items.item_tokens))
+    return met.groupBy("doc_id", "row_key", "item_id").agg(F.count("*").alias("n_windows"), F.max("item_tokens").cast("long").alias("n_covered"), F.max("item_tokens").cast("long").alias("n_item_tokens"), F.lit(0).cast("long").alias("n_slots"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, row_key, item_id, n_windows, n_covered, n_item_tokens, n_slots of every contaminated pair."""
-    items = item_windows(benchmark)
+    telling = items = stored(item_windows(benchmark))
     if items.count() <= BROADCAST_ROWS:
         items = F.broadcast(items)
     own = windows(documents(docs).select("doc_id", "row_key", "text"), "doc_id", "row_key")
-    met = own.join(items, own.w == items.item_w).select("doc_id", "row_key", "item_id", "item_tokens", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), "words", "item_words", "is_slot").distinct()
+    met = own.join(items, own.w == items.item_w).select("doc_id", "row_key", "item_id", "item_tokens", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), "words", "item_words", "is_slot", "inner").distinct()
+    met = met.where(~F.col("inner") | (F.get("words", F.lit(0)) == F.get("item_words", F.lit(0))))  # the first word itself, not any name
     met = stored(met)  # matches only; read twice below
     pairs = met.where(F.col("words").isNotNull()).select("doc_id", "row_key", "item_id", "shift", F.explode(F.filter(F.arrays_zip("words", "item_words", "is_slot"), lambda z: z["is_slot"])).alias("z")).select("doc_id", "row_key", "item_id", "shift", F.col("z.item_words").alias("mine"), F.col("z.words").alias("theirs")).distinct()
     line = ["doc_id", "row_key", "item_id", "shift"]
@@ -107,9 +143,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> D
     same = reduce(lambda a, b: a & b, (met[c].eqNullSafe(slots[f"s_{c}"]) for c in line))
     own_values = F.col("words").isNull() | (F.col("words") == F.col("item_words"))
     good = met.join(slots, same, "left").where(F.coalesce("consistent", F.lit(True)) | own_values)
-    covered = F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence("item_at", F.col("item_at") + (WINDOW - 1))))))
-    per = good.groupBy("doc_id", "row_key", "item_id").agg(F.count_distinct("item_at").alias("n_windows"), covered.cast("long").alias("n_covered"), F.max("item_tokens").cast("long").alias("n_item_tokens"), F.max(F.coalesce("n_slots", F.lit(0))).alias("n_slots"))
-    return per.where(F.col("n_covered") >= F.least(F.lit(least), F.col("n_item_tokens")))
+    per = good.groupBy("doc_id", "row_key", "item_id").agg(F.count_distinct("item_at").alias("n_windows"), _covered().alias("n_covered"), F.max("item_tokens").cast("long").alias("n_item_tokens"), F.max(F.coalesce("n_slots", F.lit(0))).alias("n_slots"))
+    per = per.where(F.col("n_covered") >= F.least(F.lit(least), F.col("n_item_tokens")))
+    whole = whole_matches(docs, benchmark, telling, least)
+    if whole is None:
+        return per
+    pair = ["doc_id", "row_key", "item_id"]
+    return per.unionByName(whole).groupBy(*pair).agg(*(F.max(c).alias(c) for c in per.columns if c not in pair))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:

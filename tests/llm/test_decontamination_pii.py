@@ -39,6 +39,21 @@ def test_slots_that_become_equal_and_windows_that_count_alone(spark, docs_of):
     assert {(0, 0), (1, 0), (2, 1)} <= got and not got & {(0, 1), (1, 1), (2, 0), (3, 0)}
 
 
+def test_short_items_and_items_without_telling_windows(spark, docs_of):
+    bench = ["What is the capital of France?", "12 + 7 - 3 * 4 / 2 + 9 = what?", "What is the tallest of all mountains in Asia?", "too short"]
+    docs = docs_of([
+        "So he asked: what is the capital of France? Nobody knew.",
+        "The capital of France is what it is.",
+        "Add up 12 + 7 - 3 * 4 / 2 + 9 = what? Then rest.",
+        "Add up 12 + 7 - 3 * 4 / 2 + 8 = what? Then rest.",
+        "so they asked him What is the tallest of all mountains in Asia? and left",
+        "so they asked him Where is the tallest of all mountains in Asia? and left",
+        "What is the capital of",
+    ])
+    got = {(r.doc_id, r.item_id) for r in contaminated(docs, items(spark, bench)).collect()}
+    assert got == {(0, 0), (2, 1), (4, 2)}
+
+
 def test_planted_passages_and_clean_texts(spark, docs_of):
     rng = random.Random(7)
     words = ["".join(rng.choices(["an", "re", "th", "el", "ou", "st"], k=rng.randint(1, 4))) for _ in range(900)]
