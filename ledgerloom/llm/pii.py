@@ -6,7 +6,8 @@ surrogate keeps the format of each mention (separators, case, length; cards stay
 and, for names, the script and the gender that the title gives.
 
 All distinct entities are listed once. A surrogate that meets another entity's or an original is drawn
-again, with the next attempt in the key, until all are distinct, so different people stay different.
+again, with the next attempt in the key, until all are distinct, so different people stay different. Names
+and addresses grow with the attempts, so there is always room.
 
 Null texts stay null; texts without entities stay as they are; repeated rows get equal texts; an empty table
 gives an empty result.
@@ -91,9 +92,13 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     was_valid = (_luhn(F.substr(value, F.lit(1), F.length(value) - 1)) + F.substr(value, F.length(value), F.lit(1)).cast("int")) % 10 == 0
     card = F.when(was_valid, F.concat(body, F.pmod(10 - _luhn(body), F.lit(10)).cast("string"))).otherwise(spelled)
     octets = F.concat_ws(".", *((_stream(digest, F.lit(i)) % 254 + 1).cast("string") for i in range(4)))
-    made = {s: F.concat_ws("", *(F.element_at(F.array(*(F.lit(x) for x in names)), _stream(digest, F.lit(i)) % len(names) + 1) for i in range(4))) for s, names in SYLLABLES.items()}
+    longest = F.least(attempt + 4, F.lit(20))  # 20 draws of three hex digits are all that a digest has
+    drawn = lambda names: F.transform(F.sequence(F.lit(0), longest - 1), lambda i: F.element_at(F.array(*(F.lit(x) for x in names)), _stream(digest, i) % len(names) + 1))
+    made = {s: F.array_join(drawn(names), "") for s, names in SYLLABLES.items()}
+    longer = F.array_join(F.transform(F.sequence(F.lit(1), F.least(F.greatest(attempt - 3, F.lit(1)), F.lit(20))), lambda i: letter(i + 1, 97)), "")
+    mail = F.when(attempt > 3, F.concat(longer, spelled)).otherwise(spelled)
     name = F.when(value.rlike(r"\p{IsCyrillic}"), made["cyrillic"]).otherwise(made["latin"])
-    return F.when(kind == "ip", octets).when(kind == "card", card).when(kind == "name", name).otherwise(spelled)
+    return F.when(kind == "ip", octets).when(kind == "card", card).when(kind == "name", name).when(kind == "email", mail).otherwise(spelled)
 
 
 def mentioned(entity: Column, kind: Column, title: Column, new: Column, key: str) -> Column:

@@ -126,6 +126,15 @@ def test_distinct_entities_stay_distinct(docs_of):
     assert not before & after
 
 
+def test_more_entities_than_the_shortest_surrogates(spark, monkeypatch):
+    from ledgerloom.llm import pii
+
+    monkeypatch.setattr(pii, "SYLLABLES", {k: v[:2] for k, v in pii.SYLLABLES.items()})  # 16 names of four syllables
+    things = [("name", f"person{k}") for k in range(40)] + [("email", f"{c}@x.org") for c in "abcdefghijklmnopqrst"]
+    got = pii.surrogates(spark.createDataFrame(things, "kind string, value string"), "key").collect()
+    assert len(got) == 60 and len({(r.kind, r.new) for r in got} - set(things)) == 60
+
+
 def test_surrogates_of_odd_rows(odd_docs):
     got = pii_surrogates(odd_docs)
     assert got.count() == odd_docs.count()
