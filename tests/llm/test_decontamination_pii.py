@@ -135,6 +135,26 @@ def test_more_entities_than_the_shortest_surrogates(spark, monkeypatch):
     assert len(got) == 60 and len({(r.kind, r.new) for r in got} - set(things)) == 60
 
 
+def test_names_without_titles_given_names_and_labelled_secrets(docs_of):
+    docs = docs_of([
+        "Mr. John Smith came. Smith said that John's bag is SMITH's.",
+        "Dr. John Smith and Mr. Tom Smith and Mr. Tim Smith",
+        "My name is Zed Quill. Name: Una Vex. Then Robert Harlow left. Quill stayed",
+        'password: hunter2!x and api_key = "Zx9_qqLmno" and ghp_abcdefghijklmnopqrst12',
+        "Smith is a trade, and token is a word: nothing else.",
+    ])
+    text = {r.doc_id: r.text for r in pii_surrogates(docs).collect()}
+    for i, words in enumerate(("John Smith SMITH", "John Tom Tim Smith", "Zed Quill Una Vex Robert Harlow", "hunter2 Zx9_qq abcdefghij")):
+        assert not [w for w in words.split() if w in text[i]], text[i]
+    given, family, again, first, upper = re.match(r"Mr\. (\w+) (\w+) came\. (\w+) said that (\w+)'s bag is (\w+)'s\.$", text[0]).groups()
+    assert (again, first, upper) == (family, given, family.upper())
+    people = re.match(rf"Dr\. (\w+) {family} and Mr\. (\w+) {family} and Mr\. (\w+) {family}$", text[1]).groups()
+    assert people[0] == given and len(set(people)) == 3
+    quill = re.match(r"My name is \w+ (\w+)\. Name: \w+ \w+\. Then \w+ \w+ left\. (\w+) stayed$", text[2]).groups()
+    assert quill[0] == quill[1]
+    assert re.match(r'password: \S+ and api_key = "\w+" and \w+$', text[3]) and text[4] == "Smith is a trade, and token is a word: nothing else."
+
+
 def test_surrogates_of_odd_rows(odd_docs):
     got = pii_surrogates(odd_docs)
     assert got.count() == odd_docs.count()
