@@ -126,6 +126,19 @@ def match_key(a: DataFrame, b: DataFrame, o: Options) -> DataFrame:
     return _bucketed(met, bucket).unionByName(twice[0]).unionByName(twice[1])
 
 
+def _islands(steps: DataFrame, tol: Column) -> DataFrame:
+    """amt, island of distinct amounts; neighbours within the tolerance share an island."""
+    ranged = steps.repartitionByRange("amt").sortWithinPartitions("amt").withColumn("p", F.spark_partition_id())
+    edge = ranged.groupBy("p").agg(F.min("amt").alias("low"), F.max("amt").alias("high"))
+    before = edge.select("p", F.lag("high").over(Window.orderBy("low")).alias("before"))
+    prior = F.coalesce(F.lag("amt").over(Window.partitionBy("p").orderBy("amt")), F.col("before"))
+    cut = F.coalesce((F.col("amt") - prior > tol).cast("int"), F.lit(1))
+    local = ranged.join(F.broadcast(before), "p").select("amt", "p", cut.alias("cut"))
+    local = local.withColumn("i", F.sum("cut").over(Window.partitionBy("p").orderBy("amt")))
+    sums = local.groupBy("p").agg(F.max("i").alias("s"), F.min("amt").alias("low")).select("p", (F.sum("s").over(Window.orderBy("low")) - F.col("s")).alias("o"))
+    return local.join(F.broadcast(sums), "p").select("amt", (F.col("i") + F.col("o")).alias("island"))
+
+
 def match_amount_date(a: DataFrame, b: DataFrame, o: Options) -> DataFrame:
     """Each A in order takes its best free B of an equal amount: inside the window, then outside, then of unknown currency."""
     tol = F.lit(str(o.tolerance)).cast(P.AMOUNT)
@@ -134,16 +147,7 @@ def match_amount_date(a: DataFrame, b: DataFrame, o: Options) -> DataFrame:
     both = _kept(both)
     live, dead = both.where(ready), both.where(~ready)
     if o.tolerance > 0:  # islands of distinct amounts that lie within the tolerance of the next
-        steps = live.select("amt").distinct()
-        ranged = steps.repartitionByRange("amt").sortWithinPartitions("amt").withColumn("p", F.spark_partition_id())
-        edge = ranged.groupBy("p").agg(F.min("amt").alias("low"), F.max("amt").alias("high"))
-        before = edge.select("p", F.lag("high").over(Window.orderBy("low")).alias("before"))
-        prior = F.coalesce(F.lag("amt").over(Window.partitionBy("p").orderBy("amt")), F.col("before"))
-        cut = F.coalesce((F.col("amt") - prior > tol).cast("int"), F.lit(1))
-        local = ranged.join(F.broadcast(before), "p").select("amt", "p", cut.alias("cut"))
-        local = local.withColumn("i", F.sum("cut").over(Window.partitionBy("p").orderBy("amt")))
-        sums = local.groupBy("p").agg(F.max("i").alias("s"), F.min("amt").alias("low")).select("p", (F.sum("s").over(Window.orderBy("low")) - F.col("s")).alias("o"))
-        islands = local.join(F.broadcast(sums), "p").select("amt", (F.col("i") + F.col("o")).alias("island"))
+        islands = _islands(live.select("amt").distinct(), tol)
         live = live.join(islands, "amt")
     else:
         live = live.withColumn("island", F.xxhash64("amt"))
@@ -218,12 +222,7 @@ def refine(buckets: DataFrame, o: Options) -> DataFrame:
     compatible = A.currency_relation(F.col("a_ccy"), F.col("b_ccy")) != "mismatch"
     gap = F.abs(F.datediff("a_dt", "b_dt"))
     inside = F.lit(True) if o.date_window_days is None else F.coalesce(gap <= o.date_window_days, F.lit(True))
-    # equal sizes of opposite sign fall in the same or the next cell of width ``rounding``
-    cell = lambda c: F.floor(c / near)
-    x = a.where(F.abs("a_amt") > near).withColumn("cell", cell(F.col("a_amt")))
-    y = b.select("*", F.explode(F.array(*(cell(-F.col("b_amt")) + i for i in (-1, 0, 1)))).alias("cell_b"))
-    flips = x.join(y, x.cell == y.cell_b).where((F.abs(F.col("a_amt") + F.col("b_amt")) <= near) & compatible & inside).withColumn("rank", F.lit(0))
-    flips = _kept(_greedy(flips.select("a", "b", F.lit(0).alias("w"))))
+    flips = _kept(_flips(a.where(F.abs("a_amt") > near), b, near, o))
     a2, b2 = a.join(flips, "a", "left_anti"), b.join(flips, "b", "left_anti")
     ratios = F.explode(F.array(*(F.lit(1 + float(r)) for r in A.TAX_RATES)))
     width = F.log(F.lit(1.002))
@@ -250,6 +249,41 @@ def refine(buckets: DataFrame, o: Options) -> DataFrame:
     return rest.select(*_COLUMNS).unionByName(diffs)
 
 
+def _flips(a: DataFrame, b: DataFrame, near: Column, o: Options) -> DataFrame:
+    """(a, b) of opposite amounts: each A in order takes the first free B that fits. B records of one amount, date and currency
+    wait in one queue, so an island of sizes costs its A records times its queues, and no pairs are listed."""
+    cols = lambda d, s: d.select(F.lit(s).alias("side"), F.col(s).alias("rid"), (F.col(f"{s}_amt") if s == "a" else -F.col(f"{s}_amt")).cast(P.AMOUNT).alias("amt"), F.col(f"{s}_dt").alias("dt"), F.col(f"{s}_ccy").alias("ccy"))
+    both = _kept(cols(a, "a").unionByName(cols(b, "b")))
+    placed = both.join(_islands(both.select("amt").distinct(), near), "amt")
+    met = placed.groupBy("island").agg(F.count_if(F.col("side") == "a").alias("na"), F.count_if(F.col("side") == "b").alias("nb")).where("na > 0 AND nb > 0").select("island")
+
+    def choose(rows: pd.DataFrame) -> pd.DataFrame:
+        from collections import deque
+        from decimal import Decimal
+
+        most, out, queues = Decimal(str(o.rounding)), [], {}
+        name = lambda v: v if isinstance(v, str) else None
+        day = lambda v: None if pd.isna(v) else v
+        for y in rows[rows.side == "b"].sort_values("rid").itertuples():
+            queues.setdefault((y.amt, day(y.dt), name(y.ccy)), deque()).append(int(y.rid))
+        for x in rows[rows.side == "a"].sort_values("rid").itertuples():
+            dt, ccy, best = day(x.dt), name(x.ccy), None
+            for k, line in queues.items():
+                if abs(x.amt - k[0]) > most or (ccy and k[2] and ccy != k[2]):
+                    continue
+                if o.date_window_days is not None and dt is not None and k[1] is not None and abs((dt - k[1]).days) > o.date_window_days:
+                    continue
+                if best is None or line[0] < queues[best][0]:
+                    best = k
+            if best is not None:
+                out.append((int(x.rid), queues[best].popleft()))
+                if not queues[best]:
+                    del queues[best]
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return placed.join(met, "island").select("island", "side", "rid", "amt", "dt", "ccy").groupBy("island").applyInPandas(choose, "a long, b long")
+
+
 def _greedy(edges: DataFrame) -> DataFrame:
     """(a, b) chosen as the first A in order takes its nearest free B, in rounds: an edge is taken when it is the best of its
     A and that A is the first to want its B. Rounds end when no edge is left."""
@@ -267,7 +301,7 @@ def _greedy(edges: DataFrame) -> DataFrame:
 
         return edges.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(choose, "a long, b long")
     taken, left = None, edges
-    for _ in range(50):
+    while True:  # each round takes a pair at least
         best = left.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy("w", "b"))).where("n = 1")
         first = best.withColumn("f", F.row_number().over(Window.partitionBy("b").orderBy("a"))).where("f = 1").select("a", "b")
         first = _kept(first)
@@ -275,7 +309,6 @@ def _greedy(edges: DataFrame) -> DataFrame:
         left = _kept(left.join(first, "a", "left_anti").join(first.select("b"), "b", "left_anti").select("a", "b", "w"))
         if not left.head(1):
             return taken
-    return taken
 
 
 def _kept(df: DataFrame) -> DataFrame:

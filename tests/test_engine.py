@@ -234,6 +234,29 @@ def test_residue(spark):
     assert got == {("matched", 0, 0), ("dup_a", 1, None), ("value_diff", 2, 1), ("value_diff", 3, 2)}
 
 
+def test_sign_flips_of_large_groups_pair_in_order(spark):
+    rng = random.Random(5)
+    day = lambda: (dt.date(2026, 1, 1) + dt.timedelta(days=rng.randint(0, 20))).isoformat()
+    many = [[str(s * 10), "2026-01-03"] for s in (1, -1)]
+    sides = [[many[k]] * 450 + [[str((1 - 2 * k) * Decimal(rng.choice(["77.00", "77.01", "77.02", "78.50"]))), day()] for _ in range(40)] for k in (0, 1)]
+    o = R.Options(mode="amount_date", date="date")
+    got = {(r.a, r.b) for r in R.match(*(table(spark, ["amount", "date"], s) for s in sides), o).where("bucket = 'value_diff' AND a_amt * b_amt < 0").collect()}
+    free, want = set(range(490)), set()
+    for i, (v, d) in enumerate(sides[0]):
+        fits = lambda j: abs(Decimal(v) + Decimal(sides[1][j][0])) <= Decimal(str(o.rounding)) and abs((dt.date.fromisoformat(d) - dt.date.fromisoformat(sides[1][j][1])).days) <= o.date_window_days  # noqa: B023, E731
+        j = next((j for j in sorted(free) if fits(j)), None)
+        if j is not None:
+            free.discard(j)
+            want.add((i, j))
+    assert got == want and {(k, k) for k in range(450)} <= got
+
+
+def test_greedy_rounds_leave_no_edge(spark, monkeypatch):
+    monkeypatch.setattr(R, "ONE_TASK_EDGES", 0)
+    edges = spark.range(52).selectExpr("id AS a").crossJoin(spark.range(52).selectExpr("id AS b")).selectExpr("a", "b", "0 AS w")
+    assert {(r.a, r.b) for r in R._greedy(edges).collect()} == {(k, k) for k in range(52)}
+
+
 def test_aggregation_proposals(spark):
     a = table(spark, ["party", "amount"], [["X", "300"], ["Y", "50"], ["Z", "70"]])
     b = table(spark, ["party", "amount"], [["x", "100"], ["x", "200"], ["y", "20"], ["y", "30"], ["y", "99"]])
