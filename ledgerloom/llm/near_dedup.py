@@ -2,8 +2,10 @@
 
 Every tree sends a document down a path of tokens: at each node the document picks the token of its set
 that is least under the node's own hash, so two documents part at a node with probability 1 - J. Trees
-are independent, and their number follows from the recall that is asked for. All keys of a document come
-from its own set, so trees cost one pass over the texts.
+are independent, and their number follows from the recall that is asked for. As large nodes are compared at
+depth ``DEEP`` only, so many trees are grown that deep nodes alone give the recall; those above the number
+that shallow nodes need have deep nodes only. All keys of a document come from its own set, so trees cost one
+pass over the texts.
 
 1. Documents of equal sets form a class; only the smallest id of a class goes on.
 2. At the nodes of depth ``SHALLOW`` every member is compared with the node's smallest id (a number of pairs
@@ -37,13 +39,13 @@ SHALLOW, DEEP, LARGE, PROBES, BLOCK = 3, 5, 4096, 4, 256
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
-def trees_for(similarity: float, recall: float) -> int:
-    """Independent trees after which a pair at the threshold has shared a shallow node with the probability asked for."""
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - similarity**SHALLOW)))
+def trees_for(similarity: float, recall: float, depth: int = SHALLOW) -> int:
+    """Independent trees after which a pair at the threshold has shared a node of a depth with the probability asked for."""
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - similarity**depth)))
 
 
-def _paths(row: np.ndarray, token: np.ndarray, heads: np.ndarray, counts: np.ndarray, trees: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shallow, deep) node keys, one column a tree, of rows that have tokens."""
+def _paths(row: np.ndarray, token: np.ndarray, heads: np.ndarray, counts: np.ndarray, trees: int, full: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shallow, deep) node keys, one column a tree, of rows that have tokens; trees from ``full`` on have the deep node twice."""
     shallow, deep = (np.empty((len(heads), trees), np.uint64) for _ in range(2))
     for t in range(trees):
         node = mix(np.full(len(heads), t + 1, np.uint64))
@@ -52,14 +54,15 @@ def _paths(row: np.ndarray, token: np.ndarray, heads: np.ndarray, counts: np.nda
             h ^= h >> np.uint64(32)
             h *= _ODD
             node = mix(node * np.uint64(31) + np.minimum.reduceat(h, heads))
-            if level == SHALLOW:
+            if level == (SHALLOW if t < full else DEEP):
                 shallow[:, t] = node
         deep[:, t] = node
     return shallow, deep
 
 
-def shingle_table(docs: DataFrame, trees: int, width: int = 5) -> DataFrame:
+def shingle_table(docs: DataFrame, trees: int, width: int = 5, full: int | None = None) -> DataFrame:
     """doc_id, row_key, n_shingles, s1, s2 (digest of the set), shallow, deep (node keys by tree; none without shingles)."""
+    shallow_trees = trees if full is None else full
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,7 +77,7 @@ def shingle_table(docs: DataFrame, trees: int, width: int = 5) -> DataFrame:
                 if len(full):
                     sums[0, full] = np.add.reduceat(mix(token + np.uint64(1)), heads)
                     sums[1, full] = np.add.reduceat(mix(token ^ np.uint64(0x5DEECE66D1234567)), heads)
-                    keys = _paths(row, token, heads, n[full], trees)
+                    keys = _paths(row, token, heads, n[full], trees, shallow_trees)
                 at = pa.array(np.concatenate([[0], np.cumsum((n > 0) * trees)]).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(at, pa.array(k.reshape(-1).view(np.int64))) for k in keys]
                 part = batch.slice(lo, hi - lo)
@@ -125,8 +128,8 @@ def _confirmed(texts: DataFrame, pairs: DataFrame, similarity: float, width: int
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: float = 0.9999) -> DataFrame:
     """doc_id, row_key, n_shingles, component_id, kept of every row."""
-    trees = trees_for(similarity, recall)
-    table = stored(shingle_table(docs, trees, width))
+    trees = trees_for(similarity, recall, DEEP)
+    table = stored(shingle_table(docs, trees, width, trees_for(similarity, recall)))
     some = table.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stored(some.groupBy("s1", "s2", "n_shingles").agg(F.min(F.struct("doc_id", "row_key")).alias("least"), F.min_by(F.struct("shallow", "deep"), F.struct("doc_id", "row_key")).alias("keys")).select("s1", "s2", "n_shingles", F.col("least.doc_id").alias("rep"), F.col("least.row_key").alias("row_key"), "keys.shallow", "keys.deep"))
     zipped = F.explode(F.arrays_zip("shallow", "deep")).alias("k")

@@ -1,3 +1,4 @@
+import importlib
 import random
 import re
 
@@ -78,3 +79,17 @@ def test_components_of_a_chain_and_a_star(spark):
     star = [(100, 101 + k) for k in range(50)]
     got = {r.id: r.component for r in components(spark.createDataFrame(chain + star, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(41)}, **{k: 100 for k in range(100, 151)}}
+
+
+def test_large_nodes_keep_the_recall(spark, docs_of, monkeypatch):
+    near_dedup_module = importlib.import_module("ledgerloom.llm.near_dedup")
+    monkeypatch.setattr(near_dedup_module, "LARGE", 1)  # every node is compared inside its deep children
+    deep = near_dedup_module.DEEP
+    seen = []
+    table = near_dedup_module.shingle_table
+    monkeypatch.setattr(near_dedup_module, "shingle_table", lambda docs, trees, *rest: seen.append(trees) or table(docs, trees, *rest))
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(words[:50] + [f"x{k}"] * (k > 0)) for k in range(30)] + ["other words altogether here now"]
+    got = near_dedup_module.near_duplicates(docs_of(texts), 0.8).collect()
+    assert len({r.component_id for r in got if r.doc_id < 30}) == 1 and {r.component_id for r in got if r.doc_id == 30} == {30}
+    assert (1 - 0.8**deep) ** seen[0] <= 0.0001
