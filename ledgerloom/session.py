@@ -18,9 +18,30 @@ def session(app: str = "ledgerloom", **more: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's own checkpoint folder. A folder
+    of this machine is taken in local mode only; a cluster without a shared folder is an error."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder.rstrip("/")
+    own = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if own.isDefined():
+        return own.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), "ledgerloom-checkpoints")
+
+
+def gone_at_exit(spark: SparkSession, path: str) -> None:
+    """The path goes when the application ends."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the folder in spark.checkpoint.dir; a folder of this machine only where that is unset."""
+    """Cut the lineage by a checkpoint in the shared folder; the files go when the application ends."""
     spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "ledgerloom-checkpoints"))
+    jsc = spark.sparkContext._jsc.sc()
+    if jsc.getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+        gone_at_exit(spark, jsc.getCheckpointDir().get())
     return df.checkpoint(eager=True)
