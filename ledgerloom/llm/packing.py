@@ -15,8 +15,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -24,13 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretokens import Cutter
-from .shared import documents, stored
-from .textarrays import ragged
-from .token_counts import RankMerger
+from .shared import documents, lean, stored
+from .textarrays import STRETCH, Words, long_rows_cut, ragged, slices, text_buffers
+from .token_counts import coder, may_fold
 
-#: Pieces of a shard (about), shards that meet in a later round, distinct pre-tokens a worker remembers.
-SHARD, FAN, REMEMBERED = 6000, 64, 600_000
+#: Pieces of a shard (about), and shards that meet in a later round.
+SHARD, FAN = 6000, 64
 #: A shard's least filled bins under this share of the tokens are packed again in the next round, this many at most.
 LOOSE_UNDER, LOOSE_BINS = 0.92, 16
 
@@ -79,37 +76,26 @@ def best_fit(lengths: np.ndarray, cap: Capacities) -> np.ndarray:
     return out
 
 
-@lru_cache(2)
-def _tools(path: str) -> tuple[Cutter, RankMerger, dict[str, int], list]:
-    """Cutter, merger, places of known pre-tokens, and [ids, starts, lengths] of these."""
-    return Cutter(path), RankMerger(path), {}, [np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)]
-
-
-def encode(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, offsets) of texts. Distinct pre-tokens are merged once and put together by index; the ids are the library's."""
-    cutter, merger, known, store = _tools(path)
-    cut = [cutter.pieces(t) for t in texts]
-    fresh = list(set().union(*cut) - known.keys()) if cut else []
-    if len(known) + len(fresh) > REMEMBERED:
-        known.clear()
-        store[:] = [np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)]
-        fresh = list(set().union(*cut))
-    for k in range(0, len(fresh), 50_000):
-        part = fresh[k : k + 50_000]
-        special = [w for w in part if w in cutter.specials]
-        plain = [w for w in part if w not in cutter.specials] if special else part
-        ids, offsets = merger.merged([w.encode() for w in plain])
-        ids = np.concatenate([ids, [cutter.specials[w] for w in special]]).astype(np.uint32)
-        lengths = np.concatenate([np.diff(offsets), np.ones(len(special), np.int64)])
-        starts = len(store[0]) + np.cumsum(lengths) - lengths
-        known.update(zip(chain(plain, special), range(len(known), len(known) + len(part)), strict=True))
-        store[:] = [np.concatenate(x) for x in ((store[0], ids), (store[1], starts), (store[2], lengths))]
-    get = known.__getitem__
-    at = np.fromiter(map(get, chain.from_iterable(cut)), np.int64)
-    lengths = store[2][at]
-    ids = store[0][ragged(store[1][at], lengths)]
-    per_word = np.concatenate([[0], np.cumsum(lengths)])
-    return ids, per_word[np.concatenate([[0], np.cumsum([len(w) for w in cut])]).astype(np.int64)]
+def encoded(data: np.ndarray, offsets: np.ndarray, path: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, ids, tokens of each row) of whole rows, lot by lot; the ids are the library's."""
+    own = coder(path)
+    cuts, row = long_rows_cut(data, offsets, STRETCH)
+    held: list[np.ndarray] = []  # ids of a long row that goes on in the next stretch
+    for lo, hi in slices(cuts, STRETCH):
+        words = Words(data, cuts, lo, hi, fold=may_fold(data[cuts[lo] : cuts[hi]]))
+        at = own.words(words) if len(words.start) else np.zeros(0, np.int64)
+        lengths = own.lengths[at].astype(np.int64)
+        ids = own.ids[ragged(own.starts[at], lengths)]
+        rows = row[lo:hi] - row[lo]
+        counts = np.bincount(rows[words.row], lengths, rows[-1] + 1).astype(np.int64)
+        if held:
+            counts[0] += sum(map(len, held))
+            ids, held = np.concatenate([*held, ids]), []
+        if hi < len(row) and row[hi] == row[hi - 1]:
+            keep = len(ids) - counts[-1]
+            held, ids, counts = [ids[keep:]], ids[:keep], counts[:-1]
+        if len(counts):
+            yield int(row[lo]), ids, counts
 
 
 def pieces(docs: DataFrame, path: str, end_id: int = 1, max_tokens: int = 4096) -> DataFrame:
@@ -117,22 +103,25 @@ def pieces(docs: DataFrame, path: str, end_id: int = 1, max_tokens: int = 4096)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                part = batch.slice(k, 1024)
-                ids, offsets = encode(part.column("text").to_pylist(), path)
-                rows: list[list] = [[], [], [], [], []]
-                for r in range(part.num_rows):
-                    own = np.append(ids[offsets[r] : offsets[r + 1]], np.uint32(end_id)).astype("<u4")
-                    for p, start in enumerate(range(0, len(own), max_tokens)):
-                        piece = own[start : start + max_tokens]
-                        for column, v in zip(rows, (r, p, start, len(piece), zlib.crc32(piece.tobytes())), strict=True):
-                            column.append(v)
-                at = pa.array(rows[0], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), part.column("row_key").take(at), part.column("copy_").take(at), pa.array(rows[1], pa.int32()), *(pa.array(x, pa.int64()) for x in rows[2:])], ["doc_id", "row_key", "copy_", "piece", "start", "length", "ids_crc32"])
+            for first, ids, counts in encoded(*text_buffers(batch.column("text")), path):
+                size = counts + 1
+                ends = np.cumsum(size)
+                all_ = np.full(int(ends[-1]), end_id, "<u4")
+                all_[ragged(ends - size, counts)] = ids
+                n = -(-size // max_tokens)
+                row = np.repeat(np.arange(len(size)), n)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                start = piece * max_tokens
+                length = np.minimum(size[row] - start, max_tokens)
+                begin = ((ends - size)[row] + start) * 4
+                raw = memoryview(all_).cast("B")
+                crc = [zlib.crc32(raw[a : a + m]) for a, m in zip(begin.tolist(), (length * 4).tolist(), strict=True)]
+                at = pa.array(row + first)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("row_key").take(at), batch.column("copy_").take(at), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "row_key", "copy_", "piece", "start", "length", "ids_crc32"])
 
     copy = F.monotonically_increasing_id().alias("copy_")
     schema = "doc_id long, row_key long, copy_ long, piece int, start long, length long, ids_crc32 long"
-    return documents(docs).select("doc_id", "row_key", copy, "text").mapInArrow(cut, schema)
+    return documents(docs).select("doc_id", "row_key", copy, "text").mapInArrow(lean(cut), schema)
 
 
 def pack(cut: DataFrame, cap: Capacities = Capacities(), shard: int = SHARD) -> DataFrame:

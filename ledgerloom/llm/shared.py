@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpointed, gone_at_exit, shared_folder
+
 #: Characters that the contracts call white space: space and 0x09-0x0D.
 BLANKS = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -33,12 +36,8 @@ def documents(docs: DataFrame, *extra: Column) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage through spark.checkpoint.dir, which the cluster sets; a folder of this machine only where it is unset."""
-    spark = df.sparkSession
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "ledgerloom-checkpoints"))
-    return df.checkpoint(eager=True)
+    """Cut the lineage by a checkpoint in the shared folder; it goes when the application ends."""
+    return checkpointed(df)
 
 
 def parts(spark: SparkSession) -> int:
@@ -53,10 +52,26 @@ def held(modulus: int) -> Column:
 def written(df: DataFrame) -> DataFrame:
     """Like ``stored``, as a compressed Parquet table in the same shared folder; it goes when the application ends."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "ledgerloom-checkpoints")
-    path = f"{folder.rstrip('/')}/ledgerloom-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/ledgerloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    gone_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def lean(work: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """work, after which the Python worker gives freed memory back to the system, as workers live on between stages."""
+
+    def run(batches: Batches) -> Batches:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library: nothing to trim
+                pass
+
+    return run

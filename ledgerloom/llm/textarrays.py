@@ -44,6 +44,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each stretch ``data[start[i]:end[i]]`` (in order of start), worked out piece by piece in bounded memory."""
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(start, start[i] + STRETCH)))
+        base, stop = start[i], end[j - 1]
+        power, inverse = powers(int(stop - base) + 1)
+        total = np.zeros(stop - base + 1, np.uint64)
+        np.cumsum(_BYTE[data[base:stop]] * power[: stop - base], out=total[1:])
+        a, b = start[i:j] - base, end[i:j] - base
+        out[i:j] = mix((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64))
+        i = j
+    return out
+
+
 def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; row i is ``bytes[offsets[i]:offsets[i + 1]]``."""
     if isinstance(column, pa.ChunkedArray):
@@ -69,6 +85,30 @@ def slices(offsets: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int]
         row = end
 
 
+def long_rows_cut(data: np.ndarray, offsets: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, row of each stretch): rows of over ``most`` bytes in stretches that end at white space, so that no word is cut."""
+    cuts, size = [offsets], np.diff(offsets)
+    for r in np.flatnonzero(size > most):
+        blank = np.flatnonzero(SPACE[data[offsets[r] : offsets[r + 1]]])
+        want = np.arange(most, size[r], most)
+        at = np.searchsorted(blank, want)
+        cuts.append(offsets[r] + np.unique(blank[at[at < len(blank)]]))
+    if len(cuts) == 1:
+        return offsets, np.arange(len(size))
+    inner = np.setdiff1d(np.concatenate(cuts[1:]), offsets)
+    out = np.sort(np.concatenate([offsets, inner]), kind="stable")
+    return out, _row_of(out, offsets)
+
+
+def _row_of(cuts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The row of each stretch; stretches of no bytes belong to the empty rows in turn."""
+    starts = cuts[:-1]
+    row = np.searchsorted(offsets, starts, "right") - 1
+    empty = np.flatnonzero(np.diff(cuts) == 0)
+    row[empty] = np.flatnonzero(np.diff(offsets) == 0)
+    return row
+
+
 class Words:
     """The words of rows [lo, hi): ``start``, ``end`` (byte places), ``row``, and ``first`` word of each row."""
 
@@ -97,18 +137,7 @@ class Words:
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word, whatever its place; worked out over stretches of bounded length."""
         if self._hash is None:
-            out = np.empty(len(self.start), np.uint64)
-            i = 0
-            while i < len(self.start):
-                j = max(i + 1, int(np.searchsorted(self.start, self.start[i] + STRETCH)))
-                base, stop = self.start[i], self.end[j - 1]
-                power, inverse = powers(int(stop - base) + 1)
-                total = np.zeros(stop - base + 1, np.uint64)
-                np.cumsum(_BYTE[self.data[base:stop]] * power[: stop - base], out=total[1:])
-                a, b = self.start[i:j] - base, self.end[i:j] - base
-                out[i:j] = mix((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64))
-                i = j
-            self._hash = out
+            self._hash = range_hashes(self.data, self.start, self.end)
         return self._hash
 
     def shingles(self, width: int = 5) -> tuple[np.ndarray, np.ndarray]:

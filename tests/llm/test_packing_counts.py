@@ -87,3 +87,61 @@ def test_packing_of_odd_rows(odd_docs, library):
     assert sum(r.piece == 0 for r in rows) == odd_docs.count()
     check_packing(rows, list(enumerate(ODD)), library)
     assert pack_documents(odd_docs.limit(0), tokenizer_path()).count() == 0
+
+
+def test_every_cut_of_a_text_gives_the_same_ids(library, monkeypatch):
+    """Fast and slow words, special strings in either case, and texts cut into short stretches."""
+    import random
+
+    import pyarrow as pa
+
+    from ledgerloom.llm import packing, token_counts
+    from ledgerloom.llm.textarrays import text_buffers
+
+    rng = random.Random(3)
+    bits = ["the", "The.", "ÀÉÎÕÜ", "ß×÷", "naïve,", "it's", "'s", "x1y22", "<|endoftext|>", "<|ENDOFTEXT|>", "a<|startoftext|>B", "中文", "İΣς", "—", "...", "é" * 9, "\x85", "𝒳", "ŒŸ", "3½", "@@", "é"]
+    texts = [rng.choice(["", " "]).join(rng.choice(bits) + rng.choice(["", " ", "\n", "\t "]) for _ in range(rng.randint(0, 60))) for _ in range(150)] + ["", "word " * 3000, "x" * 4000]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for stretch in (1 << 19, 64):
+        monkeypatch.setattr(packing, "STRETCH", stretch)
+        monkeypatch.setattr(token_counts, "STRETCH", stretch)
+        got = [(first, ids.tolist(), counts) for first, ids, counts in packing.encoded(*text_buffers(pa.array(texts)), tokenizer_path())]
+        assert [i for _, ids, _ in got for i in ids] == [i for w in want for i in w]
+        assert [int(c) for _, _, counts in got for c in counts] == [len(w) for w in want]
+        assert [first for first, _, _ in got] == np.cumsum([0] + [len(c) for _, _, c in got])[:-1].tolist()
+        assert count_texts(texts, tokenizer_path()) == [len(w) for w in want]
+
+
+def test_best_fit_is_near_the_optimum_of_small_cases():
+    """Against the exact least number of bins, found by trying all ways; equal lengths included."""
+
+    def least(lengths, cap):
+        best = [len(lengths)]
+
+        def go(i, bins):
+            if len(bins) >= best[0]:
+                return
+            if i == len(lengths):
+                best[0] = len(bins)
+                return
+            for k in range(len(bins)):
+                if bins[k] + lengths[i] <= cap and bins.index(bins[k]) == k:
+                    bins[k] += lengths[i]
+                    go(i + 1, bins)
+                    bins[k] -= lengths[i]
+            go(i + 1, [*bins, lengths[i]])
+
+        go(0, [])
+        return best[0]
+
+    rng = np.random.default_rng(7)
+    extra = 0
+    for _ in range(60):
+        lengths = np.sort(rng.integers(10, 70, 10))[::-1]
+        lengths[rng.integers(0, 10, 4)] = 30
+        lengths = np.sort(lengths)[::-1]
+        used = len(np.unique(best_fit(lengths, Capacities(100, 100, 1e9))))
+        want = least(lengths.tolist(), 100)
+        assert used <= want + 1
+        extra += used - want
+    assert extra <= 6
