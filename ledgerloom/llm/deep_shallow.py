@@ -1,19 +1,18 @@
 """Deep-shallow suffix sorting of short segments, for repeats of a given length.
 
 ``repeated`` takes segments that share an anchor and tells which of their windows of ``length`` bytes stand
-in another segment at the same distance from the anchor. Window suffixes are first ordered by a multikey
-quicksort over eight-byte words, all groups of one level at once, to a shallow depth. Groups that are still
-equal there have long common prefixes; each is then ordered by a blind trie, which also gives every
-suffix's longest common prefix with the others. A suffix whose prefix is longer than needed settles the
-windows after it too, so few of the groups need a trie.
+in another segment at the same distance from the anchor. At one distance the suffixes of a group's segments
+are sorted by a multikey quicksort over eight-byte words (ternary partitions about a median of three, all
+groups at once) to a shallow depth. Suffixes that are still equal there have long common prefixes; a blind
+trie orders them and gives each one's longest common prefix with the others. What all suffixes of a group
+have in common settles every pair up to its end, so the next distance to sort at lies behind that, or where
+another segment begins.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from .textarrays import ragged
-
 SHALLOW_WORDS = 8
 
 
@@ -61,6 +60,11 @@ class BlindTrie:
             return
         self._put(parent, at, [same, {other[same]: node, s[same]: me}])
 
+    def common(self) -> int:
+        """What all strings begin with."""
+        shortest = min(map(len, self.strings))
+        return min(self.root[0], shortest) if isinstance(self.root, list) else shortest
+
     def _put(self, parent: list | None, at: int, node: list | int) -> None:
         if parent is None:
             self.root = node
@@ -86,25 +90,43 @@ def _words(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pairs(data, begin, size, ahead, group, heads, members, length, out) -> None:
-    """Groups of two need no order: the runs of equal bytes on their common stretch give all common prefixes."""
-    members = members[np.argsort(group[members], kind="stable")]
-    a, b = members[::2], members[1::2]
-    before = np.minimum(ahead[a], ahead[b])
-    after = np.minimum(size[a] - ahead[a], size[b] - ahead[b])
-    n = before + after
-    from_a, from_b = ahead[a] - before, ahead[b] - before
-    same = data[ragged(begin[a] + from_a, n)] == data[ragged(begin[b] + from_b, n)]
-    # equal bytes from each place on, to the end of the pair's stretch
-    which = np.repeat(np.arange(len(n)), n)
-    ends = np.cumsum(n)
-    place = np.arange(len(same))
-    stop = np.where(same, ends[which], place)
-    stop = np.minimum.accumulate(stop[::-1])[::-1] if len(stop) else stop
-    good = np.flatnonzero(np.minimum(stop, ends[which]) - place >= length)
-    p, offset = which[good], place[good] - (ends - n)[which[good]]
-    out[heads[a[p]] + from_a[p] + offset] = True
-    out[heads[b[p]] + from_b[p] + offset] = True
+def multikey_quicksort(words: np.ndarray, start: np.ndarray, group: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, tie): suffixes in order within their groups, as far as ``levels`` words tell, and numbers of those that are equal.
+
+    Each step splits every open group by its pivot into less, equal and greater; equal ones go on a word deeper.
+    """
+    order = np.argsort(group, kind="stable")
+    tie = group[order]
+    tie = np.cumsum(np.concatenate([[0], tie[1:] != tie[:-1]])) if len(tie) else tie
+    level = np.zeros(len(order), np.int64)
+    live = np.arange(len(order))  # places in ``order`` of groups that are open
+    while True:
+        own = tie[live]
+        size = np.bincount(own, minlength=int(own.max(initial=-1)) + 1)
+        live = live[(size[own] > 1) & (level[live] < levels)]
+        if not len(live):
+            return order, tie
+        own = tie[live]
+        word = words[start[order[live]] + 8 * level[live]]
+        heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        n = np.diff(np.append(heads, len(own)))
+        three = np.sort(np.stack([word[heads], word[heads + n // 2], word[heads + n - 1]]), 0)
+        pivot = np.repeat(three[1], n)
+        side = (word >= pivot).astype(np.int64) + (word > pivot)
+        which = np.repeat(np.arange(len(heads)), n)
+        inner = np.argsort(which * 3 + side, kind="stable")
+        order[live], level[live] = order[live][inner], level[live][inner] + (side[inner] == 1)
+        part = (which * 3 + side)[inner]
+        cut = np.zeros(len(order), bool)
+        cut[live[1:]] = (part[1:] != part[:-1]) & (which[1:] == which[:-1])
+        tie = tie + np.cumsum(cut)
+
+
+def _common_heads(data: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Length of the common prefix of the suffixes from a[i] and b[i] on, if under ``most``."""
+    place = np.arange(most)
+    differ = data[a[:, None] + place] != data[b[:, None] + place]
+    return np.where(differ.any(1), differ.argmax(1), most)
 
 
 def repeated(data: np.ndarray, begin: np.ndarray, size: np.ndarray, ahead: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
@@ -115,45 +137,57 @@ def repeated(data: np.ndarray, begin: np.ndarray, size: np.ndarray, ahead: np.nd
     """
     windows = size - length + 1
     heads = np.cumsum(windows) - windows
-    segment = np.repeat(np.arange(len(size)), windows)
-    step = np.arange(len(segment)) - heads[segment]
-    start = begin[segment] + step
-    out = np.zeros(len(segment), bool)
-    members = np.bincount(group, minlength=int(group.max(initial=-1)) + 1)
-    pair = members[group] == 2
-    if pair.any():
-        _pairs(data, begin, size, ahead, group, heads, np.flatnonzero(pair), length, out)
-    words = _words(data)
-    # level 0: suffixes of one group at one distance from the anchor
-    cell = np.stack([group[segment], ahead[segment] - step], 1)
-    order = np.flatnonzero(~pair[segment])
-    order = order[np.lexsort((cell[order, 1], cell[order, 0]))]
-    cut = (np.diff(cell[order], axis=0) != 0).any(1)
-    tie = np.concatenate([[0], np.cumsum(cut)]) if len(order) else np.zeros(0, np.int64)
-    for level in range(min(SHALLOW_WORDS, length // 8)):
-        counts = np.bincount(tie) if len(tie) else np.zeros(0, np.int64)
-        keep = counts[tie] > 1
-        order, tie = order[keep], tie[keep]
-        if not len(order):
-            break
-        word = words[start[order] + 8 * level]
-        inner = np.lexsort((word, tie))
-        order, tie, word = order[inner], tie[inner], word[inner]
-        tie = np.concatenate([[0], np.cumsum((tie[1:] != tie[:-1]) | (word[1:] != word[:-1]))])
-    if not len(order):
+    out = np.zeros(int(windows.sum()), bool)
+    if not len(size):
         return out
+    words, raw, levels = _words(data), data.tobytes(), min(SHALLOW_WORDS, length // 8)
+    n = int(group.max()) + 1
+    none = np.iinfo(np.int64).min
+    cursor = np.full(n, none)  # the distance that a group is sorted at
+    np.maximum.at(cursor, group, ahead)
+    least = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(least, group, ahead - windows + 1)
+    own = np.flatnonzero(np.bincount(group, minlength=n)[group] > 1)  # segments of groups that aren't done
+    while len(own):
+        at = cursor[group[own]]
+        there = own[(ahead[own] >= at) & (ahead[own] - windows[own] < at)]
+        behind = np.full(n, none)
+        later = own[ahead[own] < at]
+        np.maximum.at(behind, group[later], ahead[later])
+        members = np.bincount(group[there], minlength=n)
+        there = there[members[group[there]] > 1]
+        step = ahead[there] - cursor[group[there]]
+        start = begin[there] + step
+        common = _settled(data, raw, words, start, begin[there] + size[there], group[there], levels, length, heads[there] + step, out, n)
+        cursor = np.where(members > 1, np.maximum(cursor - common - 1, behind), behind)
+        own = own[cursor[group[own]] >= least[group[own]]]
+    return out
+
+
+def _settled(data, raw, words, start, end, group, levels, length, window, out, n) -> np.ndarray:
+    """Sort the suffixes of each group, mark the windows that repeat, and return what all of a group's suffixes begin with."""
+    common = np.zeros(n, np.int64)
+    if not len(start):
+        return common
+    order, tie = multikey_quicksort(words, start, group, levels)
+    own = group[order]
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    last = np.append(first[1:], len(own)) - 1
+    split = tie[first] != tie[last]
+    common[own[first[split]]] = _common_heads(data, start[order[first[split]]], start[order[last[split]]], max(1, 8 * levels))
     bounds = np.flatnonzero(np.concatenate([[True], tie[1:] != tie[:-1], [True]]))
-    groups = [order[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True) if b - a > 1]
-    groups.sort(key=lambda g: -int(cell[g[0], 1]))  # leftmost windows first
-    raw = data.tobytes()
-    ends = begin + size
-    for members in groups:
-        if out[members].all():
+    alone = np.ones(n, bool)
+    alone[own[first[split]]] = False
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if b - a == 1:
             continue
         trie = BlindTrie()
+        members = order[a:b].tolist()
         for w in members:
-            trie.add(raw[start[w] : ends[segment[w]]])
+            trie.add(raw[start[w] : end[w]])
         for w, same in zip(members, trie.lcp, strict=True):
             if same >= length:
-                out[w : w + same - length + 1] = True
-    return out
+                out[window[w] : window[w] + same - length + 1] = True
+        if alone[own[a]]:
+            common[own[a]] = trie.common()
+    return common

@@ -4,12 +4,14 @@
    least hash. Equal windows have equal anchors at equal distances, so only windows of equal anchors need
    comparing. Windows of one anchor are consecutive and make a segment; about 1.2 % of the places are
    anchors.
-2. Segments are range-partitioned by (anchor hash, segment hash, text) and read as a sorted stream. A segment
-   whose like stands elsewhere is a repeat as a whole; equal segments are thus aggregated before any text is
-   moved. An anchor of which there are different segments needs their bytes.
-3. These are sorted by anchor with deep-shallow suffix sorting (``deep_shallow``). Anchors with more than
-   ``CROWD`` different segments, such as the ends of a passage in a third of all texts, never meet in one
-   task: their windows are compared by 128-bit digests in a pre-aggregated count.
+2. Segments are range-partitioned by (anchor hash, two segment hashes, text) and read as a sorted stream. A
+   segment whose like (by 128 bits of hashes beside the anchor's 64) stands elsewhere is a repeat as a whole;
+   equal segments are thus aggregated before any text is moved. An anchor of which there are different
+   segments needs their bytes.
+3. All of these, groups of two included, are sorted by anchor with deep-shallow suffix sorting
+   (``deep_shallow``). Anchors with more than ``CROWD`` different segments, such as the ends of a passage in a
+   third of all texts, never meet in one task: their windows are compared by 128-bit digests in a
+   pre-aggregated count.
 4. Runs of repeated windows come together by text, and each text is cut once.
 
 Texts are UTF-8 bytes; matches never cross texts. Null and short texts lose nothing. Equal texts are
@@ -28,10 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .deep_shallow import repeated
-from .shared import modest, parts, written
-from .textarrays import _BYTE, _INV, _MULT, mix, slices, text_buffers
+from .shared import lean, modest, parts, written
+from .textarrays import _BYTE, _INV, _MULT, mix, ragged, slices, text_buffers
 
 GRAM, CROWD = 32, 2000
+#: Bytes of text whose segments are worked out at once.
+MOST = 1 << 18
 _POWERS: dict[int, tuple[np.ndarray, ...]] = {}
 
 
@@ -49,10 +53,11 @@ def _places(n: int) -> np.ndarray:
     return have[0][:n]
 
 
-def _prefix(data: np.ndarray) -> np.ndarray:
-    """Sums that give the hash of any stretch of bytes by one difference and one product."""
+def _prefix(data: np.ndarray, kind: int = 0) -> np.ndarray:
+    """Sums that give the hash of any stretch of bytes by one difference and one product; kind 1: an independent one."""
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _powers(len(data))[0][: len(data)], out=total[1:])
+    value = _BYTE[::-1] * _MULT ^ _BYTE if kind else _BYTE
+    np.cumsum(value[data] * _powers(len(data))[0][: len(data)], out=total[1:])
     return total
 
 
@@ -61,10 +66,10 @@ def _stretch(total: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(row, anchor hash, segment hash, first window, last window, anchor) with places relative to the row."""
+    """(row, anchor hash, two segment hashes, first window, last window, anchor) with places relative to the row."""
     n, width = len(data), length - GRAM + 1
     if n < length:
-        return tuple(np.zeros(0, np.int64) for _ in range(6))
+        return tuple(np.zeros(0, np.int64) for _ in range(7))
     total = _prefix(data)
     gram = (total[GRAM:] - total[:-GRAM]) * _powers(n + 1)[1][: n - GRAM + 1]
     gram ^= gram >> np.uint64(31)
@@ -87,9 +92,21 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     keep = cut + length <= offsets[row + 1]
     first, last, r = cut[keep], last[keep], row[keep]
     at = (least[first] & np.uint64((1 << 28) - 1)).astype(np.int64)
-    segment = mix(_stretch(total, first, last + length) + ((at - first).astype(np.uint64) << np.uint64(32)) + (last - first).astype(np.uint64))
+    place = ((at - first).astype(np.uint64) << np.uint64(32)) + (last - first).astype(np.uint64)
+    segment = mix(_stretch(total, first, last + length) + place)
+    other = mix(_stretch(_prefix(data, 1), first, last + length) ^ mix(place))
     base = offsets[r]
-    return r, mix(gram[at]), segment, first - base, last - base, at - base
+    return r, mix(gram[at]), segment, other, first - base, last - base, at - base
+
+
+def all_segments(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """``segments`` of rows, a bounded number of bytes at once; a long row comes in stretches that overlap by a window."""
+    for lo, hi in slices(offsets, MOST):
+        begin, end = int(offsets[lo]), int(offsets[hi])
+        for a in range(begin, end, MOST) if hi - lo == 1 else [begin]:
+            b = min(end, a + MOST + length - 1) if hi - lo == 1 else end
+            r, key, seg, other, first, last, at = segments(data[a:b], offsets[lo : hi + 1] - begin if hi - lo > 1 else np.array([0, b - a]), length)
+            yield r + lo, key, seg, other, first + (a - begin), last + (a - begin), at + (a - begin)
 
 
 def _ident(text) -> list:
@@ -102,47 +119,42 @@ def _texts(docs: DataFrame) -> DataFrame:
     return modest(docs).select(F.col("doc_id").cast("long").alias("doc_id"), *_ident(text), text.alias("text"))
 
 
-PLACED = "key long, seg long, t1 long, t2 long, first int, last int, ahead int"
+NAMES = ["key", "seg", "seg2", "t1", "t2", "first", "last", "ahead"]
+PLACED = "key long, seg long, seg2 long, t1 long, t2 long, first int, last int, ahead int"
 FULL, MIXED, EDGE = 0, 1, 2
 
 
 def _segments(texts: DataFrame, length: int) -> DataFrame:
-    """Segments of texts; copies within a partition are left out, and those of other partitions by the sorted stream."""
+    """Segments of texts; copies within a batch are left out, and others by the sorted stream."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            pairs = list(zip(batch.column("t1").to_pylist(), batch.column("t2").to_pylist(), strict=True))
-            fresh = []
-            for i, pair in enumerate(pairs):
-                if pair not in seen:
-                    seen.add(pair)
-                    fresh.append(i)
-            batch = batch.take(pa.array(fresh, pa.int64()))
+            own = np.stack([batch.column(c).to_numpy() for c in ("t1", "t2")], 1)
+            fresh = np.sort(np.unique(own, axis=0, return_index=True)[1])
+            batch = batch.take(pa.array(fresh))
             data, offsets = text_buffers(batch.column("text"))
-            t1, t2 = batch.column("t1").to_numpy(), batch.column("t2").to_numpy()
-            for lo, hi in slices(offsets):
-                r, key, seg, first, last, anchor = segments(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], length)
-                columns = [key.view(np.int64), seg.view(np.int64), t1[lo:hi][r], t2[lo:hi][r], first.astype(np.int32), last.astype(np.int32), (anchor - first).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "seg", "t1", "t2", "first", "last", "ahead"])
+            t1, t2 = own[fresh, 0], own[fresh, 1]
+            for r, key, seg, other, first, last, anchor in all_segments(data, offsets, length):
+                columns = [key.view(np.int64), seg.view(np.int64), other.view(np.int64), t1[r], t2[r], first.astype(np.int32), last.astype(np.int32), (anchor - first).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], NAMES)
 
-    return texts.where(F.octet_length("text") >= length).select("t1", "t2", "text").mapInArrow(work, PLACED)
+    return texts.where(F.octet_length("text") >= length).select("t1", "t2", "text").mapInArrow(lean(work), PLACED)
 
 
 def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From segments in order of (key, seg, text): repeats (FULL), different segments of one anchor (MIXED, one of each), and
     one of each segment of the first and last anchor (EDGE), whose others may stand in the next partition."""
-    names = ["key", "seg", "t1", "t2", "first", "last", "ahead"]
+    names = NAMES
     carried: pa.Table | None = None
     at_start = True
 
     def told(t: pa.Table, first_edge: bool, last_edge: bool) -> pa.RecordBatch:
-        columns = [t.column(c).to_numpy() for c in ("key", "seg", "t1", "t2", "first")]
+        columns = [t.column(c).to_numpy() for c in ("key", "seg", "seg2", "t1", "t2", "first")]
         differ = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)])
         t = t.filter(pa.array(differ))  # the same segment of a copy of the text
-        key, seg = columns[0][differ], columns[1][differ]
+        key, seg, seg2 = (c[differ] for c in columns[:3])
         new_key = np.concatenate([[True], key[1:] != key[:-1]])
-        new_seg = new_key | np.concatenate([[True], seg[1:] != seg[:-1]])
+        new_seg = new_key | np.concatenate([[True], (seg[1:] != seg[:-1]) | (seg2[1:] != seg2[:-1])])
         of_key, of_seg = np.cumsum(new_key) - 1, np.cumsum(new_seg) - 1
         copies = np.bincount(of_seg)[of_seg]
         kinds = np.bincount(of_key, new_seg)[of_key]
@@ -185,17 +197,17 @@ def repeated_windows(docs: DataFrame, length: int = 200) -> DataFrame:
     n = parts(docs.sparkSession)
     distinct = written(texts.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max(F.octet_length("text")).alias("size")))
     copied_texts = distinct.where(f"copies > 1 AND size >= {length}").select("t1", "t2", F.lit(0).alias("first"), (F.col("size") - length).cast("int").alias("last"))
-    ranged = _segments(texts, length).repartitionByRange(n, "key", "seg", "t1").sortWithinPartitions("key", "seg", "t1", "t2", "first")
-    told = written(ranged.mapInArrow(_sorted_out, SORTED))
-    columns = ["key", "seg", "t1", "t2", "first", "last", "ahead"]
+    ranged = _segments(texts, length).repartitionByRange(n, "key", "seg", "t1").sortWithinPartitions("key", "seg", "seg2", "t1", "t2", "first")
+    told = written(ranged.mapInArrow(lean(_sorted_out), SORTED))
+    columns = NAMES
     edges = told.where(F.col("kind") == EDGE).select(*columns, "settled")
     one = F.min(F.struct("t1", "t2", "first", "last", "ahead")).alias("one")
-    likes = edges.groupBy("key", "seg").agg(((F.count("*") > 1) | F.max("settled")).alias("settled"), one)
+    likes = edges.groupBy("key", "seg", "seg2").agg(((F.count("*") > 1) | F.max("settled")).alias("settled"), one)
     kinds = likes.groupBy("key").agg(F.count("*").alias("kinds"))
-    copied = likes.where("settled").select(F.col("key").alias("k"), F.col("seg").alias("s"))
+    copied = likes.where("settled").select(F.col("key").alias("k"), F.col("seg").alias("s"), F.col("seg2").alias("s2"))
     alone = edges.where(~F.col("settled"))
-    edge_full = alone.join(copied, (alone.key == copied.k) & (alone.seg == copied.s), "left_semi")
-    edge_mixed = likes.join(kinds.where("kinds > 1"), "key").select("key", "seg", "one.*", "settled", "kinds")
+    edge_full = alone.join(copied, (alone.key == copied.k) & (alone.seg == copied.s) & (alone.seg2 == copied.s2), "left_semi")
+    edge_mixed = likes.join(kinds.where("kinds > 1"), "key").select("key", "seg", "seg2", "one.*", "settled", "kinds")
     full = told.where(F.col("kind") == FULL).select("t1", "t2", "first", "last").unionByName(edge_full.select("t1", "t2", "first", "last"))
     mixed = told.where(F.col("kind") == MIXED).select(*columns, "settled", "kinds").unionByName(edge_mixed.select(*columns, "settled", "kinds"))
     return full.unionByName(copied_texts).unionByName(_compared(texts, distinct, mixed, length))
@@ -209,32 +221,37 @@ def _compared(texts: DataFrame, distinct: DataFrame, mixed: DataFrame, length: i
     rows = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.rep) & (texts.t1 == wanted.w1) & (texts.t2 == wanted.w2)).select("t1", "t2", "text", "segs")
     schema = "key long, t1 long, t2 long, first int, ahead int, settled boolean, bytes binary, w1 long, w2 long, at int"
 
+    names = ["key", "t1", "t2", "first", "ahead", "settled", "bytes", "w1", "w2", "at"]
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "t1", "t2", "first", "ahead", "settled", "bytes", "w1", "w2", "at"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
         for batch in batches:
-            for r in range(batch.num_rows):
-                data = np.frombuffer(batch.column("text")[r].as_buffer(), np.uint8)
-                t1, t2 = batch.column("t1")[r].as_py(), batch.column("t2")[r].as_py()
-                segs = batch.column("segs")[r].as_py()
-                out: list[list] = [[] for _ in names]
-                crowd = [s for s in segs if s["kinds"] > CROWD]
-                for s in segs:
-                    if s["kinds"] <= CROWD:
-                        row = (s["key"], t1, t2, s["first"], s["ahead"], s["settled"], data[s["first"] : s["last"] + length].tobytes(), None, None, None)
-                        for c, v in zip(out, row, strict=True):
-                            c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
-                if crowd:
-                    at = np.concatenate([np.arange(s["first"], s["last"] + 1) for s in crowd])
-                    key = np.concatenate([np.full(s["last"] + 1 - s["first"], s["key"]) for s in crowd])
-                    settled = np.concatenate([np.full(s["last"] + 1 - s["first"], s["settled"]) for s in crowd])
-                    total = _prefix(data)
-                    w1 = mix(_stretch(total, at, at + length))
-                    reverse = _prefix(data[::-1])
-                    w2 = mix(_stretch(reverse, len(data) - at - length, len(data) - at) ^ key.view(np.uint64))
-                    m = len(at)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(m, t1)), pa.array(np.full(m, t2)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.array(settled), pa.nulls(m, pa.binary()), pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(at.astype(np.int32))], names)
+            data, offsets = text_buffers(batch.column("text"))
+            segs = batch.column("segs")
+            row = np.repeat(np.arange(batch.num_rows), segs.value_lengths().to_numpy())
+            s = {c: segs.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("key", "first", "last", "ahead", "settled", "kinds")}
+            t1, t2 = (batch.column(c).to_numpy()[row] for c in ("t1", "t2"))
+            few = np.flatnonzero(s["kinds"] <= CROWD)
+            size = (s["last"] - s["first"]).astype(np.int64) + length
+            for lo, hi in slices(np.concatenate([[0], np.cumsum(size[few])]), MOST):
+                i = few[lo:hi]
+                raw = data[ragged(offsets[row[i]] + s["first"][i], size[i])]
+                at = np.concatenate([[0], np.cumsum(size[i])]).astype(np.int32)
+                cut_out = pa.Array.from_buffers(pa.binary(), len(i), [None, pa.py_buffer(at), pa.py_buffer(raw)])
+                m = len(i)
+                yield pa.RecordBatch.from_arrays([pa.array(s["key"][i]), pa.array(t1[i]), pa.array(t2[i]), pa.array(s["first"][i]), pa.array(s["ahead"][i]), pa.array(s["settled"][i]), cut_out, pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32())], names)
+            crowd = np.flatnonzero(s["kinds"] > CROWD)
+            for r in np.unique(row[crowd]):
+                i = crowd[row[crowd] == r]
+                text = data[offsets[r] : offsets[r + 1]]
+                n = (s["last"] - s["first"])[i].astype(np.int64) + 1
+                at, which = ragged(s["first"][i].astype(np.int64), n), np.repeat(i, n)
+                for lo in range(0, len(at), MOST):
+                    a, k = at[lo : lo + MOST], which[lo : lo + MOST]
+                    base, stop = int(a.min()), int(a.max()) + length
+                    w1 = mix(_stretch(_prefix(text[base:stop]), a - base, a - base + length))
+                    w2 = mix(_stretch(_prefix(text[base:stop], 1), a - base, a - base + length) ^ s["key"][k].view(np.uint64))
+                    m = len(a)
+                    yield pa.RecordBatch.from_arrays([pa.array(s["key"][k]), pa.array(t1[k]), pa.array(t2[k]), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.array(s["settled"][k]), pa.nulls(m, pa.binary()), pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(a.astype(np.int32))], names)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Segments in order of key, in lots of whole keys."""
@@ -265,10 +282,10 @@ def _compared(texts: DataFrame, distinct: DataFrame, mixed: DataFrame, length: i
         first = t.column("first").to_numpy()[s] - heads[s]
         yield pa.RecordBatch.from_arrays([t.column("t1").combine_chunks().take(pa.array(s)), t.column("t2").combine_chunks().take(pa.array(s)), pa.array((start + first).astype(np.int32)), pa.array((stop + first).astype(np.int32))], ["t1", "t2", "first", "last"])
 
-    moved = written(rows.mapInArrow(cut, schema))
+    moved = written(rows.mapInArrow(lean(cut), schema))
     n = parts(texts.sparkSession)
     few = moved.where(F.col("at").isNull()).select("key", "t1", "t2", "first", "ahead", "settled", "bytes").dropDuplicates(["key", "t1", "t2", "first"])
-    few = few.repartition(n, "key").sortWithinPartitions("key").mapInArrow(sort, "t1 long, t2 long, first int, last int")
+    few = few.repartition(n, "key").sortWithinPartitions("key").mapInArrow(lean(sort), "t1 long, t2 long, first int, last int")
     many = moved.where(F.col("at").isNotNull()).select("w1", "w2", "t1", "t2", "at", "settled").dropDuplicates(["t1", "t2", "at"])
     twice = many.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select(F.col("w1").alias("v1"), F.col("w2").alias("v2"))
     met = many.where(~F.col("settled")).join(twice, (F.col("w1") == F.col("v1")) & (F.col("w2") == F.col("v2")), "left_semi")
@@ -313,4 +330,4 @@ def suffix_dedup(docs: DataFrame, length: int = 200) -> DataFrame:
     spans = removed_spans(docs, length).withColumnsRenamed({"t1": "s1", "t2": "s2"})
     texts = _texts(docs)
     rows = texts.join(spans, (texts.t1 == spans.s1) & (texts.t2 == spans.s2), "left").select("doc_id", "text", "spans")
-    return rows.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return rows.mapInArrow(lean(cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
