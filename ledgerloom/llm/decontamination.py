@@ -6,8 +6,9 @@ template tokens of benchmark items are hash-joined with those of documents, so a
 numbers and names matches, too. Along each alignment (document, item, shift) the slots must be consistent:
 one number or name of the item always meets one of the document; two may become the same, and units may
 change. Windows without slots, and those with the item's own values, count in any alignment. A document is
-contaminated by an item if the windows that count cover ``least`` of the item's tokens, or all of a shorter
-item.
+contaminated by an item if the windows that count in one alignment cover ``least`` of the item's tokens, or all
+of a shorter item. Rows of the benchmark that share an item_id, or have none, but not a text are items of their
+own, reported under that id.
 
 Windows of fewer than ``LITERALS`` different words that aren't placeholders say too little and are left out.
 Items whose other windows can't cover enough, and those of fewer than ``WINDOW`` tokens, match where a
@@ -80,14 +81,19 @@ def windows(rows: DataFrame, *keys: str) -> DataFrame:
     return cut.select(*keys, "n_tokens", F.posexplode("all").alias("at", "x")).select(*keys, "n_tokens", "at", "x.w", "x.words")
 
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64(text).alias("item_key"), text.alias("text"))
+
+
 def item_windows(benchmark: DataFrame) -> DataFrame:
     """The telling windows of the items, and each window's template hashes of slots' places; an item's first window comes
     twice if its first word would be a name inside a sentence (inner)."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    items = _items(benchmark)
     opens = F.col("text").rlike(r"^[^\p{L}\p{N}]*\p{Lu}\p{Ll}")
-    t = _once(items, ["item_id"], t=tokens(F.col("text")), opens=opens).where(F.size("t") >= WINDOW)
-    t = _once(t, ["item_id", "t", "opens"], h=template(F.col("t")))
-    at = t.select("item_id", F.size("t").alias("item_tokens"), "t", "h", "opens", F.explode(F.sequence(F.lit(0), F.size("t") - WINDOW)).alias("item_at"))
+    t = _once(items, ["item_id", "item_key"], t=tokens(F.col("text")), opens=opens).where(F.size("t") >= WINDOW)
+    t = _once(t, ["item_id", "item_key", "t", "opens"], h=template(F.col("t")))
+    at = t.select("item_id", "item_key", F.size("t").alias("item_tokens"), "t", "h", "opens", F.explode(F.sequence(F.lit(0), F.size("t") - WINDOW)).alias("item_at"))
     own = F.slice("h", F.col("item_at") + 1, WINDOW)
     is_slot = F.transform(own, lambda y: reduce(lambda a, b: a | b, _slots(y)))
     w = lambda first: F.xxhash64(first, *(F.get("h", F.col("item_at") + k) for k in range(1, WINDOW)))
@@ -96,9 +102,9 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     named = F.concat(F.array(F.concat(F.lit(_NAME), F.get("t", F.lit(0)))), F.slice("t", 2, WINDOW - 1))
     inner = F.struct(w(F.xxhash64(F.lit(_NAME))).alias("item_w"), named.alias("item_words"), F.concat(F.array(F.lit(True)), F.slice(is_slot, 2, WINDOW - 1)).alias("is_slot"), F.lit(True).alias("inner"))
     both = F.when(F.col("opens") & (F.col("item_at") == 0), F.array(plain, inner)).otherwise(F.array(plain))
-    full = at.select("item_id", "item_tokens", "item_at", own.alias("own"), F.inline(both))
+    full = at.select("item_id", "item_key", "item_tokens", "item_at", own.alias("own"), F.inline(both))
     literal = F.size(F.array_distinct(F.filter("own", lambda y: ~reduce(lambda a, b: a | b, _slots(y)))))
-    return full.where(literal >= LITERALS).drop("own").dropDuplicates(["item_id", "item_at", "inner"])
+    return full.where(literal >= LITERALS).drop("own").dropDuplicates(["item_id", "item_key", "item_at", "inner"])
 
 
 def _covered() -> Column:
@@ -108,10 +114,9 @@ def _covered() -> Column:
 def whole_matches(docs: DataFrame, benchmark: DataFrame, telling: DataFrame, least: int) -> DataFrame | None:
     """doc_id, row_key, item_id, n_windows (places), n_covered, n_item_tokens, n_slots of documents with the whole word sequence
     of an item that its telling windows can't find; None without such items. One hash a place and length of these items."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    items = _once(items, ["item_id"], t=tokens(F.col("text"), names=False)).where(F.size("t") > 0)
-    able = telling.groupBy(F.col("item_id").alias("able")).agg(_covered().alias("most"))
-    items = items.join(able, F.col("item_id").eqNullSafe(F.col("able")), "left").where(F.coalesce("most", F.lit(0)) < F.least(F.lit(least), F.size("t")))
+    items = _once(_items(benchmark), ["item_id", "item_key"], t=tokens(F.col("text"), names=False)).where(F.size("t") > 0)
+    able = telling.groupBy(F.col("item_id").alias("able"), F.col("item_key").alias("able_key")).agg(_covered().alias("most"))
+    items = items.join(able, F.col("item_id").eqNullSafe(F.col("able")) & (F.col("item_key") == F.col("able_key")), "left").where(F.coalesce("most", F.lit(0)) < F.least(F.lit(least), F.size("t")))
     items = stored(items.select("item_id", F.size("t").alias("item_tokens"), F.xxhash64("t").alias("item_w")).distinct())
     lengths = sorted(r[0] for r in items.select("item_tokens").distinct().collect())
     if not lengths:
@@ -132,19 +137,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> D
     if items.count() <= BROADCAST_ROWS:
         items = F.broadcast(items)
     own = windows(documents(docs).select("doc_id", "row_key", "text"), "doc_id", "row_key")
-    met = own.join(items, own.w == items.item_w).select("doc_id", "row_key", "item_id", "item_tokens", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), "words", "item_words", "is_slot", "inner").distinct()
+    met = own.join(items, own.w == items.item_w).select("doc_id", "row_key", "item_id", "item_key", "item_tokens", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), "words", "item_words", "is_slot", "inner").distinct()
     met = met.where(~F.col("inner") | (F.get("words", F.lit(0)) == F.get("item_words", F.lit(0))))  # the first word itself, not any name
     met = stored(met)  # matches only; read twice below
-    pairs = met.where(F.col("words").isNotNull()).select("doc_id", "row_key", "item_id", "shift", F.explode(F.filter(F.arrays_zip("words", "item_words", "is_slot"), lambda z: z["is_slot"])).alias("z")).select("doc_id", "row_key", "item_id", "shift", F.col("z.item_words").alias("mine"), F.col("z.words").alias("theirs")).distinct()
-    line = ["doc_id", "row_key", "item_id", "shift"]
+    pairs = met.where(F.col("words").isNotNull()).select("doc_id", "row_key", "item_id", "item_key", "shift", F.explode(F.filter(F.arrays_zip("words", "item_words", "is_slot"), lambda z: z["is_slot"])).alias("z")).select("doc_id", "row_key", "item_id", "item_key", "shift", F.col("z.item_words").alias("mine"), F.col("z.words").alias("theirs")).distinct()
+    line = ["doc_id", "row_key", "item_id", "item_key", "shift"]
     bound = F.col("mine").startswith(_NAME) | F.col("mine").between("0", "9￿")  # names and numbers differ in form, so one count serves both
     slots = pairs.groupBy(*line).agg(F.count("*").alias("n_slots"), F.count_if(bound).alias("n_bound"), F.count_distinct(F.when(bound, F.col("mine"))).alias("n_mine"))
     slots = slots.select(*(F.col(c).alias(f"s_{c}") for c in line), "n_slots", (F.col("n_mine") == F.col("n_bound")).alias("consistent"))
     same = reduce(lambda a, b: a & b, (met[c].eqNullSafe(slots[f"s_{c}"]) for c in line))
     own_values = F.col("words").isNull() | (F.col("words") == F.col("item_words"))
     good = met.join(slots, same, "left").where(F.coalesce("consistent", F.lit(True)) | own_values)
-    per = good.groupBy("doc_id", "row_key", "item_id").agg(F.count_distinct("item_at").alias("n_windows"), _covered().alias("n_covered"), F.max("item_tokens").cast("long").alias("n_item_tokens"), F.max(F.coalesce("n_slots", F.lit(0))).alias("n_slots"))
-    per = per.where(F.col("n_covered") >= F.least(F.lit(least), F.col("n_item_tokens")))
+    lines = good.groupBy(*line).agg(_covered().alias("n_covered"), F.count_distinct("item_at").alias("n_windows"), F.max("item_tokens").cast("long").alias("n_item_tokens"), F.max(F.coalesce("n_slots", F.lit(0))).alias("n_slots"))
+    lines = lines.where(F.col("n_covered") >= F.least(F.lit(least), F.col("n_item_tokens")))
+    best = F.max(F.struct("n_covered", "n_windows", "n_item_tokens", "n_slots")).alias("best")
+    names = ["n_windows", "n_covered", "n_item_tokens", "n_slots"]
+    per = lines.groupBy("doc_id", "row_key", "item_id").agg(best).select("doc_id", "row_key", "item_id", *(F.col(f"best.{c}").alias(c) for c in names))
     whole = whole_matches(docs, benchmark, telling, least)
     if whole is None:
         return per

@@ -54,6 +54,67 @@ def test_short_items_and_items_without_telling_windows(spark, docs_of):
     assert got == {(0, 0), (2, 1), (4, 2)}
 
 
+def test_coverage_is_counted_along_one_alignment(spark, docs_of):
+    bench = ["one small step for a man and then one giant leap for all the others who came"]
+    first, second = " ".join(bench[0].split()[:8]), " ".join(bench[0].split()[8:16])
+    docs = docs_of([f"{first} red green blue {second}", f"{first} {second}", f"{second} {first}"])
+    assert {r.doc_id for r in contaminated(docs, items(spark, bench)).collect()} == {1}
+
+
+def test_items_that_share_an_id_or_have_none(spark, docs_of):
+    a, b = "the quick brown fox jumps over a lazy dog near our old river bank", "every good boy deserves some fruit before the long school day has ended"
+    bench = spark.createDataFrame([(1, a), (1, b), (None, a), (1, a), (2, None)], "item_id long, text string")
+    docs = docs_of([a, b, "neither of them", a + " and " + b])
+    got = sorted(((r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()), key=str)
+    assert got == sorted([(0, 1), (0, None), (1, 1), (3, 1), (3, None)], key=str)
+
+
+def by_hand(docs, bench, least=12, window=8, literals=5):
+    """Pairs of documents and items without names and units: template windows, slots a function along an alignment, coverage."""
+    cut = lambda t: re.findall(r"[a-z0-9]+", t)
+    kind = lambda w: "#" if w[0].isdigit() else w
+    out = set()
+    for i, d in enumerate(docs):
+        for j, q in enumerate(bench):
+            x, y = cut(d), cut(q)
+            for shift in range(-len(y), len(x)):
+                met = []
+                for k in range(len(y) - window + 1):
+                    own, item = x[k + shift : k + shift + window] if k + shift >= 0 else [], y[k : k + window]
+                    if len({w for w in map(kind, item) if w != "#"}) >= literals and list(map(kind, own)) == list(map(kind, item)):
+                        met.append((k, own, item))
+                pairs = {(b, a) for _, own, item in met for a, b in zip(own, item) if b[0].isdigit()}
+                fits = len({b for b, _ in pairs}) == len(pairs)
+                covered = {p for k, own, item in met if fits or own == item or not any(w[0].isdigit() for w in item) for p in range(k, k + window)}
+                if covered and len(covered) >= min(least, len(y)):
+                    out.add((i, j))
+    return out
+
+
+def test_equals_brute_force_on_numbered_texts(spark, docs_of):
+    rng = random.Random(21)
+    vocabulary = "al be ce do em fu gi ho iv ju ka lo mi no op qu".split()
+    make = lambda n: [rng.choice(vocabulary) if rng.random() < 0.85 else str(rng.randint(1, 4)) for _ in range(n)]
+    bench = [make(rng.randint(15, 24)) for _ in range(12)]
+    docs = []
+    for _ in range(120):
+        words = make(rng.randint(0, 12))
+        for _ in range(rng.randint(0, 2)):
+            item = rng.choice(bench)
+            a = rng.randint(0, len(item) - 9)
+            part = item[a : a + rng.randint(9, 24)]
+            swap = {str(k): str(rng.randint(1, 9)) for k in range(1, 5)} if rng.random() < 0.6 else {}
+            part = [swap.get(w, w) if rng.random() < 0.97 else str(rng.randint(1, 9)) for w in part]
+            if rng.random() < 0.3:
+                part.insert(rng.randint(1, len(part)), rng.choice(vocabulary))
+            words += part + make(rng.randint(0, 6))
+        docs.append(" ".join(words))
+    bench = [" ".join(b) for b in bench]
+    want = by_hand(docs, bench)
+    got = {(r.doc_id, r.item_id) for r in contaminated(docs_of(docs), items(spark, bench)).collect()}
+    assert len(want) > 20 and got == want
+
+
 def test_planted_passages_and_clean_texts(spark, docs_of):
     rng = random.Random(7)
     words = ["".join(rng.choices(["an", "re", "th", "el", "ou", "st"], k=rng.randint(1, 4))) for _ in range(900)]
