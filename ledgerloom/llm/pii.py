@@ -3,7 +3,7 @@
 Entities (e-mail addresses, phone, card, account and social-security numbers, IP addresses, secrets, names)
 get keyed, type-consistent replacements: same value, same surrogate, in every text. A
 surrogate keeps the format of each mention (separators, case, length; cards stay Luhn-valid if they were)
-and, for names, the script and the gender that the title gives.
+and, for names, the script and the gender that the titles give (several may stand before one name).
 
 Secrets are found by their form, or after a label such as ``password:``. Names are found after titles, labels
 and phrases that introduce one, and by common given names; the parts of a text's names are then found alone in
@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import parts, stored
 
 #: Titles by the gender they give, and syllables that family names are made of.
 MALE, FEMALE, NEUTRAL = "Mr|Herr|Monsieur|Señor|Sr|Sir", "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Lady", "Dr|Prof"
@@ -40,7 +40,7 @@ COMMON = {
 }
 _TITLES = "|".join((MALE, FEMALE, NEUTRAL))
 _WORD = rf"\b(?!(?:{_TITLES})\b)\p{{Lu}}(?:\p{{L}}|['-](?!s\b)(?=\p{{L}}))+(?![\w.%+-]*@)"
-_TITLE = rf"\b(?:{_TITLES})\.? "
+_TITLE = rf"\b(?:(?:{_TITLES})\.? )+"
 _ONE = r"\b(?:[Mm]y name is |[Dd]ear |(?:[Rr]egards|[Ss]incerely|[Cc]heers),?\s{1,2})"
 _TWO = r"\b(?:I am |I'm |[Ss]igned by |(?:[Nn]ame|[Cc]ontact|[Cc]ustomer|[Cc]lient|[Pp]atient|[Ee]mployee|[Aa]uthor|[Ss]igned|[Aa]ttn|[Ff]rom|[Tt]o|[Cc]c) ?: ?)"
 _COMMON = r"(?<![\p{L}\p{N}])(?:" + "|".join(n for names in COMMON.values() for n in names) + ")"
@@ -55,7 +55,8 @@ _KINDS = {
     "account": r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b",
     "ip": r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w.]*[0-9])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
-    "phone": r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![\w-])",
+    "phone": r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![\w-])"
+    r"|(?<![\w+.,-])(?:\+[1-9][0-9]{8,14}|[2-9][0-9]{9})(?![\w-]|[.,][0-9])",
     "card": r"(?<![\w-])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![\w-])",
     "token": _TOKEN,
     "name": _PERSON,
@@ -163,9 +164,9 @@ def entities(docs: DataFrame) -> DataFrame:
     alone = F.when(labelled, "token").when(F.array_contains("only_given", F.lower("core")), "given").otherwise("name")
     plain = kind_of(F.col("core"))
     flat = flat.withColumn("kind", F.when(F.col("person"), "name").when(plain == "name", alone).otherwise(plain))
-    title, given = F.regexp_extract("lead", rf"^({_TITLES})\b", 1), F.lower(F.substring_index("core", " ", 1))
+    has, given = lambda titles: F.col("lead").rlike(rf"\b(?:{titles})\b"), F.lower(F.substring_index("core", " ", 1))
     listed = lambda g: given.isin([n.lower() for n in COMMON[g]])
-    gender = F.when(title.rlike(f"^(?:{MALE})$"), "m").when(title.rlike(f"^(?:{FEMALE})$"), "f").when(title != "", None).when(F.col("person") & listed("m"), "m").when(F.col("person") & listed("f"), "f")
+    gender = F.when(has(MALE), "m").when(has(FEMALE), "f").when(has(NEUTRAL), None).when(F.col("person") & listed("m"), "m").when(F.col("person") & listed("f"), "f")
     piece = lambda i, last, lead, core, kind, gender: F.struct(F.lit(i).alias("piece"), F.lit(last).alias("last"), lead.alias("lead"), core.alias("core"), kind.alias("kind"), canonical(kind, core).alias("value"), gender.alias("gender"))
     none = F.lit(None).cast("string")
     two = F.array(piece(0, False, F.col("lead"), F.substring_index("core", " ", 1), F.lit("given"), gender), piece(1, True, F.lit(" "), F.substring_index("core", " ", -1), F.lit("name"), none))
@@ -177,7 +178,9 @@ def surrogates(found: DataFrame, key: str) -> DataFrame:
     """kind, value, new: a distinct surrogate for every distinct entity, none of them an original."""
     said = F.col("gender") if "gender" in found.columns else F.lit(None).cast("string")
     agreed = F.when(F.min("gender") == F.max("gender"), F.min("gender")).otherwise("n")
-    things = stored(found.select("kind", "value", said.alias("gender")).groupBy("kind", "value").agg(agreed.alias("gender")))
+    # dealt by a fixed number, so that the draws, which are costly, aren't put into a few tasks for their small size
+    things = found.select("kind", "value", said.alias("gender")).groupBy("kind", "value").agg(agreed.alias("gender"))
+    things = stored(things.repartition(parts(found.sparkSession), "kind", "value"))
     open_, done, attempt = things, None, 0
     taken = things.select(F.col("kind").alias("k"), F.col("value").alias("v"))
     while True:

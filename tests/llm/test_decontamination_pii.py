@@ -216,6 +216,39 @@ def test_names_without_titles_given_names_and_labelled_secrets(docs_of):
     assert re.match(r'password: \S+ and api_key = "\w+" and \w+$', text[3]) and text[4] == "Smith is a trade, and token is a word: nothing else."
 
 
+def test_stacked_titles_and_plain_phone_numbers(docs_of):
+    docs = docs_of([
+        "Herr Dr. Müller and Mr Dr Smith met Mrs Jane Roe and Mr Bob Poe",
+        "Dr. Jane Roe and Dr Mrs Jane Roe and Mr Bob Poe",
+        "call 5551234567 or +4915112345678, not 1712345678 or 12345678901234567890123 or v5551234567",
+        "Dr John Smith; Mr John Smith",
+    ])
+    text = {r.doc_id: r.text for r in pii_surrogates(docs).collect()}
+    from ledgerloom.llm.pii import GIVEN
+
+    jane, roe, bob, poe = re.match(r"Herr Dr\. \w+ and Mr Dr \w+ met Mrs (\w+) (\w+) and Mr (\w+) (\w+)$", text[0]).groups()
+    assert jane in GIVEN["f"] and bob in GIVEN["m"]
+    assert text[1] == f"Dr. {jane} {roe} and Dr Mrs {jane} {roe} and Mr {bob} {poe}"
+    assert re.match(r"call \d{10} or \+\d{13}, not 1712345678 or 12345678901234567890123 or v5551234567$", text[2])
+    assert "5551234567 or" not in text[2] and "4915112345678" not in text[2]
+    one, other = re.match(r"Dr (\w+ \w+); Mr (\w+ \w+)$", text[3]).groups()
+    assert one == other
+
+
+def test_as_many_people_as_a_small_town(spark):
+    from ledgerloom.llm.pii import surrogates
+
+    people = spark.range(100_000).selectExpr("if(id % 2 = 0, 'name', 'given') AS kind", "concat('person', id) AS value", "if(id % 3 = 0, 'm', 'f') AS gender")
+    got = surrogates(people, "key").selectExpr("count(*)", "count(DISTINCT kind, value)", "count(DISTINCT kind, new)", "count_if(new LIKE 'person%')").first()
+    assert tuple(got) == (100_000, 100_000, 100_000, 0)
+
+
+def test_a_text_of_many_mentions_and_a_null_id(docs_of):
+    long = " ".join(f"Mr Adam Quill{'abcdefghij'[k % 10]}x wrote to a{k % 50}@x.org;" for k in range(3000))
+    got = {r.doc_id: r for r in pii_surrogates(docs_of([(1, long), (None, "Mr Adam Quillax"), (None, "a7@x.org")])).collect()}
+    assert got[1].n_entities == 6000 and "Quill" not in got[1].text and "@x.org" in got[1].text
+
+
 def test_surrogates_of_odd_rows(odd_docs):
     got = pii_surrogates(odd_docs)
     assert got.count() == odd_docs.count()
