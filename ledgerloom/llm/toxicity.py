@@ -12,8 +12,8 @@ The network is fitted on at most ``SAMPLE`` labelled rows (those of the smallest
 fixed size, so their broadcast does too.
 
 Null, empty and blank texts have one window without words and the score that goes with it. Without labels
-of both classes every score is the share of toxic labels (0 without any). Repeated rows score alike; an
-empty table gives an empty result.
+of both classes every score is the share of toxic labels (0 without any). Repeated rows score alike; of
+repeated labels of one document the largest counts. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import documents, held, modest
+from .shared import documents, held, lean, modest
 from .textarrays import Words, ragged, slices, text_buffers
 
 SAMPLE, SAMPLE_BYTES = 3500, 30_000
@@ -81,14 +81,12 @@ class Coded:
         chars = np.add.reduceat(p["char"][self.char], self.heads) / self.lengths[:, None] if len(self.heads) else np.zeros((0, CHAR_DIM))
         return np.concatenate([p["word"][self.bucket], chars], 1).astype(np.float32)
 
-    def ids(self, windows: np.ndarray, repeats: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """(window, place) → distinct word, and the mask of words that are there. A word right after its like is read over."""
+    def ids(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, place) → distinct word, and the mask of words that are there."""
         place = np.arange(WINDOW)
         mask = place < self.size[windows][:, None]
         at = np.where(mask, self.begin[windows][:, None] + place, 0)
         word = self.word[at] if len(self.word) else np.zeros(at.shape, np.int64)
-        if not repeats:
-            mask[:, 1:] &= word[:, 1:] != word[:, :-1]
         return word, mask
 
 
@@ -179,7 +177,7 @@ def gradients(p: Params, coded: Coded, windows: np.ndarray, target: np.ndarray,
 
 def _subset(coded: Coded, windows: np.ndarray) -> tuple[Coded, np.ndarray]:
     """The same with the words of these windows only, so that a step costs what its windows hold."""
-    ids, mask = coded.ids(windows, repeats=True)
+    ids, mask = coded.ids(windows)
     used, inverse = np.unique(ids[mask], return_inverse=True)
     out = object.__new__(Coded)
     out.bucket, out.lengths = coded.bucket[used], coded.lengths[used]
@@ -270,7 +268,7 @@ def score_texts(p: Params, column: pa.Array) -> np.ndarray:
     """Score of each text, from all its windows."""
     data, offsets = text_buffers(column)
     out = np.empty(len(offsets) - 1)
-    for lo, hi in slices(offsets):
+    for lo, hi in slices(offsets, 1 << 19):
         coded = Coded(Words(data, offsets, lo, hi), p["known"])
         best = np.full(hi - lo, -np.inf)
         np.maximum.at(best, coded.row, logits(p, coded))
@@ -296,7 +294,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 4
     wanted = wanted.orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = documents(docs).where(F.octet_length("text") <= SAMPLE_BYTES)
     rows = rows.join(F.broadcast(wanted), rows.doc_id == wanted.id).select("row_key", "text", F.col("toxic").cast("int").alias("toxic"))
-    got = rows.repartition(1).mapInArrow(work, "params binary").first()
+    got = rows.repartition(1).mapInArrow(lean(work), "params binary").first()
     if got is None:  # nothing is labelled, and the plan was cut short
         return train([], [])
     with np.load(io.BytesIO(bytes(got.params))) as f:
@@ -312,7 +310,7 @@ def scores(docs: DataFrame, params: Params, threshold: float = 0.3, folds: int =
             s = score_texts(shared.value, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32)), batch.column("row_key")], ["doc_id", "held_out", "score", "predicted", "row_key"])
 
-    return documents(docs).select("doc_id", held(folds).alias("held_out"), "row_key", "text").mapInArrow(work, "doc_id long, held_out boolean, score double, predicted int, row_key long")
+    return documents(docs).select("doc_id", held(folds).alias("held_out"), "row_key", "text").mapInArrow(lean(work), "doc_id long, held_out boolean, score double, predicted int, row_key long")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -329,4 +327,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) ->
         for batch in batches:
             yield batch.filter(pa.array(score_texts(params.value, batch.column("text")) < threshold)).select(names)
 
-    return modest(docs).mapInArrow(work, docs.schema)
+    return modest(docs).mapInArrow(lean(work), docs.schema)
