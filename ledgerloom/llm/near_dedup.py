@@ -18,7 +18,8 @@ pass over the texts.
 
 Null, empty and blank texts have no shingles, are linked with nothing and stay. A text of fewer words than
 the width has its whole word sequence as its one shingle. Repeated rows get equal answers. A null doc_id is
-never a representative unless its whole class has none. An empty table gives an empty result.
+never a representative unless its whole class has none. Different texts under one doc_id are one vertex of the
+graph, and its links are those of one of the texts. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,10 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import documents, stored, written
+from .shared import documents, lean, stored, written
 from .textarrays import Words, mix, slices, text_buffers
 
 SHALLOW, DEEP, LARGE, PROBES, BLOCK = 3, 5, 4096, 4, 256
+#: Pairs that read one copy of a text, and bytes of text that are hashed at once.
+SHARED, MOST = 2048, 1 << 19
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -67,7 +70,7 @@ def shingle_table(docs: DataFrame, trees: int, width: int = 5, full: int | None
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
-            for lo, hi in slices(offsets):
+            for lo, hi in slices(offsets, MOST):
                 row, token = Words(data, offsets, lo, hi).shingles(width)
                 n = np.bincount(row, minlength=hi - lo)
                 full = np.flatnonzero(n)
@@ -83,7 +86,7 @@ def shingle_table(docs: DataFrame, trees: int, width: int = 5, full: int | None
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_key"), pa.array(n.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), *lists], ["doc_id", "row_key", "n_shingles", "s1", "s2", "shallow", "deep"])
 
-    return documents(docs).select("doc_id", "row_key", "text").mapInArrow(work, "doc_id long, row_key long, n_shingles long, s1 long, s2 long, shallow array<long>, deep array<long>")
+    return documents(docs).select("doc_id", "row_key", "text").mapInArrow(lean(work), "doc_id long, row_key long, n_shingles long, s1 long, s2 long, shallow array<long>, deep array<long>")
 
 
 def _candidate_texts(docs: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFrame:
@@ -91,17 +94,19 @@ def _candidate_texts(docs: DataFrame, nodes: DataFrame, classes: DataFrame) -> D
     wanted = nodes.select(F.col("rep").alias("id")).distinct().join(classes.select(F.col("rep").alias("id"), F.col("row_key").alias("key")), "id")
     rows = documents(docs).select("doc_id", "row_key", "text")
     met = rows.join(wanted, (rows.doc_id == wanted.id) & (rows.row_key == wanted.key), "left_semi")
-    return written(met.select("doc_id", "text").dropDuplicates(["doc_id"]))
+    # different texts under one doc_id are one vertex, which the text of the least hash stands for
+    return written(met.groupBy("doc_id").agg(F.min_by("text", "row_key").alias("text")))
 
 
 def _confirmed(texts: DataFrame, pairs: DataFrame, similarity: float, width: int) -> DataFrame:
-    """pairs (a, b) of representatives whose full sets are similar enough."""
+    """pairs (a, b) of representatives whose full sets are similar enough. The text of an ``a`` with many pairs, such as a
+    large group's pivot, comes once for every ``SHARED`` of them, so that no task gets them all."""
     percent = round(similarity * 100)
 
     def sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, offsets = text_buffers(texts)
         rows, tokens = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        for lo, hi in slices(offsets):
+        for lo, hi in slices(offsets, MOST):
             r, t = Words(data, offsets, lo, hi).shingles(width)
             rows.append(r + lo)
             tokens.append(t)
@@ -123,7 +128,10 @@ def _confirmed(texts: DataFrame, pairs: DataFrame, similarity: float, width: int
 
     b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    return stored(pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(test, "a long, b long"))
+    shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARED).cast("int").alias("shares"))
+    a = a.join(shares, "a").select("a", "text_a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    dealt = pairs.join(shares, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"))
+    return stored(dealt.join(b, "b").join(a, ["a", "share"]).select("a", "b", "text_a", "text_b").mapInArrow(lean(test), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: float = 0.9999) -> DataFrame:
@@ -191,7 +199,7 @@ def _blocks(spokes: DataFrame, comp: DataFrame, texts: DataFrame, similarity: fl
     def joined(t: pa.Table) -> pa.RecordBatch:
         side, rep, parts = t.column("side").to_numpy(), t.column("rep").to_numpy(), t.column("comp").to_numpy()
         data, offsets = text_buffers(t.column("text"))
-        row, token = (np.concatenate(x) for x in zip(*((r + lo, k) for lo, hi in slices(offsets) for r, k in (Words(data, offsets, lo, hi).shingles(width),)), strict=True))
+        row, token = (np.concatenate(x) for x in zip(*((r + lo, k) for lo, hi in slices(offsets, MOST) for r, k in (Words(data, offsets, lo, hi).shingles(width),)), strict=True))
         size = np.bincount(row, minlength=len(side))
         _, place, often = np.unique(token, return_inverse=True, return_counts=True)
         keep = often[place] > 1  # tokens of one text only count for its size
@@ -239,7 +247,7 @@ def _blocks(spokes: DataFrame, comp: DataFrame, texts: DataFrame, similarity: fl
             yield joined(pa.Table.from_batches(held))
 
     both = left.unionByName(right).join(texts, F.col("rep") == F.col("doc_id")).select("node", "lb", "rb", "side", "rep", "comp", "text")
-    return both.repartition("node", "lb", "rb").sortWithinPartitions("node", "lb", "rb").mapInArrow(work, "a long, b long")
+    return both.repartition("node", "lb", "rb").sortWithinPartitions("node", "lb", "rb").mapInArrow(lean(work), "a long, b long")
 
 
 def near_dedup(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: float = 0.9999) -> DataFrame:
