@@ -15,11 +15,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BLANKS, documents, parts
+from .shared import BLANKS, documents, lean, parts
 
 #: Runs that meet in one exchange, and runs at the leaves.
 FAN, RUNS = 16, 256
@@ -32,41 +33,33 @@ def digests(docs: DataFrame) -> DataFrame:
     return documents(docs).select("doc_id", F.unhex(F.sha2(bare, 256)).alias("digest"), F.xxhash64(bare).alias("check"), F.octet_length(bare).cast("long").alias("size"), F.length("text").alias("points"))
 
 
-def _firsts(batch: pa.RecordBatch | pa.Table, carry: dict | None) -> tuple[dict, dict | None]:
-    """Collapse rows that stand in order of (bucket, run, digest, best first); the last entry is carried on."""
-    d = batch.to_pydict()
-    out: dict[str, list] = {k: [] for k in d}
-    for row in zip(*d.values(), strict=True):
-        row = dict(zip(d, row, strict=True))
-        if carry and row["digest"] == carry["digest"] and row["run"] == carry["run"]:
-            if row["check"] != carry["check"] or row["size"] != carry["size"]:
-                raise ValueError(f"different texts share a digest: documents {row['doc_id']} and {carry['doc_id']}")
-            carry["copies"] += row["copies"]
-            continue
-        if carry:
-            for k, v in carry.items():
-                out[k].append(v)
-        carry = row
-    return out, carry
-
-
 def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    carry, schema = None, None
+    """One row of each digest from rows in order of (bucket, run, digest, best first): the first, with the copies summed up.
+
+    Rows of one digest must agree in the second hash and the length. The last digest of a batch is carried on.
+    """
+    carried: pa.Table | None = None
     for batch in batches:
-        schema = batch.schema
-        out, carry = _firsts(batch, carry)
-        yield pa.RecordBatch.from_pydict(out, schema=schema)
-    if carry:
-        yield pa.RecordBatch.from_pydict({k: [v] for k, v in carry.items()}, schema=schema)
+        t = pa.table(batch) if carried is None else pa.concat_tables([carried, pa.table(batch)])
+        if not t.num_rows:
+            continue
+        t = _first_of_each(t)
+        carried = t.slice(t.num_rows - 1)
+        yield from t.slice(0, t.num_rows - 1).to_batches()
+    if carried is not None:
+        yield from carried.to_batches()
 
 
-def _leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sort and collapse each batch of a partition: a leaf run arrives in sorted pieces."""
-    for batch in batches:
-        if batch.num_rows:
-            t = pa.table(batch).sort_by([("bucket", "ascending"), ("digest", "ascending"), ("points", "descending"), ("doc_id", "ascending")])
-            out, last = _firsts(t, None)
-            yield pa.RecordBatch.from_pydict({k: [*v, last[k]] for k, v in out.items()}, schema=batch.schema)
+def _first_of_each(t: pa.Table) -> pa.Table:
+    digest = np.frombuffer(b"".join(t.column("digest").to_pylist()), "S32")
+    run, check, size, copies = (t.column(c).to_numpy() for c in ("run", "check", "size", "copies"))
+    new = np.concatenate([[True], (digest[1:] != digest[:-1]) | (run[1:] != run[:-1])])
+    bad = np.flatnonzero(~new[1:] & ((check[1:] != check[:-1]) | (size[1:] != size[:-1])))
+    if len(bad):
+        ids = t.column("doc_id").take(pa.array([bad[0], bad[0] + 1])).to_pylist()
+        raise ValueError(f"different texts share a digest: documents {ids}")
+    at = np.flatnonzero(new)
+    return t.take(pa.array(at)).set_column(t.schema.get_field_index("copies"), "copies", pa.array(np.add.reduceat(copies, at)))
 
 
 def winners(docs: DataFrame) -> DataFrame:
@@ -74,12 +67,13 @@ def winners(docs: DataFrame) -> DataFrame:
     n = parts(docs.sparkSession)
     at = F.pmod(F.conv(F.substring(F.hex("digest"), 1, 8), 16, 10).cast("long"), F.lit(n)).cast("int")
     runs = digests(docs).select(at.alias("bucket"), (F.spark_partition_id() % RUNS).alias("run"), "digest", "check", "size", "points", "doc_id", F.lit(1).cast("long").alias("copies"))
-    runs = runs.mapInArrow(_leaf, ENTRY)
+    order = ["bucket", "run", "digest", F.desc("points"), F.asc_nulls_last("doc_id")]
+    runs = runs.sortWithinPartitions(*order).mapInArrow(lean(_collapse), ENTRY)
     left = RUNS
     while left > 1:
         left = -(-left // FAN)
         runs = runs.withColumn("run", F.floor(F.col("run") / FAN).cast("int")).repartition(n, "bucket", "run")
-        runs = runs.sortWithinPartitions("bucket", "run", "digest", F.desc("points"), F.asc_nulls_last("doc_id")).mapInArrow(_collapse, ENTRY)
+        runs = runs.sortWithinPartitions(*order).mapInArrow(lean(_collapse), ENTRY)
     return runs.select("digest", F.col("doc_id").alias("keep_id"), F.col("copies").alias("group_size"))
 
 
