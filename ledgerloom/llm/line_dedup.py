@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BLANKS, LOWER, UPPER, documents, parts, stored
+from .shared import BLANKS, LOWER, UPPER, documents, lean, parts, stored
 
 SEEN = "kind int, h1 long, h2 long, doc_id long, row_key long, pos int, n_lines int"
 DROP, EDGE, COMMON = 0, 1, 2
@@ -86,7 +86,7 @@ def dropped_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Da
     """doc_id, row_key, pos, n_lines of every line to drop."""
     rows = line_hashes(docs, min_chars)
     ranged = rows.repartitionByRange(parts(docs.sparkSession), "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos")
-    seen = stored(ranged.mapInArrow(_walk(max(1, min_docs)), SEEN))
+    seen = stored(ranged.mapInArrow(lean(_walk(max(1, min_docs))), SEEN))
     edges = seen.where(F.col("kind") != DROP)
     # A document's rows of one key share a partition, so distinct documents add up; there are few rows here.
     common = edges.groupBy("h1", "h2").agg(F.max((F.col("kind") == COMMON).cast("int")).alias("sure"), F.count_distinct("doc_id").alias("docs")).where((F.col("sure") == 1) | (F.col("docs") >= min_docs))
@@ -107,7 +107,7 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), batch.column("n_lines"), pa.array(maps, pa.binary())], ["doc_id", "row_key", "n_lines", "keep_bitmap"])
 
     gone = dropped_lines(docs, min_docs, min_chars).groupBy("doc_id", "row_key").agg(F.max("n_lines").alias("n_lines"), F.collect_set("pos").alias("gone"))
-    return gone.mapInArrow(pack, "doc_id long, row_key long, n_lines int, keep_bitmap binary")
+    return gone.mapInArrow(lean(pack), "doc_id long, row_key long, n_lines int, keep_bitmap binary")
 
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
@@ -137,7 +137,7 @@ def deduplicated(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Dat
             yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type)).drop_columns(["__keep_bitmap"])
 
     schema = docs.schema
-    out = with_bitmaps(docs, keep_bitmaps(docs, min_docs, min_chars)).mapInArrow(apply, schema)
+    out = with_bitmaps(docs, keep_bitmaps(docs, min_docs, min_chars)).mapInArrow(lean(apply), schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
@@ -155,4 +155,4 @@ def line_dedup_digest(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha)], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
     slim = documents(docs).select("doc_id", "text")
-    return with_bitmaps(slim, keep_bitmaps(docs, min_docs, min_chars)).select("doc_id", "text", "__keep_bitmap").mapInArrow(digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return with_bitmaps(slim, keep_bitmaps(docs, min_docs, min_chars)).select("doc_id", "text", "__keep_bitmap").mapInArrow(lean(digest), "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
