@@ -22,33 +22,44 @@ def _typed(dtype: str) -> str | None:
 
 
 class _Side:
-    """One side of a comparison: its kind and its value as each kind."""
-
-    def __init__(self, c: Column, dtype: str = "string"):
-        known = _typed(dtype)
-        self.kind = F.lit(known) if known else P.kind(c)
-        none = F.lit(None)  # a typed column has no other readings, and they aren't worked out
-        self.number = c.cast("decimal(38,10)") if known == "number" else none.cast("decimal(38,10)") if known else P.amount(c).cast("decimal(38,10)")
-        self.date = c.cast("date") if known == "date" else none.cast("date") if known else P.day(c)
-        self.string = none.cast("string") if known else F.lower(P.text(c))
-
-
-def _literal(v: Any) -> _Side:
-    if isinstance(v, (int, float, Decimal)) and not isinstance(v, bool):
-        return _Side(F.lit(str(v)).cast("decimal(38,10)"), "decimal")
-    return _Side(F.lit("" if v is None else str(v)))
-
-
-def _compare(a: _Side, b: _Side, op: str) -> tuple[Column, Column]:
-    """(passes, incomparable) where the kinds agree; passes is null where they don't."""
+    """A column in a comparison: its kind and its value as each kind."""
+
+    def __init__(self, c: Column, dtype: str):
+        self.known = _typed(dtype)
+        self.kind = F.lit(self.known) if self.known else P.kind(c)
+        self.number = c.cast("decimal(38,10)") if self.known == "number" else P.amount(c).cast("decimal(38,10)")
+        self.date = c.cast("date") if self.known == "date" else P.day(c)
+        self.string = F.lower(P.text(c))
+
+
+def _literals(df: DataFrame, values: list[Any]) -> list[tuple[str, Any]]:
+    """(kind, value) of a plan's values, read once on the driver by the same parsers as cells."""
+    out: list[tuple[str, Any]] = [("number", Decimal(str(v))) if isinstance(v, (int, float, Decimal)) and not isinstance(v, bool) else ("", "" if v is None else str(v)) for v in values]
+    texts = [v for k, v in out if not k]
+    if texts:
+        c = F.col("v")
+        one = df.sparkSession.range(1).select(F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(v).alias("v")) for i, v in enumerate(texts)))).alias("x")).select("x.i", "x.v")
+        read = {r.i: r for r in one.select("i", P.kind(c).alias("k"), P.amount(c).cast("decimal(38,10)").alias("number"), P.day(c).alias("date"), F.lower(P.text(c)).alias("string")).collect()}
+        at = iter(range(len(texts)))
+        out = [(k, v) if k else ((r := read[next(at)]).k, r[r.k]) for k, v in out]
+    return out
+
+
+def _compare(a: _Side, literal: tuple[str, Any], op: str) -> tuple[Column, Column]:
+    """(passes, incomparable): only the column's reading as the literal's kind is worked out; passes is null for other cells."""
     by = {"==": lambda x, y: x == y, "!=": lambda x, y: x != y, ">": lambda x, y: x > y, ">=": lambda x, y: x >= y, "<": lambda x, y: x < y, "<=": lambda x, y: x <= y}[op]
-    same = a.kind == b.kind
-    out = F.when(same & (a.kind == "number"), by(a.number, b.number)).when(same & (a.kind == "date"), by(a.date, b.date)).when(same & (a.kind == "string"), by(a.string, b.string))
-    return out, ~same
-
-
-def predicate(c: Column, dtype: str, op: str, value: Any = None) -> tuple[Column, Column]:
-    """(keep, incomparable) of a column against a plan's value."""
+    kind, value = literal
+    if a.known and a.known != kind:
+        return F.lit(None).cast("boolean"), F.lit(True)
+    mine = {"number": a.number, "date": a.date, "string": a.string}[kind]
+    y = F.lit(str(value)).cast("decimal(38,10)") if kind == "number" else F.lit(value)
+    if a.known:
+        return by(mine, y), F.lit(False)
+    return F.when(a.kind == kind, by(mine, y)), a.kind != kind
+
+
+def predicate(df: DataFrame, c: Column, dtype: str, op: str, value: Any = None) -> tuple[Column, Column]:
+    """(keep, incomparable) of a column of df against a plan's value."""
     never = F.lit(False)
     if op not in OPS:
         raise ValueError(f"unknown filter {op!r}; there are {', '.join(OPS)}")
@@ -61,16 +72,16 @@ def predicate(c: Column, dtype: str, op: str, value: Any = None) -> tuple[Column
     side = _Side(c, dtype)
     if op in ("in", "not_in"):
         hit = F.lit(False)
-        for v in value:
-            hit = hit | F.coalesce(_compare(side, _literal(v), "==")[0], never)
+        for v in _literals(df, list(value)):
+            hit = hit | F.coalesce(_compare(side, v, "==")[0], never)
         return (hit if op == "in" else ~hit), never
     if op in ("between", "not_between"):
-        low, high = (_literal(v) for v in value)
+        low, high = _literals(df, list(value))
         (a, bad_a), (b, bad_b) = _compare(side, low, ">="), _compare(side, high, "<=")
         bad = bad_a | bad_b
         inside = a & b
         return F.when(bad, False).otherwise(inside if op == "between" else ~inside), bad
-    out, bad = _compare(side, _literal(value), op)
+    out, bad = _compare(side, _literals(df, [value])[0], op)
     if op in ("==", "!="):
         return F.coalesce(out, F.lit(op == "!=")), never
     return F.coalesce(out, never), bad
@@ -82,7 +93,7 @@ def filter_rows(df: DataFrame, filters: list[dict[str, Any]]) -> Result:
     keep, aggs = F.lit(True), [F.count("*").alias("n_in")]
     for k, f in enumerate(filters):
         name = find(df, f["column"])
-        ok, bad = predicate(q(name), dtypes[name], f["op"], f.get("value"))
+        ok, bad = predicate(df, q(name), dtypes[name], f["op"], f.get("value"))
         aggs += [F.count_if(keep & ~ok).alias(f"removed_{k}"), F.count_if(keep & bad).alias(f"incomparable_{k}")]
         keep = keep & ok
     report = df.agg(*aggs, F.count_if(keep).alias("n_out")).withColumn("n_dropped", F.col("n_in") - F.col("n_out"))

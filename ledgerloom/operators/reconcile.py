@@ -8,7 +8,9 @@ unless amounts lie densely within the tolerance of each other.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 import pandas as pd
@@ -285,10 +287,11 @@ def _flips(a: DataFrame, b: DataFrame, near: Column, o: Options) -> DataFrame:
 
 
 def _greedy(edges: DataFrame) -> DataFrame:
-    """(a, b) chosen as the first A in order takes its nearest free B, in rounds: an edge is taken when it is the best of its
-    A and that A is the first to want its B. Rounds end when no edge is left."""
+    """(a, b) chosen as each A in order takes its nearest free B. Few edges are chosen in one task; more of them in rounds of
+    deferred acceptance: every A asks its nearest B, a B holds the first A that asks and turns later ones away for good. As all
+    B prefer A records in one and the same order, the outcome is the serial choice. Rounds end when nobody is turned away."""
     edges = _kept(edges.select("a", "b", "w"))
-    if edges.count() <= ONE_TASK_EDGES:  # few enough for one task to choose in order
+    if edges.count() <= ONE_TASK_EDGES:
 
         def choose(rows: pd.DataFrame) -> pd.DataFrame:
             out, used = [], set()
@@ -300,15 +303,13 @@ def _greedy(edges: DataFrame) -> DataFrame:
             return pd.DataFrame(out, columns=["a", "b"])
 
         return edges.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(choose, "a long, b long")
-    taken, left = None, edges
-    while True:  # each round takes a pair at least
-        best = left.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy("w", "b"))).where("n = 1")
-        first = best.withColumn("f", F.row_number().over(Window.partitionBy("b").orderBy("a"))).where("f = 1").select("a", "b")
-        first = _kept(first)
-        taken = first if taken is None else taken.unionByName(first)
-        left = _kept(left.join(first, "a", "left_anti").join(first.select("b"), "b", "left_anti").select("a", "b", "w"))
-        if not left.head(1):
-            return taken
+    left = edges
+    while True:
+        asked = _kept(left.groupBy("a").agg(F.min(F.struct("w", "b")).alias("best")).select("a", F.col("best.b").alias("b")))
+        held = asked.groupBy("b").agg(F.min("a").alias("holder"), F.count("*").alias("n"))
+        if not held.where("n > 1").head(1):
+            return asked
+        left = _kept(left.join(held.select("b", "holder"), "b", "left").where("holder IS NULL OR a <= holder").select("a", "b", "w"))
 
 
 def _kept(df: DataFrame) -> DataFrame:
@@ -390,26 +391,50 @@ def check_balance(df: DataFrame, amount: str, opening: float, closing: float, to
 PROPOSALS = "kind string, grp string, a_ids array<long>, b_ids array<long>, a_sum decimal(38,6), b_sum decimal(38,6)"
 
 
-def propose_aggregations(a: DataFrame, b: DataFrame, group_a: str, group_b: str, o: Options, most: int = 5, candidates: int = 60) -> DataFrame:
+def first_combination(values: list[int], target: int, slack: int, most: int) -> tuple[int, ...] | None:
+    """Places of the first two to ``most`` values that add up to the target within the slack: fewest first, then by place.
+
+    The last value of a combination is looked up among the sorted ones behind the others, so k values cost as k - 1 do.
+    """
+    order = sorted(range(len(values)), key=lambda i: (values[i], i))
+    ranked = [values[i] for i in order]
+
+    def last(after: int, want: int) -> int | None:
+        return min((i for i in order[bisect_left(ranked, want - slack) : bisect_right(ranked, want + slack)] if i > after), default=None)
+
+    for k in range(2, most + 1):
+        for head in combinations(range(len(values)), k - 1):
+            end = last(head[-1], target - sum(values[i] for i in head))
+            if end is not None:
+                return (*head, end)
+    return None
+
+
+def propose_aggregations(a: DataFrame, b: DataFrame, group_a: str | list[str], group_b: str | list[str], o: Options, most: int = 5, candidates: int | None = 60) -> DataFrame:
     """Group ties (equal sums of a group's records, three records or more) and subset ties (one record against two to ``most``
-    of the other side in its group). Groups of more than ``candidates`` records a side get the group tie only, kind 'too_many'."""
+    of the other side in its group), with the ids of both sides. The group is of one column or several. Give the records that
+    are still unmatched. Groups of more than ``candidates`` open records a side are listed as 'too_many' instead of being
+    searched, as their subsets may take hours; with None, every group is searched."""
     from ..functions.texts import spaceless_key as key
 
-    def side(df: DataFrame, g: str) -> DataFrame:
+    def side(df: DataFrame, g: str | list[str]) -> DataFrame:
         d = with_rid(df)
-        return items(d, o).join(d.select(F.col(RID).alias("rid"), key(q(find_side(d, g))).alias("grp")), "rid").where("grp IS NOT NULL AND amt IS NOT NULL")
+        keys = [key(q(find_side(d, c))) for c in ([g] if isinstance(g, str) else g)]
+        whole = reduce(lambda x, y: x & y, (k.isNotNull() for k in keys), F.lit(True))
+        return items(d, o).join(d.select(F.col(RID).alias("rid"), F.when(whole, F.concat_ws("+", *keys)).alias("grp")), "rid").where("grp IS NOT NULL AND amt IS NOT NULL")
 
     x, y = side(a, group_a), side(b, group_b)
     tol = F.lit(str(o.tolerance)).cast(P.AMOUNT)
     sums = lambda d, s: d.groupBy("grp").agg(F.sum("amt").cast("decimal(38,6)").alias(f"{s}_sum"), F.count("*").alias(f"{s}_n"), F.min("ccy").alias(f"{s}_lo"), F.max("ccy").alias(f"{s}_hi"))
-    both = sums(x, "a").join(sums(y, "b"), "grp")
+    both = _kept(sums(x, "a").join(sums(y, "b"), "grp"))
     one_ccy = (F.coalesce(F.least("a_lo", "b_lo"), F.lit("")) == F.coalesce(F.greatest("a_hi", "b_hi"), F.lit("")))
     tied = both.where((F.abs(F.col("a_sum") - F.col("b_sum")) <= tol) & (F.col("a_n") + F.col("b_n") >= 3) & one_ccy)
+    ids = lambda d, s: d.join(tied.select("grp"), "grp", "left_semi").groupBy("grp").agg(F.sort_array(F.collect_list("rid")).alias(f"{s}_ids"))
+    whole = tied.join(ids(x, "a"), "grp").join(ids(y, "b"), "grp").select(F.lit("group").alias("kind"), "grp", "a_ids", "b_ids", "a_sum", "b_sum")
     none = F.array().cast("array<long>")
-    whole = tied.select(F.lit("group").alias("kind"), "grp", none.alias("a_ids"), none.alias("b_ids"), "a_sum", "b_sum")
-    over = both.where((F.col("a_n") > candidates) | (F.col("b_n") > candidates)).select("grp")
-    many = both.join(over, "grp", "left_semi").select(F.lit("too_many").alias("kind"), "grp", none.alias("a_ids"), none.alias("b_ids"), "a_sum", "b_sum")
-    open_ = lambda d: d.join(tied.select("grp"), "grp", "left_anti").join(over, "grp", "left_anti")
+    over = both.where(F.lit(False) if candidates is None else (F.col("a_n") > candidates) | (F.col("b_n") > candidates)).join(tied.select("grp"), "grp", "left_anti")
+    many = over.select(F.lit("too_many").alias("kind"), "grp", none.alias("a_ids"), none.alias("b_ids"), "a_sum", "b_sum")
+    open_ = lambda d: d.join(tied.select("grp"), "grp", "left_anti").join(over.select("grp"), "grp", "left_anti")
 
     def subsets(key_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         cents = lambda d: [(int(r.rid), int(round(r.amt * 100))) for r in d.sort_values("rid").itertuples()]
@@ -421,8 +446,9 @@ def propose_aggregations(a: DataFrame, b: DataFrame, group_a: str, group_b: str,
                 if rid in used[s]:
                     continue
                 pool = [(i, v) for i, v in sides[1 - s] if i not in used[1 - s] and (v > 0) == (target > 0)]
-                hit = next((c for k in range(2, most + 1) for c in combinations(pool, k) if abs(sum(v for _, v in c) - target) <= slack), None)
-                if hit:
+                at = first_combination([v for _, v in pool], target, slack, most)
+                if at:
+                    hit = [pool[k] for k in at]
                     used[s].add(rid)
                     used[1 - s].update(i for i, _ in hit)
                     ids = ([rid], [i for i, _ in hit])
@@ -433,7 +459,14 @@ def propose_aggregations(a: DataFrame, b: DataFrame, group_a: str, group_b: str,
         return pd.DataFrame([(k, g, x, y, Decimal(str(p)), Decimal(str(r))) for k, g, x, y, p, r in out], columns=["kind", "grp", "a_ids", "b_ids", "a_sum", "b_sum"])
 
     part = open_(x).groupBy("grp").cogroup(open_(y).groupBy("grp")).applyInPandas(subsets, PROPOSALS)
-    return whole.unionByName(many).unionByName(part).orderBy("grp", "kind")
+    return whole.unionByName(many).unionByName(part).orderBy("grp", "kind", "a_ids", "b_ids")
+
+
+def unmatched(df: DataFrame, buckets: DataFrame, s: str) -> DataFrame:
+    """The records of side ``s`` that are one-sided."""
+    d = with_rid(df)
+    left = buckets.where(F.col("bucket") == f"{s}_only").select(F.col(s).alias("left_"))
+    return d.join(left, d[RID] == left.left_, "left_semi")
 
 
 def apply_aggregations(buckets: DataFrame, accepted: DataFrame) -> DataFrame:

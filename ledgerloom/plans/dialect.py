@@ -136,7 +136,10 @@ def normalised(plan: dict[str, Any]) -> dict[str, Any]:
         if out["preset"] is None:
             del out["preset"]
         if o.pop("aggregate", False):
-            out["aggregate"] = {"group": o.get("group_col") or o.get("party_col"), "accepted": plan.get("accepted", [])}
+            out["aggregate"] = {"group": [c for c in (o.get("group_col"), o.get("party_col")) if c]}
+            accepted = plan.get("accepted_aggregations", plan.get("accepted"))
+            if accepted is not None:
+                out["aggregate"]["accepted"] = accepted
         balance = {x: {"opening": float(o[f"opening_{x}"]), "closing": float(o[f"closing_{x}"])} for x in "ab" if o.get(f"opening_{x}") is not None and o.get(f"closing_{x}") is not None}
         if balance:
             out["balance"] = balance

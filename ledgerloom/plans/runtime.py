@@ -288,6 +288,16 @@ def options(plan: dict) -> R.Options:
     return R.Options(**given)
 
 
+def _check_accepted(spark, plan, base, proposals, accepted) -> None:
+    """The accepted list must name different proposals by number, and a receipt must be signed for the plan that holds it."""
+    numbers = isinstance(accepted, list) and all(isinstance(i, int) and not isinstance(i, bool) and 0 <= i < len(proposals) for i in accepted)
+    if not numbers or len(set(accepted)) != len(accepted) or any(proposals[i]["kind"] == "too_many" for i in accepted):
+        raise PlanError("accepted must list different proposals by number", "/aggregate/accepted")
+    key = os.environ.get("LEDGERLOOM_APPROVAL_KEY", "")
+    if not key or not verified(plan.get("approval", {}).get("receipt"), approval_request(spark, plan, base), key):
+        raise PlanError("accepted proposals, none included, need a signed approval", "/approval/receipt")
+
+
 def _run_reconcile(spark, plan, base, dry):
     a, b = (T.numbered(readers_rid(read_table(spark, s, base).df)) for s in inputs(plan))
     o = options(plan)
@@ -295,15 +305,15 @@ def _run_reconcile(spark, plan, base, dry):
     proposals, taken = [], 0
     if plan.get("aggregate"):
         g = plan["aggregate"]
-        frame = R.propose_aggregations(a, b, g.get("group_a", g.get("group")), g.get("group_b", g.get("group")), o)
+        left = [R.unmatched(df, got.df, s) for df, s in ((a, "a"), (b, "b"))]
+        frame = R.propose_aggregations(*left, g.get("group_a", g.get("group")), g.get("group_b", g.get("group")), o, candidates=g.get("candidates", 60))
         proposals = [plain(r.asDict(True)) for r in frame.collect()]
-        accepted = g.get("accepted", [])
-        if len(set(accepted)) != len(accepted) or any(not isinstance(i, int) or not 0 <= i < len(proposals) for i in accepted):
-            raise PlanError("accepted must list different proposals by number", "/aggregate/accepted")
-        if accepted:
+        accepted = g.get("accepted")
+        if proposals and accepted is not None:
+            _check_accepted(spark, plan, base, proposals, accepted)
             chosen = spark.createDataFrame([(proposals[i]["a_ids"], proposals[i]["b_ids"]) for i in accepted], "a_ids array<long>, b_ids array<long>")
-            taken = sum(len(proposals[i]["a_ids"]) for i in accepted)
             got.df = R.apply_aggregations(got.df, chosen)
+            taken = got.df.where("bucket = 'matched_agg'").count()
             got.extra["exceptions"] = R.triage(got.df, o)
     exceptions = got.extra["exceptions"]
     summary = R.summarise(got.df, exceptions, taken)
@@ -311,6 +321,7 @@ def _run_reconcile(spark, plan, base, dry):
     payload = {"summary": plain(summary), "warning": R.absurd_warning(potential, summary["matched"]), "exceptions": _shown(exceptions)["rows"]}
     if proposals:
         payload["proposals"] = proposals
+        payload["moved_items"] = taken
     for side, df in (("a", a), ("b", b)):
         limits = plan.get("balance", {}).get(side)
         if limits:

@@ -257,11 +257,67 @@ def test_greedy_rounds_leave_no_edge(spark, monkeypatch):
     assert {(r.a, r.b) for r in R._greedy(edges).collect()} == {(k, k) for k in range(52)}
 
 
+@pytest.mark.parametrize("one_task", [0, 200_000])
+def test_greedy_is_the_serial_choice_at_any_size(spark, monkeypatch, one_task):
+    monkeypatch.setattr(R, "ONE_TASK_EDGES", one_task)
+    rng = random.Random(6)
+    listed = {(0, 100): 0, (1, 100): 0, (1, 101): 1, (2, 101): 0} | {(rng.randint(10, 30), rng.randint(200, 222)): rng.randint(0, 3) for _ in range(120)}
+    edges = spark.createDataFrame([(a, b, w) for (a, b), w in listed.items()], "a long, b long, w int")
+    free, want = {b for _, b in listed}, set()
+    for a in sorted({a for a, _ in listed}):
+        fits = [(w, b) for (x, b), w in listed.items() if x == a and b in free]
+        if fits:
+            want.add((a, min(fits)[1]))
+            free.discard(min(fits)[1])
+    assert {(r.a, r.b) for r in R._greedy(edges).collect()} == want and {(0, 100), (1, 101)} <= want
+
+
+def test_first_combination_is_that_of_trying_all():
+    from itertools import combinations
+
+    rng = random.Random(8)
+    for _ in range(300):
+        values = [rng.randint(-5, 40) for _ in range(rng.randint(0, 9))]
+        target, slack = rng.randint(0, 90), rng.randint(0, 2)
+        want = next((c for k in range(2, 6) for c in combinations(range(len(values)), k) if abs(sum(values[i] for i in c) - target) <= slack), None)
+        assert R.first_combination(values, target, slack, 5) == want
+
+
+def test_large_groups_are_searched_where_asked_for(spark):
+    a = table(spark, ["party", "amount"], [["X", "10000000.50"]])
+    b = table(spark, ["party", "amount"], [["x", str(2**k)] for k in range(3, 24)] * 4 + [["x", "9999990.25"], ["x", "10.25"]])
+    kinds = lambda most: [(r.kind, r.a_ids, r.b_ids) for r in R.propose_aggregations(a, b, "party", "party", R.Options(), candidates=most).collect()]
+    assert kinds(60) == [("too_many", [], [])] and kinds(None) == [("one_to_many", [0], [84, 85])]
+
+
+def test_accepting_group_ties_through_a_plan(spark, tmp_path, monkeypatch):
+    base = str(tmp_path)
+    (tmp_path / "a.csv").write_text("ref,party,amount\nr1,X,100\nr2,Q,300\nr3,Y,50\n")
+    (tmp_path / "b.csv").write_text("ref,party,amount\nr1,X,100\nq1,q,100\nq2,q,200\ny1,y,20\ny2,y,30\n")
+    plan = {"version": 1, "skill": "reconcile", "inputs": ["a.csv", "b.csv"], "options": {"mode": "key", "key": "ref"}, "aggregate": {"group": "party"}, "output": "w.xlsx", "approval": {"confirmed": True}}
+    first = runtime.run_plan(spark, plan, base)
+    assert first["status"] == "ok", first
+    proposals = first["result"]["proposals"]
+    assert [(p["kind"], p["grp"], len(p["a_ids"]), len(p["b_ids"])) for p in proposals] == [("group", "q", 1, 2), ("group", "y", 1, 2)]
+    chosen = plan | {"aggregate": {"group": "party", "accepted": [0]}}
+    monkeypatch.setenv("LEDGERLOOM_APPROVAL_KEY", "secret")
+    assert "signed approval" in runtime.run_plan(spark, chosen, base)["errors"][0]["error"]
+    receipt = runtime.sign(runtime.approval_request(spark, chosen, base), "secret", "me")
+    other = plan | {"aggregate": {"group": "party", "accepted": [1]}, "approval": {"confirmed": True, "receipt": receipt}}
+    assert "signed approval" in runtime.run_plan(spark, other, base)["errors"][0]["error"]
+    twice = runtime.run_plan(spark, plan | {"aggregate": {"group": "party", "accepted": [0, 0]}}, base)
+    assert twice["errors"][0]["pointer"] == "/aggregate/accepted"
+    done = runtime.run_plan(spark, chosen | {"approval": {"confirmed": True, "receipt": receipt}}, base)
+    assert done["status"] == "ok" and done["result"]["moved_items"] == 3
+    s = done["result"]["summary"]
+    assert s["matched"] == 1 and {k: v["n"] for k, v in s["by_category"].items()} == {"missing_in_B": 1, "missing_in_A": 2}
+
+
 def test_aggregation_proposals(spark):
     a = table(spark, ["party", "amount"], [["X", "300"], ["Y", "50"], ["Z", "70"]])
     b = table(spark, ["party", "amount"], [["x", "100"], ["x", "200"], ["y", "20"], ["y", "30"], ["y", "99"]])
     got = {(r.kind, r.grp, tuple(r.a_ids), tuple(r.b_ids)) for r in R.propose_aggregations(a, b, "party", "party", R.Options()).collect()}
-    assert got == {("group", "x", (), ()), ("one_to_many", "y", (1,), (2, 3))}
+    assert got == {("group", "x", (0,), (0, 1)), ("one_to_many", "y", (1,), (2, 3))}
     o = R.Options(mode="key", key="party")
     chosen = spark.createDataFrame([([2], [4])], "a_ids array<long>, b_ids array<long>")
     after = R.apply_aggregations(R.match(a.where("party = 'Z'"), b.where("amount = '99'"), o), chosen)
@@ -301,6 +357,69 @@ def test_readers_and_sinks(spark, tmp_path):
     assert len(files) == 2
 
 
+def test_wide_rows_and_late_fields_are_read(spark, tmp_path):
+    (tmp_path / "w.csv").write_text("a,b\n" + "1,2\n" * 300 + '3,4,LOST\n5,"x\ny",6,7\n8\n')
+    got = readers.read_csv(spark, str(tmp_path / "w.csv")).drop(RID).collect()
+    assert len(got) == 303 and len(got[0]) == 4
+    assert [tuple(r) for r in got[-3:]] == [("3", "4", "LOST", None), ("5", "x\ny", "6", "7"), ("8", None, None, None)]
+    (tmp_path / "late.json").write_text(json.dumps([{"a": i} for i in range(1500)] + [{"a": 1, "late": {"x": 2}}]))
+    got = readers.read_json(spark, str(tmp_path / "late.json"))
+    assert got.count() == 1501 and got.where("late IS NOT NULL").select("late.x").first()[0] == 2
+    (tmp_path / "none.json").write_text("[]")
+    assert readers.read_json(spark, str(tmp_path / "none.json")).count() == 0
+
+
+def test_headers_by_strength():
+    rows = [["Report", None, None], ["1/2/2025", "12", "0.0"], ["Name", "Amount", "Day"], ["Ann", "5", "1/2/2025"]]
+    assert readers.detect_header(rows) == 2 and readers.detect_header([]) == 0 and readers.detect_header([["x"], [None]]) == 0
+    assert readers.detect_header([["a", "b"], ["c", "d"]]) == 0
+
+
+def office(path, parts):
+    import zipfile
+
+    with zipfile.ZipFile(path, "w") as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+
+
+def test_tables_of_word_documents_and_slides(spark, tmp_path):
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    cell = lambda t, more="": f"<w:tc>{more}<w:p><w:r><w:t>{t}</w:t></w:r></w:p></w:tc>"
+    row = lambda *c: f"<w:tr>{''.join(c)}</w:tr>"
+    wide = '<w:tcPr><w:gridSpan w:val="2"/></w:tcPr>'
+    body = f"<w:p><w:r><w:t>intro</w:t></w:r></w:p><w:tbl>{row(cell('Name'), cell('Paid'))}{row(cell('Ann'), cell('5'))}</w:tbl><w:tbl>{row(cell('both', wide))}</w:tbl>"
+    office(tmp_path / "d.docx", {"word/document.xml": f"<w:document {w}><w:body>{body}</w:body></w:document>"})
+    assert [tuple(r) for r in readers.read_any(spark, str(tmp_path / "d.docx")).drop(RID).collect()] == [("Ann", "5"), ("both", "both")]
+    a = 'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    par = lambda t: f"<a:p><a:r><a:t>{t}</a:t></a:r></a:p>"
+    line = lambda *c: "<a:tr>" + "".join(f"<a:tc><a:txBody>{par(x)}</a:txBody></a:tc>" for x in c) + "</a:tr>"
+    slide = f"<p:sld {a}><p:sp>{par('Title')}</p:sp><a:tbl>{line('Item', 'Cost')}{line('Desk', '90')}</a:tbl></p:sld>"
+    rels = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="r{i}" Target="slides/s{i}.xml"/>' for i in (1, 2)) + "</Relationships>"
+    show = f'<p:presentation {a}><p:sldIdLst><p:sldId id="256" r:id="r2"/><p:sldId id="257" r:id="r1"/></p:sldIdLst></p:presentation>'
+    office(tmp_path / "s.pptx", {"ppt/presentation.xml": show, "ppt/_rels/presentation.xml.rels": rels, "ppt/slides/s1.xml": slide, "ppt/slides/s2.xml": f"<p:sld {a}/>"})
+    assert [tuple(r) for r in readers.read_any(spark, str(tmp_path / "s.pptx")).drop(RID).collect()] == [("Desk", "90")]
+    slides = readers.pptx_slides((tmp_path / "s.pptx").read_bytes())
+    assert [(s["slide"], len(s["tables"]), s["text"]) for s in slides] == [(1, 0, ""), (2, 1, "Title")]
+
+
+def test_filters_compile(spark):
+    """With code generation on, and no fall-back to interpretation allowed, a filter's report runs and tells the same."""
+    df = table(spark, ["v", "d"], [["1,200", "05/01/2025"], ["£30", "junk"], ["x", "2025-03-01"], ["", None], ["1200", "06/01/2025"]])
+    filters = [{"column": "v", "op": ">=", "value": "1,000"}, {"column": "d", "op": "<", "value": "2025-02-01"}]
+    plain = (L.filter_rows(df, filters).coverage(), L.filter_rows(df, filters).df.count())
+    names = {"spark.sql.codegen.wholeStage": "true", "spark.sql.codegen.factoryMode": "CODEGEN_ONLY", "spark.sql.codegen.fallback": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        assert (L.filter_rows(df, filters).coverage(), L.filter_rows(df, filters).df.count()) == plain
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert plain[1] == 2 and plain[0]["incomparable_0"] == 2
+
+
 def test_html():
     text = V.page("T & Co", [V.bar("b", ["x", "y"], [1, -2]), V.line("l", ["a", "b"], {"s": [1, None]}), V.donut("d", ["x"], [1]), V.heatmap("h", [("r", "c", 1), ("r", "d", None)]), V.waterfall("w", [("s", 5, "start"), ("d", -2, "delta")]), V.stacked("s", [("a", "x", 1), ("a", "y", -1)]), V.table([{"a": "<b>"}]), V.scatter("p", [(1, 2), (2, 3)], (1, 1)), V.sparkline("k", [1, 2])])
     assert "&lt;b&gt;" in text and "T &amp; Co" in text and text.count("<svg") == 8 and "http" not in text
