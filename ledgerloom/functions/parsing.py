@@ -94,23 +94,51 @@ def resolved_code(cell: Column, code_cell: Column | None = None, expected: str |
     return F.coalesce(*options)
 
 
-# What each format's text must look like, so that the lenient parser of the JVM accepts what the format means and no more.
-_SHAPES = {"yyyyMMdd": r"[0-9]{8}", "d/M/yy": r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{2}", "M/d/yy": r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{2}"}
-
-
-def _formatted(s: Column, fmt: str) -> Column:
-    shape = _SHAPES.get(fmt)
-    if fmt.endswith("/yy"):  # two-digit years up to 68 are of this century
-        year = F.right(s, F.lit(2)).try_cast("int")
-        s = F.when(s.rlike(f"^{shape}$"), F.concat(F.regexp_replace(s, "[0-9]{2}$", ""), F.when(year > 68, year + 1900).otherwise(year + 2000).cast("string")))
-        fmt = fmt + "yy"
-    elif shape:
-        s = F.when(s.rlike(f"^{shape}$"), s)
-    elif fmt.startswith("yyyy"):
-        s = F.when(s.rlike("^[0-9]{4}[-/]"), s)
-    elif fmt.endswith("yyyy"):
-        s = F.when(s.rlike("[0-9]{4}$") & ~s.rlike("[0-9]{5}$"), s)
-    return F.try_to_timestamp(s, F.lit(fmt)).cast("date")
+_MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+# What the letters of a format stand for; years of two digits up to 68 are of this century.
+_LETTERS = {"yyyy": "[0-9]{4}", "M": "0?[1-9]|1[0-2]", "MM": "0[1-9]|1[0-2]", "MMM": "|".join(m[:3] for m in _MONTHS), "MMMM": "|".join(_MONTHS), "d": "[0-9]{1,2}", "dd": "[0-9]{2}"}
+_CENTURIES = {"20": "[0-5][0-9]|6[0-8]", "19": "69|[7-9][0-9]"}
+
+
+def _rules(formats: list[str]) -> list[tuple[str, str]]:
+    """(pattern, replacement) that turn texts of the formats into year-month-day. Formats that differ in their one separator
+    only, such as d/M/yyyy and d-M-yyyy, make one pattern."""
+    alike: dict[tuple, list[str]] = {}
+    for fmt in formats:
+        parts = re.findall("y+|M+|d+|[^yMd]+", fmt)
+        letters, marks = tuple(p for p in parts if p[0] in "yMd"), [p for p in parts if p[0] not in "yMd"]
+        one = len(marks) == 2 and marks[0] == marks[1] and len(marks[0]) == 1
+        alike.setdefault((letters, "one" if one else tuple(marks)), []).append(marks[0] if one else "")
+    out = []
+    for (letters, marks), seps in alike.items():
+        for century, years in _CENTURIES.items() if "yy" in letters else {"": ""}.items():
+            named = [f"(?<{p[0]}>{years if p == 'yy' else _LETTERS[p]})" for p in letters]
+            if marks == "one":
+                pattern = f"{named[0]}(?<s>[{re.escape(''.join(seps))}]){named[1]}\\k<s>{named[2]}"
+            else:
+                pattern = named[0] + "".join(re.escape(m) + n for m, n in zip(marks or ("", ""), named[1:], strict=True))
+            out.append((f"(?i)^{pattern}$", f"{century}${{y}}-${{M}}-${{d}}"))
+    return out
+
+
+def _rewritten(s: Column, formats: list[str]) -> Column:
+    for pattern, replacement in _rules(formats):
+        s = F.regexp_replace(s, pattern, replacement)
+    return s
+
+
+def _formatted(s: Column, formats: list[str]) -> Column:
+    """The day of a text in the first format that it has the shape of: year first, with a month's name, or in figures. It is
+    rewritten by the few patterns of its kind and parsed once."""
+    first = [f for f in formats if f.startswith("yyyy") and f != "yyyyMMdd"]
+    named = [f for f in formats if "MMM" in f]
+    words = _rewritten(s, named)
+    name = F.regexp_extract(words, "^[0-9]{4}-([A-Za-z]{3,9})-", 1)
+    month = ((F.instr(F.lit("".join(m[:3] for m in _MONTHS)), F.lower(F.substring(name, 1, 3))) + 2) / 3).cast("int").cast("string")
+    spelled = F.concat(F.substring(words, 1, 5), month, F.regexp_replace(words, "^[0-9]{4}-[A-Za-z]+", ""))
+    figures = _rewritten(s, [f for f in formats if f not in first and f not in named])
+    iso = F.when(s.rlike("^[0-9]{4}[^0-9]"), _rewritten(s, first)).when(s.rlike("[A-Za-z]"), spelled).otherwise(figures)
+    return F.try_to_timestamp(F.when(iso.rlike("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), iso), F.lit("yyyy-M-d")).cast("date")
 
 
 def date(c: Column, dayfirst: bool = True) -> Column:
@@ -121,7 +149,7 @@ def date(c: Column, dayfirst: bool = True) -> Column:
     from_serial = F.date_add(F.lit("1899-12-30").cast("date"), days)
     formats = DATE_FORMATS if dayfirst else [*MONTH_FIRST_FORMATS, *DATE_FORMATS]
     spaced = F.regexp_replace(s, r"\s+", " ")
-    value = F.when(serial, from_serial).otherwise(F.coalesce(*(_formatted(spaced, f) for f in formats)))
+    value = F.when(serial, from_serial).otherwise(_formatted(spaced, formats))
     pattern = r"^([0-9]{1,2})[/.-]([0-9]{1,2})[/.-][0-9]{2,4}$"
     a, b = (F.regexp_extract(s, pattern, i).try_cast("int") for i in (1, 2))
     unclear = F.coalesce((a <= 12) & (b <= 12) & (a != b), F.lit(False))
@@ -158,7 +186,7 @@ def lenient_amount(c: Column) -> Column:
 
 def reconcile_date(c: Column) -> Column:
     s = F.regexp_replace(text(c), r"\s+", " ")
-    return F.coalesce(*(_formatted(s, f) for f in RECONCILE_FORMATS))
+    return _formatted(s, RECONCILE_FORMATS)
 
 
 def reconcile_currency(c: Column) -> Column:
@@ -176,9 +204,12 @@ _DATE_HINT = r"(?i)[/]|\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)|[0-9]
 
 def kind(c: Column) -> Column:
     """'date', 'number' or 'string' of a cell: what looks like a date is tried as one first."""
-    s = text(c)
-    dated, numeric = day(c).isNotNull(), amount(c).isNotNull()
-    return F.when(s == "", "string").when(s.rlike(_DATE_HINT) & dated, "date").when(numeric, "number").when(dated, "date").otherwise("string")
+    return kind_from(text(c), day(c), amount(c))
+
+
+def kind_from(s: Column, dated: Column, numeric: Column) -> Column:
+    """The same from a cell's text and its readings."""
+    return F.when(s == "", "string").when(s.rlike(_DATE_HINT) & dated.isNotNull(), "date").when(numeric.isNotNull(), "number").when(dated.isNotNull(), "date").otherwise("string")
 
 
 def chart_number(c: Column) -> Column:

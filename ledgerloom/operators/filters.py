@@ -22,14 +22,23 @@ def _typed(dtype: str) -> str | None:
 
 
 class _Side:
-    """A column in a comparison: its kind and its value as each kind."""
+    """A column in a comparison: its kind and its value as each kind. A text column's readings come from ``_read``."""
 
-    def __init__(self, c: Column, dtype: str):
+    def __init__(self, c: Column, dtype: str, name: str):
         self.known = _typed(dtype)
-        self.kind = F.lit(self.known) if self.known else P.kind(c)
-        self.number = c.cast("decimal(38,10)") if self.known == "number" else P.amount(c).cast("decimal(38,10)")
-        self.date = c.cast("date") if self.known == "date" else P.day(c)
-        self.string = F.lower(P.text(c))
+        number, date = (c, c) if self.known else (F.col(_READ + name)["number"], F.col(_READ + name)["date"])
+        self.kind = F.lit(self.known) if self.known else P.kind_from(P.text(c), date, number)
+        self.number, self.date, self.string = number.cast("decimal(38,10)"), date.cast("date"), F.lower(P.text(c))
+
+
+_READ = "__read_"
+
+
+def _read(df: DataFrame, names: list[str]) -> DataFrame:
+    """df with each text column's readings as number and date, worked out once. They come out of a generator, as the optimiser
+    would otherwise put their expressions, which are long, into every predicate."""
+    each = [F.struct(P.amount(q(n)).cast("decimal(38,10)").alias("number"), P.day(q(n)).alias("date")).alias(_READ + n) for n in names]
+    return df.select("*", F.inline(F.array(F.struct(*each)))) if each else df
 
 
 def _literals(df: DataFrame, values: list[Any]) -> list[tuple[str, Any]]:
@@ -58,8 +67,9 @@ def _compare(a: _Side, literal: tuple[str, Any], op: str) -> tuple[Column, Colum
     return F.when(a.kind == kind, by(mine, y)), a.kind != kind
 
 
-def predicate(df: DataFrame, c: Column, dtype: str, op: str, value: Any = None) -> tuple[Column, Column]:
-    """(keep, incomparable) of a column of df against a plan's value."""
+def predicate(df: DataFrame, name: str, dtype: str, op: str, value: Any = None) -> tuple[Column, Column]:
+    """(keep, incomparable) of a column of df, whose text columns have been read, against a plan's value."""
+    c = q(name)
     never = F.lit(False)
     if op not in OPS:
         raise ValueError(f"unknown filter {op!r}; there are {', '.join(OPS)}")
@@ -69,7 +79,7 @@ def predicate(df: DataFrame, c: Column, dtype: str, op: str, value: Any = None)
         return ~P.blank(c), never
     if op == "contains":
         return F.lower(P.text(c)).contains(str(value).lower()), never
-    side = _Side(c, dtype)
+    side = _Side(c, dtype, name)
     if op in ("in", "not_in"):
         hit = F.lit(False)
         for v in _literals(df, list(value)):
@@ -89,15 +99,19 @@ def predicate(df: DataFrame, c: Column, dtype: str, op: str, value: Any = None)
 
 def filter_rows(df: DataFrame, filters: list[dict[str, Any]]) -> Result:
     """Rows that pass all filters, and n_in, n_out, n_dropped, removed_k, incomparable_k in one pass over the input."""
-    dtypes = dict(df.dtypes)
+    dtypes, names = dict(df.dtypes), [find(df, f["column"]) for f in filters]
+    compared = [n for n, f in zip(names, filters, strict=True) if f["op"] not in ("is_empty", "not_empty", "contains") and not _typed(dtypes[n])]
+    rows = _read(df, list(dict.fromkeys(compared)))
+    tests = [predicate(rows, n, dtypes[n], f["op"], f.get("value")) for n, f in zip(names, filters, strict=True)]
+    flags = [c.alias(f"__{kind}{k}") for k, pair in enumerate(tests) for kind, c in zip(("ok", "bad"), pair, strict=True)]
     keep, aggs = F.lit(True), [F.count("*").alias("n_in")]
-    for k, f in enumerate(filters):
-        name = find(df, f["column"])
-        ok, bad = predicate(df, q(name), dtypes[name], f["op"], f.get("value"))
+    for k in range(len(tests)):
+        ok, bad = F.col(f"__ok{k}"), F.col(f"__bad{k}")
         aggs += [F.count_if(keep & ~ok).alias(f"removed_{k}"), F.count_if(keep & bad).alias(f"incomparable_{k}")]
         keep = keep & ok
-    report = df.agg(*aggs, F.count_if(keep).alias("n_out")).withColumn("n_dropped", F.col("n_in") - F.col("n_out"))
-    return Result(df.where(keep), report)
+    report = rows.select(F.lit(1).alias("__one"), *flags).agg(*aggs, F.count_if(keep).alias("n_out")).withColumn("n_dropped", F.col("n_in") - F.col("n_out"))
+    passed = rows.where(P.all_of([ok for ok, _ in tests])) if tests else rows
+    return Result(passed.select(*(q(c) for c in df.columns)), report)
 
 
 MATCHES = ("eq", "ne", "in", "not_in", "contains", "blank", "nonblank", "gt", "ge", "lt", "le")
