@@ -15,10 +15,13 @@ from ..operators import reshape as S
 from ..operators import tidy as T
 from .catalogue import _PAIRS, _RECON, _recon_sides, doubles, keyed, query, t
 
-_PRICE = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
 _SQL_PRICE = "o_totalprice::DECIMAL(18,2)"
 
 
+def _price():
+    return F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+
+
 def _choice(number, *cells):
     """One of the cells by a number's remainder."""
     out = F.lit(cells[-1]) if not hasattr(cells[-1], "isNotNull") else cells[-1]
@@ -40,7 +43,7 @@ def boolean_cells(spark, sf):
 
 @query(f"SELECT o_orderkey, round((CASE WHEN o_orderkey % 3 = 1 THEN -1 ELSE 1 END * {_SQL_PRICE})::DOUBLE, 2) AS v FROM orders")
 def lenient_amounts(spark, sf):
-    cell = _choice(F.col("o_orderkey"), F.concat(F.lit("EUR "), _PRICE, F.lit(" cr")), F.concat(F.lit("("), _PRICE, F.lit(")")), F.concat(F.lit("~"), _PRICE))
+    cell = _choice(F.col("o_orderkey"), F.concat(F.lit("EUR "), _price(), F.lit(" cr")), F.concat(F.lit("("), _price(), F.lit(")")), F.concat(F.lit("~"), _price()))
     return doubles(t(spark, sf, "orders", "o_orderkey", "o_totalprice").select("o_orderkey", P.lenient_amount(cell).alias("v")), "v", places=2)
 
 
@@ -64,13 +67,13 @@ def resolved_codes(spark, sf):
 
 @query(f"SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN round({_SQL_PRICE}::DOUBLE, 2) WHEN 1 THEN round(-({_SQL_PRICE}::DOUBLE), 2) END AS chart, CASE o_orderkey % 3 WHEN 0 THEN round({_SQL_PRICE}::DOUBLE, 2) WHEN 1 THEN round(-({_SQL_PRICE}::DOUBLE), 2) END AS cell FROM orders")
 def other_number_dialects(spark, sf):
-    cell = _choice(F.col("o_orderkey"), F.concat(F.lit("£"), _PRICE), F.concat(F.lit("("), _PRICE, F.lit(")")), "n/a")
+    cell = _choice(F.col("o_orderkey"), F.concat(F.lit("£"), _price()), F.concat(F.lit("("), _price(), F.lit(")")), "n/a")
     return doubles(t(spark, sf, "orders", "o_orderkey", "o_totalprice").select("o_orderkey", P.chart_number(cell).alias("chart"), P.table_number(cell).alias("cell")), "chart", "cell", places=2)
 
 
 @query(f"SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN {_SQL_PRICE}::VARCHAR END AS value, CASE o_orderkey % 3 WHEN 0 THEN 'GBP' ELSE 'USD' END AS code, CASE WHEN o_orderkey % 3 = 2 THEN 'unknown' END AS raw FROM orders")
 def converted_currencies(spark, sf):
-    cell = _choice(F.col("o_orderkey"), F.concat(F.lit("£ "), _PRICE), F.concat(F.lit(" "), _PRICE), "unknown")
+    cell = _choice(F.col("o_orderkey"), F.concat(F.lit("£ "), _price()), F.concat(F.lit(" "), _price()), "unknown")
     c = P.converted(cell, "currency", None, "USD")
     return t(spark, sf, "orders", "o_orderkey", "o_totalprice").select("o_orderkey", c["value"].cast("decimal(18,2)").cast("string").alias("value"), c["code"].alias("code"), c["raw"].alias("raw"))
 
@@ -151,7 +154,7 @@ def currency_relations(spark, sf):
 @query("""SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_totalprice::DECIMAL(28,6) > 1000 AND lower(o_orderpriority) LIKE '%h%'""")
 def conversion_filters(spark, sf):
     o = t(spark, sf, "orders", "o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
-    keep = L.matches(F.col("o_orderstatus"), "ne", "F") & L.matches(F.col("o_orderpriority"), "in", ["1-URGENT", "2-HIGH"]) & L.matches(_PRICE, "gt", "1,000") & L.matches(F.col("o_orderpriority"), "contains", "H") & L.matches(F.col("o_orderstatus"), "nonblank")
+    keep = L.matches(F.col("o_orderstatus"), "ne", "F") & L.matches(F.col("o_orderpriority"), "in", ["1-URGENT", "2-HIGH"]) & L.matches(_price(), "gt", "1,000") & L.matches(F.col("o_orderpriority"), "contains", "H") & L.matches(F.col("o_orderstatus"), "nonblank")
     return o.where(keep).select("o_orderkey")
 
 
