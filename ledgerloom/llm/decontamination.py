@@ -48,7 +48,7 @@ def template(words: Column) -> Column:
 
     def one(w: Column, i: Column) -> Column:
         digit = lambda x: x.between("0", "9￿")
-        kind = F.when(w.startswith(_NAME), _NAME).when(digit(w), _NUMBER).when(w.isin(UNITS) & (i > 0) & digit(F.get(words, i - 1)), _UNIT)
+        kind = F.when(w.startswith(_NAME), _NAME).when(digit(w), _NUMBER).when((i > 0) & digit(F.get(words, i - 1)) & w.isin(UNITS), _UNIT)
         return F.xxhash64(F.coalesce(kind, w))
 
     return F.transform(words, one)
@@ -67,18 +67,19 @@ def _once(rows: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
 def windows(rows: DataFrame, *keys: str) -> DataFrame:
     """keys, at (place of the window), w (its hash), words (raw tokens of windows with slots), n_tokens."""
     hashed = _once(_once(rows, list(keys), t=tokens(F.col("text"))).where(F.size("t") >= WINDOW), [*keys, "t"], h=template(F.col("t")))
-    h, t = F.col("h"), F.col("t")
-    slotted = F.exists(h, lambda x: reduce(lambda a, b: a | b, _slots(x)))
-
-    def window(x: Column, i: Column) -> Column:
-        any_slot = F.exists(F.slice(h, i + 1, WINDOW), lambda y: reduce(lambda a, b: a | b, _slots(y)))
-        w = F.xxhash64(x, *(F.get(h, i + k) for k in range(1, WINDOW)))
-        return F.struct(w.alias("w"), F.when(F.col("slotted") & any_slot, F.slice(t, i + 1, WINDOW)).alias("words"))
-
-    every = F.transform(h, window)
-    cut = _once(hashed, [*keys, "t", "h"], slotted=slotted)
-    cut = cut.select(*keys, F.size("t").alias("n_tokens"), F.slice(every, F.lit(1), F.size("t") - (WINDOW - 1)).alias("all"))
-    return cut.select(*keys, "n_tokens", F.posexplode("all").alias("at", "x")).select(*keys, "n_tokens", "at", "x.w", "x.words")
+    is_slot = F.transform("h", lambda x: reduce(lambda a, b: a | b, _slots(x)))
+    cut = _once(hashed, [*keys, "t", "h"], slot=is_slot)
+    cut = _once(cut, [*keys, "t", "h", "slot"], slotted=F.array_contains("slot", True))
+    own = lambda column, i: F.slice(column, i, WINDOW)
+
+    def window(i: Column) -> Column:
+        # a hash of an array is that of its elements as columns; no function is called for each element of a window
+        words = F.when(F.col("slotted") & F.array_contains(own("slot", i), True), own("t", i))
+        return F.struct(F.xxhash64(own("h", i)).alias("w"), words.alias("words"))
+
+    every = F.transform(F.sequence(F.lit(1), F.size("t") - (WINDOW - 1)), window)
+    cut = cut.select(*keys, F.size("t").alias("n_tokens"), F.posexplode(every).alias("at", "x"))
+    return cut.select(*keys, "n_tokens", "at", "x.w", "x.words")
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
