@@ -1,17 +1,20 @@
 """LM scoring: log10 probabilities of whole texts under an online context-mixing model.
 
-The model predicts the words of a text one after another, then an end. Its parts:
-
-* spellings of words by logistic mixing of hashed-context bit predictors (``context_mixing``), with tables,
-  weights and refinement gathered from every distinct training word;
-* counts of every training word, over all texts and by state (the ``lang`` of training texts; the texts
-  scored are read without it), each discounted onto the next coarser: state, all, spelling;
-* two adaptive gates, both exact online rules in closed form: the words already seen in the text count as
-  draws of an urn of ``ALPHA`` (or of none), and the weight of each state follows from what it has
-  predicted so far.
-
-Counts, N and V cover all training texts (crc32(doc_id as text) mod 7 is not 2). The ``TOP`` most frequent
-words are broadcast (a fixed bound); the rest is joined by word, and only sums per text come back.
+A text is written bit by bit and every bit is predicted by online context mixing (``word_mixing``): hashed
+contexts that reach across words, counted over the training texts; tables of the text's own, weights and
+gates, updated after every bit; a refinement. Its symbols are the ``TOP`` most frequent words of the training
+texts (found twice at least), the end, and an escape for other words. Other words are drawn from
+
+* an urn of ``ALPHA`` draws and the other words already seen in the text, filled with
+* the counts of every other training word, discounted onto
+* spellings by logistic mixing of hashed-context bit predictors (``context_mixing``), with tables, weights
+  and refinement gathered from every distinct training word.
+
+Training texts (crc32(doc_id as text) mod 7 is not 2) give the base counts, N and V, and the symbols. One in
+``TUNING`` of them, by a hash of the text, gives the mixing weights, the others the contexts' counts, so that weights
+are learned on texts which the counts haven't seen. Every text starts from the same tables and weights, so its score
+depends on no other text's place. The symbols are broadcast, as are the tables (of bounded size); other words are
+joined, and only sums per text come back.
 
 Null, empty and blank texts are one end token. Repeated rows count and score one by one. With no training
 text, N is 0 and every word is unknown. An empty table gives an empty result.
@@ -20,6 +23,7 @@ text, N is 0 and every word is unknown. An empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import context_mixing as M
-from .shared import documents, held, written
+from . import word_mixing as W
+from .shared import documents, held, lean, written
 from .textarrays import Words, ragged, slices, text_buffers
 
-TOP, STATES, DISCOUNT, ALPHA, LOT = 100_000, 6, 0.7, 400.0, 100_000
-SHARES = (0.5, 0.5)  # of the urn and of none, beforehand
+TOP, TUNING, DISCOUNT, ALPHA, LOT = 100_000, 16, 0.7, 400.0, 100_000
+#: Training tokens from whose share for the weights one task learns, learning rates, and bytes of text read side by side.
+LEARNED, LEARN, RATE, SIDE = 4_000_000, 0.02, 0.02, 2 << 20
 END = b""
 
 
@@ -50,32 +56,27 @@ def _spelled(words: Words, at: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
 
 
-def word_counts(docs: DataFrame, states: list[str], folds: int) -> DataFrame:
-    """token, h, sig, n (in training texts), n0 ... (by state) of every distinct word of all texts; the end is the empty token."""
-    state = F.lit(len(states)).cast("int")
-    if "lang" in docs.columns:
-        for k, name in enumerate(states):
-            state = F.when(F.col("lang") == name, k).otherwise(state)
-    rows = documents(docs, held(folds).alias("held_out"), state.alias("state")).where(~F.col("held_out")).select("text", "state")
-    names = ["token", "h", "sig", "state", "n"]
+def word_counts(docs: DataFrame, folds: int) -> DataFrame:
+    """token, h, sig, n (in training texts) of every distinct word; the end is the empty token."""
+    rows = documents(docs, held(folds).alias("held_out")).where(~F.col("held_out")).select("text")
+    names = ["token", "h", "sig", "n"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            state = batch.column("state").to_numpy(zero_copy_only=False)
             data, offsets = text_buffers(batch.column("text"))
             for lo, hi in slices(offsets, 4 << 20):
                 words = Words(data, offsets, lo, hi)
-                own = state[lo:hi]
-                for k in np.unique(own):
-                    pick = np.flatnonzero(own[words.row] == k)
-                    h, first, n = np.unique(words.hashes()[pick], return_index=True, return_counts=True)
-                    at = pick[first]
-                    yield pa.RecordBatch.from_arrays([_spelled(words, at), pa.array(h.view(np.int64)), pa.array(_signature(words, at).astype(np.int32)), pa.array(np.full(len(h), k, np.int32)), pa.array(n)], names)
-                    yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([0]), pa.array([0], pa.int32()), pa.array([k], pa.int32()), pa.array([int((own == k).sum())])], names)
+                h, at, n = np.unique(words.hashes(), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([_spelled(words, at), pa.array(h.view(np.int64)), pa.array(_signature(words, at).astype(np.int32)), pa.array(n)], names)
+                yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([0]), pa.array([0], pa.int32()), pa.array([hi - lo])], names)
+
+    flat = rows.mapInArrow(lean(work), "token binary, h long, sig int, n long")
+    return flat.groupBy("token", "h", "sig").agg(F.sum("n").alias("n"))
+
 
-    flat = rows.mapInArrow(work, "token binary, h long, sig int, state int, n long")
-    each = [F.sum(F.when(F.col("state") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(len(states))]
-    return flat.groupBy("token", "h", "sig").agg(F.sum("n").alias("n"), *each)
+def _few(df: DataFrame) -> DataFrame:
+    """df in few partitions, for tasks that each hand over a whole table."""
+    return df.coalesce(min(256, 2 * df.sparkSession.sparkContext.defaultParallelism))
 
 
 def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +110,7 @@ def _table(vocabulary: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "counts"])
 
     schema = "block int, counts binary"
-    got = vocabulary.select("token").mapInArrow(count, schema).repartition(M.BLOCKS, "block").mapInArrow(add, schema).toArrow()
+    got = _few(vocabulary.select("token")).mapInArrow(lean(count), schema).repartition(M.BLOCKS, "block").mapInArrow(lean(add), schema).toArrow()
     out = np.zeros((M.BLOCKS, size), np.float32)
     for b, c in zip(got.column("block").to_pylist(), got.column("counts").to_pylist(), strict=True):
         out[b] += np.frombuffer(c, np.float32)
@@ -148,7 +149,7 @@ def _mixer(vocabulary: DataFrame, table, words: int) -> tuple[np.ndarray, np.nda
 
     schema = "n long, weight binary, refine binary"
     lots = vocabulary.select("token").repartition(max(1, -(-words // LOT)), "token").sortWithinPartitions("token")
-    some = lots.mapInArrow(work, schema).repartition(8).mapInArrow(add, schema).collect()
+    some = lots.mapInArrow(lean(work), schema).repartition(8).mapInArrow(lean(add), schema).collect()
     weights, refine = M.start()
     if not some:
         return weights, refine
@@ -157,136 +158,171 @@ def _mixer(vocabulary: DataFrame, table, words: int) -> tuple[np.ndarray, np.nda
     return weights, refine + sum(np.frombuffer(r.refine) for r in some).reshape(refine.shape)
 
 
+def _read(batches: Iterator[pa.RecordBatch], code: W.Code, most: int) -> Iterator[tuple[pa.RecordBatch, Words, W.Read]]:
+    """Texts in lots of about ``most`` bytes."""
+    for batch in batches:
+        data, offsets = text_buffers(batch.column("text"))
+        for lo, hi in slices(offsets, most):
+            words = Words(data, offsets, lo, hi)
+            yield batch.slice(lo, hi - lo), words, W.Read(code, words)
+
+
+def _contexts(texts: DataFrame, code) -> np.ndarray:
+    """The contexts' counts over these texts, summed block by block, and packed."""
+    size = code.value.size() // W.BLOCKS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for _, _, read in _read(batches, code.value, SIDE):
+            total = np.zeros((W.BLOCKS, size, 2), np.uint32) if total is None else total
+            W.count(code.value, read, total)
+        for k in range(W.BLOCKS if total is not None else 0):
+            flat = total[k].ravel()
+            large = np.flatnonzero(flat > 255)
+            small = zlib.compress(np.minimum(flat, 255).astype(np.uint8), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([c], pa.binary()) for c in (small, large.tobytes(), flat[large].tobytes()))], names)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for b, *parts in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                small, large, counts = np.frombuffer(zlib.decompress(parts[0]), np.uint8), np.frombuffer(parts[1], np.int64), np.frombuffer(parts[2], np.uint32)
+                own = sums.setdefault(b, np.zeros(len(small), np.int64))
+                own += small
+                own[large] += counts.astype(np.int64) - 255
+        for b, c in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([W.packed(c.reshape(-1, 2)).tobytes()], pa.binary())], ["block", "counts"])
+
+    names = ["block", "small", "large", "counts"]
+    schema = "block int, small binary, large binary, counts binary"
+    got = _few(texts).mapInArrow(lean(count), schema).repartition(W.BLOCKS, "block").mapInArrow(lean(add), "block int, counts binary").toArrow()
+    out = np.tile(W.packed(np.zeros((1, 2))), (W.BLOCKS, size))
+    for b, c in zip(got.column("block").to_pylist(), got.column("counts"), strict=True):
+        out[b] = np.frombuffer(c.as_buffer(), np.uint16)
+    return out.ravel()
+
+
+def _weights(texts: DataFrame, code, table, tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mixing weights (mean over lots by their bytes) and refinement (sum), learned online over these texts. Lots are dealt by
+    hash and read in order, so what is learned doesn't depend on how the input is partitioned."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, refine = W.start(code.value)
+        gain, n = np.zeros_like(refine), 0
+        for _, words, read in _read(batches, code.value, SIDE // 4):
+            for _ in range(2):
+                weights, more = W.mixed(code.value, table.value, weights, refine, read, LEARN, learn=True)
+            gain, n = gain + more, n + len(words.data)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([(weights.astype(float) * n).tobytes()], pa.binary()), pa.array([gain.tobytes()], pa.binary())], ["n", "weights", "refine"])
+
+    lots = min(512, -(-tokens // LEARNED)) or 1
+    dealt = texts.repartition(lots, "row_key", "doc_id").sortWithinPartitions("row_key", "doc_id", "text")
+    weights, refine = W.start(code.value)
+    some = dealt.mapInArrow(lean(work), "n long, weights binary, refine binary").collect()
+    if some:
+        weights = (sum(np.frombuffer(r.weights) for r in some) / sum(r.n for r in some)).reshape(weights.shape).astype(np.float32)
+        refine = refine + sum(np.frombuffer(r.refine) for r in some).reshape(refine.shape)
+    return weights, refine
+
+
 def lm_scores(docs: DataFrame, folds: int = 7) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every row."""
     spark = docs.sparkSession
-    states: list[str] = []
-    if "lang" in docs.columns:
-        states = [r.lang for r in docs.where(F.col("lang").isNotNull() & ~held(folds)).groupBy(F.col("lang").cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(STATES).collect()]
-    K = len(states)
-    vocabulary = written(word_counts(docs, states, folds))
-    sums = vocabulary.agg(F.sum("n"), F.count("*"), *[f(c) for k in range(K) for f, c in ((F.sum, f"n{k}"), (F.count_if, F.col(f"n{k}") > 0))]).first()
+    vocabulary = written(word_counts(docs, folds))
+    sums = vocabulary.agg(F.sum("n"), F.count("*")).first()
     N, V = sums[0] or 0, sums[1]
-    Nk, Vk = (np.array([sums[2 + 2 * k + i] or 0 for k in range(K)], float) for i in (0, 1))
     ends = vocabulary.where(F.octet_length("token") == 0).first()
-    prior = np.array([ends[f"n{k}"] if ends else 1 for k in range(K)], float)
-    prior = np.append(np.log(0.95 * (prior + 1) / (prior + 1).sum()), math.log(0.05)) if K else np.zeros(1)
+    end_n = ends["n"] if ends else 0
+    top = vocabulary.where((F.octet_length("token") > 0) & (F.col("n") > 1)).orderBy(F.desc("n"), "h", "sig").limit(TOP).select("h", "sig", "n").toArrow()
+    h, sig, n = (np.append(top.column(c).to_numpy(), last) for c, last in (("h", 0), ("sig", 0), ("n", end_n)))
+    other_n, other_v = N - int(n.sum()), V - top.num_rows - (1 if ends else 0)
+    least = int(n[:-1].min()) if top.num_rows == TOP else 1
+    order = np.argsort(h, kind="stable")
+    code = spark.sparkContext.broadcast(W.Code(h[order], sig[order], n[order], other_n, N))
+    texts = documents(docs, held(folds).alias("held_out"))
+    tuning = F.pmod(F.col("row_key"), F.lit(TUNING)) == 0
+    contexts = spark.sparkContext.broadcast(_contexts(texts.where(~F.col("held_out") & ~tuning).select("text"), code))
+    mixing = _weights(texts.where(~F.col("held_out") & tuning).select("row_key", "doc_id", "text"), code, contexts, N)
     table = spark.sparkContext.broadcast(_table(vocabulary))
     weights, refine = _mixer(vocabulary, table, V)
 
-    def probabilities(n: np.ndarray, by: np.ndarray, spelling: np.ndarray) -> np.ndarray:
-        """Log probability of words by state and over all: counts discounted onto the coarser model."""
-        all_ = np.maximum(n - DISCOUNT, 0) / max(N, 1) + (DISCOUNT * V / N if N else 1.0) * np.exp(np.maximum(spelling, -600))
-        out = np.empty((len(n), K + 1))
-        out[:, K] = np.log(np.maximum(all_, 1e-290))
-        for k in range(K):
-            out[:, k] = np.log(np.maximum(np.maximum(by[:, k] - DISCOUNT, 0) / max(Nk[k], 1) + (DISCOUNT * Vk[k] / Nk[k] if Nk[k] else 1.0) * all_, 1e-290))
-        return out
+    def probabilities(n: np.ndarray, spelling: np.ndarray) -> np.ndarray:
+        """Log probability of words that are no symbols: counts discounted onto spellings."""
+        known = np.maximum(n - DISCOUNT, 0) / max(other_n, 1) + (DISCOUNT * other_v / other_n if other_n else 1.0) * np.exp(np.maximum(spelling, -600))
+        return np.log(np.maximum(known, 1e-290))
 
     def base(n: np.ndarray) -> np.ndarray:
         return np.log10((n + 1) / (N + V + 1))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _lots(batches):
             for i in range(0, batch.num_rows, LOT):
                 part = batch.slice(i, LOT)
-                n = part.column("n").to_numpy()
-                by = np.stack([part.column(f"n{k}").to_numpy() for k in range(K)], 1) if K else np.zeros((len(n), 0))
-                p = probabilities(n, by, M.spell(table.value, weights, refine, _spellings(part.column("token")), len(n)))
-                yield pa.RecordBatch.from_arrays([part.column("h"), part.column("sig"), part.column("n"), *(pa.array(p[:, k].astype(np.float32)) for k in range(K + 1))], ["h", "sig", "n", *(f"p{k}" for k in range(K + 1))])
-
-    p_names = [f"p{k}" for k in range(K + 1)]
-    scored = written(vocabulary.mapInArrow(score, "h long, sig int, n long, " + ", ".join(f"{p} float" for p in p_names)))
-    top = scored.orderBy(F.desc("n"), "h", "sig").limit(TOP).toArrow()
-    order = np.argsort(top.column("h").to_numpy(), kind="stable")
-    known = spark.sparkContext.broadcast((top.column("h").to_numpy()[order], top.column("sig").to_numpy()[order], top.column("n").to_numpy()[order], np.stack([top.column(p).to_numpy()[order] for p in p_names], 1)))
-    end_n, end_p = (ends["n"], scored.where((F.col("h") == 0) & (F.col("sig") == 0)).first()) if ends else (0, None)
-    end_p = np.array([[end_p[p] for p in p_names]]) if ends else np.full((1, K + 1), -1.0)
-
-    def drawn(tf: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """(word, gate) → log probability of tf draws of a word, without the totals: by state for the urn, then for none."""
-        plain = tf[:, None] * p
-        urn = p + math.log(ALPHA)
-        many = np.flatnonzero(tf > 1)
-        if len(many):
-            mass = np.exp(urn[many])
-            urn[many] = _rising(mass, tf[many])
-        return np.concatenate([urn, plain], 1)
-
-    G = 2 * (K + 1)
-    s_names = [f"s{g}" for g in range(G)]
-    kinds = ["h", "sig", "row", "tf", "doc_id", "held_out", "n_tokens", "n_bytes", "n_known", "base", "token", *s_names]
-    schema = "h long, sig int, row long, tf int, doc_id long, held_out boolean, n_tokens long, n_bytes long, n_known long, base double, token binary, " + ", ".join(f"{s} double" for s in s_names)
+                p = probabilities(part.column("n").to_numpy(), M.spell(table.value, weights, refine, _spellings(part.column("token")), part.num_rows))
+                yield pa.RecordBatch.from_arrays([part.column("h"), part.column("sig"), part.column("n"), pa.array(p)], ["h", "sig", "n", "p"])
+
+    rare = vocabulary.where((F.octet_length("token") > 0) & (F.col("n") <= least)).mapInArrow(lean(spell), "h long, sig int, n long, p double")
+    kinds = ["h", "sig", "row", "tf", "doc_id", "held_out", "n_tokens", "n_bytes", "n_known", "base", "token", "mixed"]
+    schema = "h long, sig int, row long, tf int, doc_id long, held_out boolean, n_tokens long, n_bytes long, n_known long, base double, token binary, mixed double"
+    null = lambda m, kind: pa.nulls(m, kind)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row per text with the sums of frequent words, and a row per text and other word."""
-        hs, sigs, ns, ps = known.value
-        for batch in batches:
-            data, offsets = text_buffers(batch.column("text"))
-            for lo, hi in slices(offsets):
-                part, words, n = batch.slice(lo, hi - lo), Words(data, offsets, lo, hi), hi - lo
-                h, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
-                h = h.view(np.int64)
-                pair, tf = np.unique(words.row * len(h) + which, return_counts=True)
-                row, word = (pair // len(h), pair % len(h)) if len(h) else (pair, pair)
-                sig = _signature(words, first) if len(h) else np.zeros(0, np.int64)
-                at = np.minimum(np.searchsorted(hs, h), max(0, len(hs) - 1))
-                hit = (hs[at] == h) & (sigs[at] == sig) if len(hs) else np.zeros(len(h), bool)
-                near = hit[word]
-                r, w, t = row[near], at[word[near]], tf[near]
-                own = drawn(t, ps[w]) if len(r) else np.zeros((0, G))
-                ended = drawn(np.ones(1, np.int64), end_p)
-                counts = np.diff(words.first) + 1
-                total = np.stack([np.bincount(r, own[:, g], n) for g in range(G)], 1) + ended
-                b = np.bincount(r, t * base(ns[w]), n) + base(np.array([end_n]))[0]
-                k = np.bincount(r, t * (ns[w] > 0), n).astype(np.int64) + (end_n > 0)
-                ids = part.column("row")
-                null = lambda m, kind: pa.nulls(m, kind)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(n, -1, np.int32)), ids, null(n, pa.int32()), part.column("doc_id"), part.column("held_out"), pa.array(counts), pa.array(np.diff(offsets[lo : hi + 1])), pa.array(k), pa.array(b), null(n, pa.binary()), *(pa.array(total[:, g]) for g in range(G))], kinds)
-                row, word, tf = row[~near], word[~near], tf[~near]
-                m = len(row)
-                yield pa.RecordBatch.from_arrays([pa.array(h[word]), pa.array(sig[word].astype(np.int32)), ids.take(pa.array(row)), pa.array(tf.astype(np.int32)), null(m, pa.int64()), null(m, pa.bool_()), *[null(m, pa.int64())] * 3, null(m, pa.float64()), _spelled(words, first[word]), *[null(m, pa.float64())] * G], kinds)
+        """A row per text with the mixed symbols' sums, and a row per text and other word."""
+        c = code.value
+        base_of = np.append(base(c.counts), 0.0)
+        known_of = np.append(c.counts > 0, False)
+        for part, words, own in _read(batches, c, SIDE):
+            n = part.num_rows
+            mix = W.mixed(c, contexts.value, *mixing, own, RATE)
+            others = np.flatnonzero(~own.known)
+            drawn = np.bincount(words.row[others], minlength=n).astype(float)
+            mix -= np.where(drawn > 0, _lgamma(ALPHA + drawn) - _lgamma(np.full(n, ALPHA)), 0)
+            b = np.bincount(own.row, base_of[own.symbol], n)
+            k = np.bincount(own.row, known_of[own.symbol], n).astype(np.int64)
+            ids = part.column("row")
+            yield pa.RecordBatch.from_arrays([ids, null(n, pa.int32()), ids, null(n, pa.int32()), part.column("doc_id"), part.column("held_out"), pa.array(own.counts), pa.array(np.diff(words.offsets)), pa.array(k), pa.array(b), null(n, pa.binary()), pa.array(mix)], kinds)
+            h, row = words.hashes()[others], words.row[others]
+            order = np.lexsort((h, row))
+            h, row, others = h[order], row[order], others[order]
+            first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])[: len(h)])
+            at, m = others[first], len(first)
+            tf = np.diff(np.append(first, len(h)))
+            yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(_signature(words, at).astype(np.int32)), ids.take(pa.array(row[first])), pa.array(tf.astype(np.int32)), null(m, pa.int64()), null(m, pa.bool_()), *[null(m, pa.int64())] * 3, null(m, pa.float64()), _spelled(words, at), null(m, pa.float64())], kinds)
+
+    out = [*kinds[2:3], *kinds[4:10], "mixed"]
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Words met by the join, or spelled where no training text has them, become sums per text."""
         for batch in batches:
             is_word = batch.column("tf").is_valid().to_numpy(zero_copy_only=False)
             if (~is_word).any():
-                yield batch.filter(pa.array(~is_word)).select(kinds[2:3] + kinds[4:10] + s_names)
+                yield batch.filter(pa.array(~is_word)).select(out)
             batch = batch.filter(pa.array(is_word))
             for i in range(0, batch.num_rows, 20_000):
                 part = batch.slice(i, 20_000)
                 n = part.column("n").fill_null(0).to_numpy(zero_copy_only=False)
-                p = np.stack([part.column(c).fill_null(0.0).to_numpy(zero_copy_only=False) for c in p_names], 1).astype(float)
+                p = part.column("p").fill_null(0.0).to_numpy(zero_copy_only=False).astype(float)
                 new = np.flatnonzero(n == 0)
                 if len(new):
-                    spelled = M.spell(table.value, weights, refine, _spellings(part.column("token").take(pa.array(new))), len(new))
-                    p[new] = probabilities(np.zeros(len(new)), np.zeros((len(new), K)), spelled)
+                    p[new] = probabilities(np.zeros(len(new)), M.spell(table.value, weights, refine, _spellings(part.column("token").take(pa.array(new))), len(new)))
                 tf = part.column("tf").to_numpy()
+                urn = p + math.log(ALPHA)
+                many = np.flatnonzero(tf > 1)
+                if len(many):
+                    urn[many] = _rising(np.exp(urn[many]), tf[many])
                 rows, r = np.unique(part.column("row").to_numpy(), return_inverse=True)
-                own, m = drawn(tf, p), len(rows)
-                sums = [pa.array(np.bincount(r, own[:, g], m)) for g in range(G)]
-                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(np.bincount(r, tf * (n > 0), m).astype(np.int64)), pa.array(np.bincount(r, tf * base(n), m)), *sums], kinds[2:3] + kinds[4:10] + s_names)
-
-    texts = documents(docs).select("doc_id", held(folds).alias("held_out"), F.monotonically_increasing_id().alias("row"), "text")
-    rare = scored.withColumnsRenamed({"h": "h_", "sig": "sig_"})
-    flat = texts.mapInArrow(read, schema)
-    met = flat.join(rare, (flat.h == rare.h_) & (flat.sig == rare.sig_), "left").select(*kinds, "n", *p_names)
-    settled = met.mapInArrow(settle, "row long, doc_id long, held_out boolean, n_tokens long, n_bytes long, n_known long, base double, " + ", ".join(f"{s} double" for s in s_names))
-    per = settled.groupBy("row").agg(*(F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens", "n_bytes")), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), *(F.sum(s).alias(s) for s in s_names))
-    gates = []
-    for g in range(G):
-        k = g % (K + 1)
-        if g <= K:  # the urn's totals: rising factorial of ALPHA over all draws
-            gates.append(F.col(s_names[g]) - F.col("urn_total") + float(prior[k]) + math.log(SHARES[0]))
-        else:
-            gates.append(F.col(s_names[g]) + float(prior[k]) + math.log(SHARES[1]))
-    top_gate = F.greatest(*gates)
-    most = F.col("most")
-    score = (most + F.log(sum((F.exp(x - most) for x in gates), F.lit(0.0)))) / math.log(10)
+                m = len(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(rows), null(m, pa.int64()), null(m, pa.bool_()), null(m, pa.int64()), null(m, pa.int64()), pa.array(np.bincount(r, tf * (n > 0), m).astype(np.int64)), pa.array(np.bincount(r, tf * base(n), m)), pa.array(np.bincount(r, urn, m))], out)
+
+    rows = texts.select("doc_id", "held_out", F.monotonically_increasing_id().alias("row"), "text")
+    flat = rows.mapInArrow(lean(read), schema)
+    rare = rare.withColumnsRenamed({"h": "h_", "sig": "sig_"})
+    met = flat.join(rare, (flat.h == rare.h_) & (flat.sig == rare.sig_), "left").select(*kinds, "n", "p")
+    settled = met.mapInArrow(lean(settle), "row long, doc_id long, held_out boolean, n_tokens long, n_bytes long, n_known long, base double, mixed double")
+    per = settled.groupBy("row").agg(*(F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens", "n_bytes")), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), (F.sum("mixed") / math.log(10)).alias("score"))
     bits = -F.col("score") * math.log2(10) / F.greatest(F.col("n_bytes"), F.lit(1))
-    out = _with_urn_totals(per).withColumn("most", top_gate).withColumn("score", score).withColumn("bits_per_byte", bits)
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(N).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")
+    return per.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(N).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -300,16 +336,4 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
 
 def _rising(mass: np.ndarray, tf: np.ndarray) -> np.ndarray:
     """log of mass (mass + 1) ... (mass + tf - 1)."""
-    return _lgamma(mass + tf[:, None]) - _lgamma(mass)
-
-
-def _with_urn_totals(per: DataFrame) -> DataFrame:
-    """urn_total: log of ALPHA (ALPHA + 1) ... over the text's draws, by the same series in SQL."""
-
-    def lgamma(x):
-        y = x + 8
-        shift = sum((F.log(x + i) for i in range(8)), F.lit(0.0))
-        return (y - 0.5) * F.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y) - shift
-
-    n = F.col("n_tokens").cast("double")
-    return per.withColumn("urn_total", lgamma(n + ALPHA) - F.lit(float(_lgamma(np.array([ALPHA]))[0])))
+    return _lgamma(mass + tf) - _lgamma(mass)

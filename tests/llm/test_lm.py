@@ -8,7 +8,9 @@ import pyarrow as pa
 import pytest
 
 from ledgerloom.llm import context_mixing as M
+from ledgerloom.llm import word_mixing as W
 from ledgerloom.llm.lm_scoring import _lgamma, _spellings, lm_scores
+from ledgerloom.llm.textarrays import Words, text_buffers
 
 
 def words(text):
@@ -74,3 +76,80 @@ def test_scores_do_not_depend_on_the_layout(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert first.keys() == other.keys() and all(other[k] == pytest.approx(v, rel=1e-5) for k, v in first.items())
+
+
+def test_scores_depend_on_the_order_of_words(spark, docs_of):
+    """The same words, as in training texts and backwards: the bits of running text are predicted, not words for themselves."""
+    rng = np.random.default_rng(3)
+    names = [f"word{k}" for k in range(60)]
+    chain = [list(rng.permutation(60)) for _ in range(2)]  # after each word, two others are likely
+
+    def text():
+        at, out = 0, []
+        for _ in range(60):
+            at = chain[int(rng.integers(2))][at]
+            out.append(names[at])
+        return out
+
+    train = [(i, " ".join(text())) for i in range(3000, 3400) if not held(i)]
+    test = [i for i in range(3400, 3600) if held(i)][:16]
+    sides = [text() for _ in test[:8]]
+    ordered = [(i, " ".join(w)) for i, w in zip(test[:8], sides, strict=True)]
+    turned = [(i, " ".join(w[::-1])) for i, w in zip(test[8:], sides, strict=True)]
+    got = {r.doc_id: r for r in lm_scores(docs_of(train + ordered + turned)).collect()}
+    for (i, _), (j, _) in zip(ordered, turned, strict=True):
+        assert got[i].base_score == pytest.approx(got[j].base_score)
+        assert got[i].score > got[j].score + 30
+
+
+def _lot(texts):
+    return Words(*text_buffers(pa.array(texts)), 0, len(texts))
+
+
+def _code(texts, rare=()):
+    words = _lot(texts)
+    h, first, n = np.unique(words.hashes().view(np.int64), return_index=True, return_counts=True)
+    a, b, d = words.start[first], words.end[first], words.data.astype(np.int64)
+    sig = ((b - a) & 127) << 24 | d[a] << 16 | d[(a + b) // 2] << 8 | d[b - 1]
+    gone = np.isin(h, _lot(list(rare)).hashes().view(np.int64)) if rare else np.zeros(len(h), bool)
+    h, sig, n = (np.append(x[~gone], y) for x, y in ((h, 0), (sig, 0), (n, len(texts))))
+    order = np.argsort(h)
+    return W.Code(h[order], sig[order], n[order], max(1, int(gone.sum())), len(words.start))
+
+
+def test_mixing_is_bit_by_bit_and_online():
+    """Whole words of many texts at once give what a plain loop over texts, words and bits gives."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{int(k)}" for k in rng.geometric(0.15, int(rng.integers(0, 60)))) for _ in range(40)]
+    code = _code(texts, ["w9", "w14"])
+    read = W.Read(code, _lot(texts))
+    counts = np.zeros((code.size(), 2), np.uint32)
+    W.count(code, W.Read(code, _lot(texts[::2])), counts)
+    table = W.packed(counts)
+    weights, refine = W.start(code)
+    refine = refine + rng.random(refine.shape)
+    got = W.mixed(code, table, weights, refine, read, 0.02)
+    for r in range(len(texts)):
+        w, own, total = weights.astype(float), np.zeros(2 << W.OWN_BITS, int), 0.0
+        for t in range(read.first[r], read.first[r] + read.counts[r]):
+            at, way, _ = W.slots(code, read, np.array([t]))
+            for k in range(len(way)):
+                bit, cell = int(code.bit[way[k]]), table[at[:, k]].astype(int)
+                level = (cell[1] >> 8) * 3 + (cell[2] >> 8)
+                own_at = [int(np.uint32(at[0, k]) * np.uint32(W._G2) >> np.uint32(32 - W.OWN_BITS)), (int(at[1, k]) & (1 << W.OWN_BITS) - 1) + (1 << W.OWN_BITS)]
+                x = np.array([*((cell & 255) * 0.1 - 12.8), *W._OWN[own[own_at]], 1, 0])
+                gate = int(code.depth[way[k]]) * W.LEVELS + level
+                z = float(np.clip(x @ w[gate], -14, 14))
+                part = refine[level, min(max(int(z * 1.5 + W.STEPS / 2), 0), W.STEPS - 1)]
+                p = 0.5 / (1 + math.exp(-z)) + 0.5 * part[1] / part.sum()
+                total += math.log(p if bit else 1 - p)
+                w[gate] += 0.02 * (bit - 1 / (1 + math.exp(-z))) * x
+                own[own_at] = W._NEXT[bit * 256 + own[own_at]]
+        assert got[r] == pytest.approx(total, rel=1e-3)
+
+
+def test_symbols_are_a_distribution():
+    """The ways down the tree are a complete prefix code, so that the symbols' probabilities add up to one after any context."""
+    code = _code(["a b c a b a", "d e f a", ""])
+    assert sum(2.0 ** -int(n) for n in code.length) == 1
+    assert all((np.diff(code.depth[s : s + n]) == 1).all() for s, n in zip(code.start, code.length, strict=True))
