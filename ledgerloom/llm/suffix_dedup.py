@@ -11,7 +11,8 @@
 3. All of these, groups of two included, are sorted by anchor with deep-shallow suffix sorting
    (``deep_shallow``). Anchors with more than ``CROWD`` different segments, such as the ends of a passage in a
    third of all texts, never meet in one task: their windows are compared by 128-bit digests in a
-   pre-aggregated count.
+   pre-aggregated count. Up to ``TOGETHER`` neighbouring windows, cut alike as seen from the anchor, are compared
+   as one stretch first; only one of each different stretch is taken apart into windows.
 4. Runs of repeated windows come together by text, and each text is cut once.
 
 Texts are UTF-8 bytes; matches never cross texts. Null and short texts lose nothing. Equal texts are
@@ -33,7 +34,7 @@ from .deep_shallow import repeated
 from .shared import lean, modest, parts, written
 from .textarrays import _BYTE, _INV, _MULT, mix, ragged, slices, text_buffers
 
-GRAM, CROWD = 32, 2000
+GRAM, CROWD, TOGETHER = 32, 2000, 8
 #: Bytes of text whose segments are worked out at once.
 MOST = 1 << 18
 _POWERS: dict[int, tuple[np.ndarray, ...]] = {}
@@ -219,9 +220,9 @@ def _compared(texts: DataFrame, distinct: DataFrame, mixed: DataFrame, length: i
     wanted = by_text.join(distinct.select("t1", "t2", "rep"), ["t1", "t2"]).withColumnsRenamed({"t1": "w1", "t2": "w2"})
     # one row per text: of rows repeated under one doc_id, segments come twice and are told apart below
     rows = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.rep) & (texts.t1 == wanted.w1) & (texts.t2 == wanted.w2)).select("t1", "t2", "text", "segs")
-    schema = "key long, t1 long, t2 long, first int, ahead int, settled boolean, bytes binary, w1 long, w2 long, at int"
+    schema = "key long, t1 long, t2 long, first int, ahead int, settled boolean, bytes binary, w1 long, w2 long, at int, run int, windows binary"
 
-    names = ["key", "t1", "t2", "first", "ahead", "settled", "bytes", "w1", "w2", "at"]
+    names = ["key", "t1", "t2", "first", "ahead", "settled", "bytes", "w1", "w2", "at", "run", "windows"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,20 +239,41 @@ def _compared(texts: DataFrame, distinct: DataFrame, mixed: DataFrame, length: i
                 at = np.concatenate([[0], np.cumsum(size[i])]).astype(np.int32)
                 cut_out = pa.Array.from_buffers(pa.binary(), len(i), [None, pa.py_buffer(at), pa.py_buffer(raw)])
                 m = len(i)
-                yield pa.RecordBatch.from_arrays([pa.array(s["key"][i]), pa.array(t1[i]), pa.array(t2[i]), pa.array(s["first"][i]), pa.array(s["ahead"][i]), pa.array(s["settled"][i]), cut_out, pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(s["key"][i]), pa.array(t1[i]), pa.array(t2[i]), pa.array(s["first"][i]), pa.array(s["ahead"][i]), pa.array(s["settled"][i]), cut_out, *[pa.nulls(m, pa.int64())] * 2, *[pa.nulls(m, pa.int32())] * 2, pa.nulls(m, pa.binary())], names)
             crowd = np.flatnonzero(s["kinds"] > CROWD)
             for r in np.unique(row[crowd]):
                 i = crowd[row[crowd] == r]
                 text = data[offsets[r] : offsets[r + 1]]
                 n = (s["last"] - s["first"])[i].astype(np.int64) + 1
                 at, which = ragged(s["first"][i].astype(np.int64), n), np.repeat(i, n)
-                for lo in range(0, len(at), MOST):
-                    a, k = at[lo : lo + MOST], which[lo : lo + MOST]
-                    base, stop = int(a.min()), int(a.max()) + length
-                    w1 = mix(_stretch(_prefix(text[base:stop]), a - base, a - base + length))
-                    w2 = mix(_stretch(_prefix(text[base:stop], 1), a - base, a - base + length) ^ s["key"][k].view(np.uint64))
-                    m = len(a)
-                    yield pa.RecordBatch.from_arrays([pa.array(s["key"][k]), pa.array(t1[k]), pa.array(t2[k]), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.array(s["settled"][k]), pa.nulls(m, pa.binary()), pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(a.astype(np.int32))], names)
+                place = at - (s["first"] + s["ahead"])[which]  # as seen from the anchor
+                head = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (place[1:] % TOGETHER == 0)]))
+                run = np.diff(np.append(head, len(at)))
+                for lo, hi in slices(np.append(head, len(at)), MOST):
+                    j, c = head[lo:hi], run[lo:hi]
+                    own = slice(int(j[0]), int(j[-1] + c[-1]))
+                    w1, w2 = digests(text, at[own], at[own] + length, s["key"][which[own]])
+                    windows = pa.py_buffer(np.stack([w1, w2], 1))
+                    ends = pa.py_buffer(((np.append(j, own.stop) - j[0]) * 16).astype(np.int32))
+                    v1, v2 = digests(text, at[j], at[j] + (c - 1) + length, s["key"][which[j]])
+                    v2 = mix(v2 + (place[j] * TOGETHER + c).astype(np.uint64))
+                    k, m = which[j], len(j)
+                    yield pa.RecordBatch.from_arrays([pa.array(s["key"][k]), pa.array(t1[k]), pa.array(t2[k]), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.array(s["settled"][k]), pa.nulls(m, pa.binary()), pa.array(v1.view(np.int64)), pa.array(v2.view(np.int64)), pa.array(at[j].astype(np.int32)), pa.array(c.astype(np.int32)), pa.Array.from_buffers(pa.binary(), m, [None, ends, windows])], names)
+
+    def digests(text: np.ndarray, a: np.ndarray, b: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of each stretch [a, b) and its anchor."""
+        base, stop = int(a.min()), int(b.max())
+        one, other = (_stretch(_prefix(text[base:stop], kind), a - base, b - base) for kind in (0, 1))
+        return mix(one), mix(other ^ key.view(np.uint64))
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The windows of stretches."""
+        for batch in batches:
+            n = batch.column("run").to_numpy()
+            which = np.repeat(np.arange(len(n)), n)
+            windows = np.frombuffer(b"".join(batch.column("windows").to_pylist()), np.int64).reshape(-1, 2)
+            at = ragged(batch.column("at").to_numpy().astype(np.int64), n).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(windows[:, 0]), pa.array(windows[:, 1]), *(pa.array(batch.column(c).to_numpy()[which]) for c in ("t1", "t2")), pa.array(at), pa.array(batch.column("settled").to_numpy(zero_copy_only=False)[which])], ["w1", "w2", "t1", "t2", "at", "settled"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Segments in order of key, in lots of whole keys."""
@@ -286,10 +308,18 @@ def _compared(texts: DataFrame, distinct: DataFrame, mixed: DataFrame, length: i
     n = parts(texts.sparkSession)
     few = moved.where(F.col("at").isNull()).select("key", "t1", "t2", "first", "ahead", "settled", "bytes").dropDuplicates(["key", "t1", "t2", "first"])
     few = few.repartition(n, "key").sortWithinPartitions("key").mapInArrow(lean(sort), "t1 long, t2 long, first int, last int")
-    many = moved.where(F.col("at").isNotNull()).select("w1", "w2", "t1", "t2", "at", "settled").dropDuplicates(["t1", "t2", "at"])
-    twice = many.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select(F.col("w1").alias("v1"), F.col("w2").alias("v2"))
-    met = many.where(~F.col("settled")).join(twice, (F.col("w1") == F.col("v1")) & (F.col("w2") == F.col("v2")), "left_semi")
-    return few.unionByName(met.select("t1", "t2", F.col("at").alias("first"), F.col("at").alias("last")))
+    stretches = moved.where(F.col("at").isNotNull()).select("w1", "w2", "t1", "t2", "at", "run", "windows", "settled").dropDuplicates(["t1", "t2", "at"])
+    likes = stretches.groupBy("w1", "w2").agg(((F.count("*") > 1) | F.max("settled")).alias("settled"), F.min(F.struct("t1", "t2", "at", "run", "windows")).alias("one"), (F.count("*") > 1).alias("twice"))
+    likes = written(likes.select("w1", "w2", "twice", "settled", "one.*"))
+    many = likes.select("t1", "t2", "at", "run", "windows", "settled").mapInArrow(lean(apart), "w1 long, w2 long, t1 long, t2 long, at int, settled boolean")
+
+    def among(rows: DataFrame, twice: DataFrame) -> DataFrame:
+        twice = twice.select(F.col("w1").alias("v1"), F.col("w2").alias("v2"))
+        return rows.where(~F.col("settled")).join(twice, (F.col("w1") == F.col("v1")) & (F.col("w2") == F.col("v2")), "left_semi")
+
+    whole = among(stretches, likes.where("twice")).select("t1", "t2", F.col("at").alias("first"), (F.col("at") + F.col("run") - 1).alias("last"))
+    single = among(many, many.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1")).select("t1", "t2", F.col("at").alias("first"), F.col("at").alias("last"))
+    return few.unionByName(whole).unionByName(single)
 
 
 def removed_spans(docs: DataFrame, length: int = 200) -> DataFrame:

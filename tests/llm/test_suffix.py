@@ -103,3 +103,18 @@ def test_large_groups_are_sorted(docs_of):
     docs = list(enumerate(["".join(rng.choices("xyz", k=rng.randint(20, 150))) + core[rng.randint(0, 30) :] + "".join(rng.choices("uvw", k=rng.randint(0, 90))) for _ in range(80)]))
     got = S.suffix_dedup(docs_of(docs)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     assert sorted(tuple(r) for r in got) == by_hand(docs, 200)
+
+
+def test_windows_of_crowds_are_compared_in_stretches(docs_of, monkeypatch):
+    """A passage that many texts share between different ends: its windows come as stretches, not one by one."""
+    monkeypatch.setattr(S, "CROWD", 3)
+    rng = random.Random(13)
+    make = lambda k: "".join(rng.choices("abcdefgh", k=k))
+    passage = make(330)
+    docs = list(enumerate(make(rng.randint(100, 200)) + passage + make(rng.randint(100, 200)) for _ in range(60)))
+    df = docs_of(docs)
+    got = S.suffix_dedup(df).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(tuple(r) for r in got) == by_hand(docs, 200)
+    runs = S.repeated_windows(df).collect()
+    windows = {(r.t1, r.t2, k) for r in runs for k in range(r.first, r["last"] + 1)}
+    assert len(windows) >= 60 * 131 and 3 * len(runs) < len(windows)
