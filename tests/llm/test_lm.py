@@ -9,7 +9,7 @@ import pytest
 
 from ledgerloom.llm import context_mixing as M
 from ledgerloom.llm import word_mixing as W
-from ledgerloom.llm.lm_scoring import _lgamma, _spellings, lm_scores
+from ledgerloom.llm.lm_scoring import _few, _lgamma, _spellings, _table, lm_scores
 from ledgerloom.llm.textarrays import Words, text_buffers
 
 
@@ -153,3 +153,11 @@ def test_symbols_are_a_distribution():
     code = _code(["a b c a b a", "d e f a", ""])
     assert sum(2.0 ** -int(n) for n in code.length) == 1
     assert all((np.diff(code.depth[s : s + n]) == 1).all() for s, n in zip(code.start, code.length, strict=True))
+
+
+def test_tables_come_from_few_tasks(spark):
+    """However many partitions the input has, the tasks that each hand over a whole table are few."""
+    most = 2 * spark.sparkContext.defaultParallelism
+    assert _few(spark.range(0, 1000, 1, 211)).rdd.getNumPartitions() <= most
+    words = spark.createDataFrame([(f"word{k}".encode(),) for k in range(600)], "token binary")
+    assert np.array_equal(_table(words.repartition(150)), _table(words.coalesce(1)))
