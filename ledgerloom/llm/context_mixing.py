@@ -22,8 +22,8 @@ _PRIOR = np.array([0.4, 0.3, 0.2, 0.1, 0.05, 0.05], np.float32)
 class Spellings:
     """The distinct steps of words' spellings: up to five bytes before and the byte that follows, the closing blank included.
 
-    ``code`` packs a step (nine bits a byte, 0 before the word's start), ``times`` counts it, ``step`` is the
-    place of each byte's step and ``word`` its word. All predictions depend on the step alone.
+    ``code`` packs a step (nine bits a byte, 0 before the word's start), ``times`` counts it, ``all`` has the
+    step of each byte and ``word`` its word. All predictions depend on the step alone.
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
@@ -39,7 +39,8 @@ class Spellings:
             before[order:] = spelled[:-order]
             before[place < order] = 0
             code |= before << np.uint64(9 * order)
-        self.code, self.step, self.times = np.unique(code, return_inverse=True, return_counts=True)
+        self.all = code
+        self.code, self.times = np.unique(code, return_counts=True)
         self.bytes = (self.code & np.uint64(511)) - np.uint64(1)
         known = self.code >> np.uint64(9)
         self.context = [mix((known & np.uint64((1 << 9 * o) - 1)) + np.uint64(o << 56)) for o in range(ORDERS)]
@@ -57,9 +58,11 @@ class Spellings:
 def counted(spellings: Spellings) -> np.ndarray:
     """(slot, bit) → words: the table of one lot of distinct words; tables of lots add up."""
     out = np.zeros(2 * ORDERS * SLOTS)
+    times = spellings.times.astype(float)
     for bit in range(8):
         slots, bits = spellings.slots(bit)
-        np.add.at(out, (slots * 2 + bits).ravel(), np.tile(spellings.times, ORDERS).astype(float))
+        for order in slots:
+            np.add.at(out, order * 2 + bits, times)
     return out.astype(np.float32).reshape(-1, 2)
 
 
@@ -73,12 +76,11 @@ def start() -> tuple[np.ndarray, np.ndarray]:
 
 def _inputs(table: np.ndarray, slots: np.ndarray, bits: np.ndarray | None, bit: int) -> tuple[np.ndarray, np.ndarray]:
     """Stretched predictions (byte, input), and the gate; with bits, the word's own count is left out."""
-    n = table[slots]
+    n = table.view(np.complex64).ravel().take(slots)  # a slot's two counts at once
+    zero, one = n.real, n.imag
     if bits is not None:
-        zero = np.maximum(n[:, :, 0] - (1 - bits), 0)
-        one = np.maximum(n[:, :, 1] - bits, 0)
-    else:
-        zero, one = n[:, :, 0], n[:, :, 1]
+        own = bits.astype(np.float32)
+        zero, one = np.maximum(zero - (1 - own), 0), np.maximum(one - own, 0)
     prior = _PRIOR[:, None]
     x = np.ones((slots.shape[1], ORDERS + 1), np.float32)
     x[:, :-1] = (np.log(one + prior) - np.log(zero + prior)).T
@@ -86,12 +88,9 @@ def _inputs(table: np.ndarray, slots: np.ndarray, bits: np.ndarray | None, bit:
     return x, bit * ORDERS + np.maximum(seen - 1, 0)
 
 
-def _refined(refine: np.ndarray, gate: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probability of 1 after refinement, and the step."""
-    step = np.clip((z * 1.5 + STEPS / 2).astype(np.int64), 0, STEPS - 1)
-    cell = refine[gate, step]
-    own = (cell[:, 1] / cell.sum(1)).astype(np.float32)
-    return np.clip(0.5 / (1 + np.exp(-z)) + 0.5 * own, 1e-5, 1 - 1e-5), step
+def _place(gate: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """The place in the refinement."""
+    return gate * STEPS + np.clip((z * 1.5 + STEPS / 2).astype(np.int64), 0, STEPS - 1)
 
 
 def learn(table: np.ndarray, spellings: Spellings, rounds: int = 6, rate: float = 0.15) -> tuple[np.ndarray, np.ndarray]:
@@ -105,23 +104,23 @@ def learn(table: np.ndarray, spellings: Spellings, rounds: int = 6, rate: float
         for r in range(rounds):
             own = turn == r
             xs, gs, times = x[own], gate[own], spellings.times[own].astype(np.float32)
-            z = np.clip((xs * weights[gs]).sum(1), -12, 12)
+            z = np.clip(np.einsum("ij,ij->i", xs, weights.take(gs, 0)), -12, 12)
             error = (bits[own] - 1 / (1 + np.exp(-z))) * times
             mass = np.bincount(gs, times, len(weights))
             grad = np.stack([np.bincount(gs, error * xs[:, i], len(weights)) for i in range(ORDERS + 1)], 1)
             weights += (rate * grad / np.maximum(mass, 50)[:, None]).astype(np.float32)
-            place = np.clip((z * 1.5 + STEPS / 2).astype(np.int64), 0, STEPS - 1)
-            flat = (gs * STEPS + place) * 2 + bits[own]
-            refine += np.bincount(flat, times, refine.size).reshape(refine.shape)
+            refine += np.bincount(_place(gs, z) * 2 + bits[own], times, refine.size).reshape(refine.shape)
     return weights, refine
 
 
 def spell(table: np.ndarray, weights: np.ndarray, refine: np.ndarray, spellings: Spellings, words: int) -> np.ndarray:
     """Natural log of the probability of each word's spelling."""
     total = np.zeros(len(spellings.code))
+    refined = (refine[:, :, 1] / refine.sum(2)).astype(np.float32).ravel()
     for bit in range(8):
         slots, bits = spellings.slots(bit)
         x, gate = _inputs(table, slots, None, bit)
-        p, _ = _refined(refine, gate, np.clip((x * weights[gate]).sum(1), -12, 12))
+        z = np.clip(np.einsum("ij,ij->i", x, weights.take(gate, 0)), -12, 12)
+        p = np.clip(0.5 / (1 + np.exp(-z)) + 0.5 * refined.take(_place(gate, z)), 1e-5, 1 - 1e-5)
         total += np.log(np.where(bits == 1, p, 1 - p))
-    return np.bincount(spellings.word, total[spellings.step], words) if len(total) else np.zeros(words)
+    return np.bincount(spellings.word, total[np.searchsorted(spellings.code, spellings.all)], words) if len(total) else np.zeros(words)

@@ -37,8 +37,9 @@ from .shared import documents, held, lean, written
 from .textarrays import Words, ragged, slices, text_buffers
 
 TOP, TUNING, DISCOUNT, ALPHA, LOT = 100_000, 16, 0.7, 400.0, 100_000
-#: Training tokens from whose share for the weights one task learns, learning rates, and bytes of text read side by side.
-LEARNED, LEARN, RATE, SIDE = 4_000_000, 0.02, 0.02, 2 << 20
+#: Training tokens from whose share for the weights one task learns, learning rates, and bytes of text read side by side: to
+#: learn weights, and to count and score, where a lot is about one of Spark's batches, as it takes as many steps as its longest text.
+LEARNED, LEARN, RATE, LESSON, SIDE = 4_000_000, 0.02, 0.02, 512 << 10, 10 << 20
 END = b""
 
 
@@ -208,10 +209,10 @@ def _weights(texts: DataFrame, code, table, tokens: int) -> tuple[np.ndarray, np
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, refine = W.start(code.value)
-        gain, n = np.zeros_like(refine), 0
-        for _, words, read in _read(batches, code.value, SIDE // 4):
+        gain, n, counts = np.zeros_like(refine), 0, table.value.copy()
+        for _, words, read in _read(batches, code.value, LESSON):
             for _ in range(2):
-                weights, more = W.mixed(code.value, table.value, weights, refine, read, LEARN, learn=True)
+                weights, more = W.mixed(code.value, counts, weights, refine, read, LEARN, learn=True)
             gain, n = gain + more, n + len(words.data)
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([(weights.astype(float) * n).tobytes()], pa.binary()), pa.array([gain.tobytes()], pa.binary())], ["n", "weights", "refine"])
@@ -269,12 +270,12 @@ def lm_scores(docs: DataFrame, folds: int = 7) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row per text with the mixed symbols' sums, and a row per text and other word."""
-        c = code.value
+        c, counts = code.value, contexts.value.copy()
         base_of = np.append(base(c.counts), 0.0)
         known_of = np.append(c.counts > 0, False)
         for part, words, own in _read(batches, c, SIDE):
             n = part.num_rows
-            mix = W.mixed(c, contexts.value, *mixing, own, RATE)
+            mix = W.mixed(c, counts, *mixing, own, RATE)
             others = np.flatnonzero(~own.known)
             drawn = np.bincount(words.row[others], minlength=n).astype(float)
             mix -= np.where(drawn > 0, _lgamma(ALPHA + drawn) - _lgamma(np.full(n, ALPHA)), 0)

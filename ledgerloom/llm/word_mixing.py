@@ -33,6 +33,8 @@ LEAST_BITS, MOST_BITS, NODE_BITS = 16, 23, 17
 FREQUENT = 128
 #: Tables are summed up in so many blocks.
 BLOCKS = 16
+#: Half of z is held within 7 where it becomes a probability.
+_MOST = np.float32(np.tanh(7))
 _G1, _G2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 #: Of the text's own tables: a state is two counts of up to 15, the other one fades.
 _A, _B = np.divmod(np.arange(256), 16)
@@ -49,6 +51,8 @@ class Code:
 
     def __init__(self, hashes: np.ndarray, sigs: np.ndarray, counts: np.ndarray, escapes: int, tokens: int):
         self.hashes, self.sigs, self.counts, self.bits = hashes, sigs, counts, slot_bits(tokens)
+        self.ladder = np.append(hashes, np.iinfo(np.int64).max)
+        self.rungs = np.searchsorted(hashes, np.arange(-(1 << 17), 1 << 17) << 46)
         self.end, self.escape = int(np.flatnonzero((hashes == 0) & (sigs == 0))[0]), len(hashes)
         weights = [*np.maximum(counts, 1).tolist(), max(escapes, 1)]
         n = len(weights)
@@ -71,14 +75,22 @@ class Code:
         self.start = np.cumsum(self.length) - self.length
         self.node, self.bit = (node[there] - n).astype(np.int32), bit[there].astype(np.uint8)
         self.depth = (np.arange(len(self.node)) - np.repeat(self.start, self.length)).astype(np.int32)
-        self.spread = self.node.astype(np.uint32) * _G1
-        self.gate = self.depth * LEVELS
+        self.turn = (2 * self.depth + self.bit).astype(np.uint8)  # depth and bit; a way is far shorter than 128 bits
         self.deepest = int(self.length.max())
         rank = np.argsort(-counts, kind="stable")[: FREQUENT + 1]
         self.frequent = np.zeros(n, bool)
         self.frequent[rank] = True
         self.frequent[[self.end, self.escape]] = False
 
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash among the symbols' hashes, as searchsorted gives it, one at most past the last."""
+        at = self.rungs.take((h >> 46) + (1 << 17))
+        short = np.flatnonzero(self.ladder.take(at) < h)
+        while len(short):
+            at[short] += 1
+            short = short[self.ladder.take(at[short]) < h[short]]
+        return at
+
     def size(self) -> int:
         return (1 << NODE_BITS) + (1 << self.bits)
 
@@ -92,7 +104,7 @@ class Read:
         self.first = np.cumsum(self.counts) - self.counts
         n = int(self.counts.sum())
         h = words.hashes().view(np.int64)
-        at = np.minimum(np.searchsorted(code.hashes, h), len(code.hashes) - 1)
+        at = np.minimum(code.find(h), len(code.hashes) - 1)
         hit = code.hashes[at] == h
         a, b, d = words.start, words.end, words.data
         sig = ((b - a) & 127) << 24 | d[a].astype(np.int64) << 16 | d[(a + b) // 2].astype(np.int64) << 8 | d[b - 1]
@@ -119,30 +131,41 @@ def slots(code: Code, read: Read, tokens: np.ndarray) -> tuple[np.ndarray, ...]:
     length = code.length[symbol]
     way = ragged(code.start[symbol], length)
     which = np.repeat(np.arange(len(tokens)), length)
-    spread = code.spread.take(way)
-    out = np.empty((4, len(way)), np.int32)
-    code.node.take(way, out=out[0], mode="clip")
+    out = np.empty((4, len(way)), np.int64)
+    node = code.node.take(way)
+    out[0] = node
+    spread = node.view(np.uint32) * _G1
     for k, c in enumerate(read.contexts):
-        own = c[tokens].take(which)
-        own ^= spread
-        own *= _G2
-        own ^= own >> np.uint32(15)
-        own *= _G1
-        own >>= np.uint32(32 - code.bits)
-        np.add(own.view(np.int32), 1 << NODE_BITS, out=out[k + 1])
+        out[k + 1] = _hashed(code, c[tokens].take(which), spread)
     return out, way, which
 
 
+def _hashed(code: Code, own: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """The slots of these contexts, which are overwritten, at these nodes."""
+    own ^= spread
+    own *= _G2
+    own ^= own >> np.uint32(15)
+    own *= _G1
+    own >>= np.uint32(32 - code.bits)
+    own += np.uint32(1 << NODE_BITS)
+    return own
+
+
 def count(code: Code, read: Read, into: np.ndarray) -> None:
-    """Add a lot of texts to the counts (slot, bit)."""
+    """Add a lot of texts to the counts (slot, bit). What is found several times, a symbol after a context, is added at once."""
     flat = into.reshape(-1)
-    one = flat.dtype.type(1)
-    for lo in range(0, len(read.symbol), LOT):
-        at, way, _ = slots(code, read, np.arange(lo, min(lo + LOT, len(read.symbol))))
-        at *= 2
-        at += code.bit.take(way)
-        for k in range(1, 4):
-            np.add.at(flat, at[k].astype(np.intp), one)
+    for c in read.contexts:
+        found, n = np.unique(read.symbol.astype(np.uint64) << np.uint64(32) | c, return_counts=True)
+        n = n.astype(flat.dtype)
+        for lo in range(0, len(found), LOT):
+            symbol = (found[lo : lo + LOT] >> np.uint64(32)).astype(np.int64)
+            length = code.length[symbol]
+            way = ragged(code.start[symbol], length)
+            spread = code.node.take(way).view(np.uint32) * _G1
+            at = _hashed(code, found[lo : lo + LOT].astype(np.uint32).repeat(length), spread).astype(np.int64)
+            at *= 2
+            at += code.bit.take(way)
+            np.add.at(flat, at, n[lo : lo + LOT].repeat(length))
     n = np.bincount(read.symbol, minlength=len(code.length)).repeat(code.length)  # without contexts: a node's symbols
     flat[: 2 * code.escape] += np.bincount(code.node.astype(np.int64) * 2 + code.bit, n, 2 * code.escape).astype(flat.dtype)
 
@@ -183,14 +206,14 @@ def mixed(code: Code, table: np.ndarray, weights: np.ndarray, refine: np.ndarray
     ends = np.cumsum(np.bincount(step, minlength=steps))
     fresh = np.zeros(len(read.row), bool)
     fresh[read.first] = True
-    gates = len(weights)
-    w = np.tile(weights, (lanes, 1))
-    rows = w.view("V32").ravel()
+    gates, half = len(weights), (weights * 0.5).astype(np.float32)  # half the weights give half of z, which tanh takes
+    w = np.tile(half, (lanes, 1))
+    cells = w.view(np.complex128).ravel()  # two of 16 bytes a row of weights
     own = np.zeros((lanes, 2 << OWN_BITS), np.uint8)
     flat, touched = own.reshape(-1), np.zeros(lanes * gates, bool)
     total, gain = np.zeros(read.rows), np.zeros_like(refine)
-    refined = (refine[:, :, 1] / refine.sum(2)).astype(np.float32).ravel()
-    ones, mask = np.ones(INPUTS, np.float32), (1 << OWN_BITS) - 1
+    refined = (refine[:, :, 1] / refine.sum(2)).astype(np.float32).ravel() * np.float32(0.5)
+    ones, mask, quarter = np.ones(INPUTS, np.float32), (1 << OWN_BITS) - 1, np.float32(rate / 4)
     lo = 0
     while lo < steps:  # stretches of steps of bounded size
         base = ends[lo - 1] if lo else 0
@@ -198,21 +221,27 @@ def mixed(code: Code, table: np.ndarray, weights: np.ndarray, refine: np.ndarray
         tokens = order[base : ends[hi - 1]]
         at, way, which = slots(code, read, tokens)
         cell = table.take(at)
-        x = np.ones((len(way), INPUTS), np.float32)
-        x[:, :4] = ((cell & 255).astype(np.float32) * np.float32(0.1) - np.float32(12.8)).T
-        x[:, 7] = 0
-        seen = cell >> 8
-        level = (seen[1] * 3 + seen[2]).astype(np.int64)
+        x = np.empty((len(way), INPUTS), np.float32)
+        for k, own_cell in enumerate(cell):
+            np.subtract((own_cell & 255).astype(np.float32) * np.float32(0.1), np.float32(12.8), out=x[:, k])
+        x[:, 6], x[:, 7] = 1, 0
+        pairs = x.view(np.float64)  # the third holds inputs 4 and 5, of the text's own tables
+        level = (cell[1] >> 8) * np.uint16(3) + (cell[2] >> 8)
+        turn = code.turn.take(way)
+        bit = turn & 1
         lane_bit = lane[tokens].take(which)
-        gate = code.gate.take(way) + level + lane_bit * gates
+        gate = (turn >> 1) * np.uint16(LEVELS) + level + lane_bit * gates
+        both = np.empty((len(way), 2), np.int64)
+        np.multiply(gate, 2, out=both[:, 0])
+        np.add(both[:, 0], 1, out=both[:, 1])
         cache = np.empty((len(way), 2), np.int64)
         lane_bit *= 2 << OWN_BITS
-        cache[:, 0] = (at[0].view(np.uint32) * _G2 >> np.uint32(32 - OWN_BITS)) + lane_bit
-        cache[:, 1] = (at[1] & mask) + (lane_bit + (mask + 1))
-        bit = code.bit.take(way)
-        turn = np.repeat(bit.astype(np.int64) * 256, 2).reshape(-1, 2)
-        sign = bit.astype(np.float32) - np.float32(0.5)
-        z = np.empty(len(way), np.float32)
+        np.add(at[0].astype(np.uint32) * _G2 >> np.uint32(32 - OWN_BITS), lane_bit, out=cache[:, 0])
+        np.add(at[1] & mask, lane_bit + (mask + 1), out=cache[:, 1])
+        next_of = np.repeat(bit.astype(np.int64) * 256, 2).reshape(-1, 2)
+        side = bit * np.float32(2) - np.float32(1)
+        sign = side * quarter
+        z, squashed = np.empty((2, len(way)), np.float32)
         counts = ends[lo:hi] - base
         cuts = np.concatenate([[0], np.cumsum(code.length[read.symbol[tokens]])])[np.concatenate([[0], counts])].tolist()
         begun: dict[int, list[int]] = {}
@@ -222,30 +251,34 @@ def mixed(code: Code, table: np.ndarray, weights: np.ndarray, refine: np.ndarray
             if s in begun:
                 own[begun[s]] = 0
                 if not learn:
-                    w.reshape(lanes, gates, INPUTS)[begun[s]] = weights
-            c, g, xs = cache[a:b], gate[a:b], x[a:b]
+                    w.reshape(lanes, gates, INPUTS)[begun[s]] = half
+            c, xs, zs = cache[a:b], x[a:b], z[a:b]
             state = flat.take(c).astype(np.intp)
-            xs[:, 4:6] = _OWN.take(state)
-            wg = w.take(g, 0)
-            zs = z[a:b]
+            pairs[a:b, 2] = _OWN.take(state).view(np.float64)[:, 0]
+            wg = w.take(gate[a:b], 0)
             np.matmul(xs * wg, ones, out=zs)
-            error = sign[a:b] - np.float32(0.5) * np.tanh(np.float32(0.5) * zs)  # the bit less its probability
-            error *= rate
+            error = np.tanh(zs, out=squashed[a:b]) * quarter
+            np.subtract(sign[a:b], error, out=error)  # the bit less its probability, times half the rate
             wg += xs * error.repeat(INPUTS).reshape(-1, INPUTS)
-            rows[g] = wg.view("V32").ravel()
-            flat[c] = _NEXT.take(turn[a:b] + state)
-        np.clip(z, -14, 14, out=z)
-        place = level * STEPS + np.clip((z * np.float32(1.5) + STEPS / 2).astype(np.int64), 0, STEPS - 1)
+            cells[both[a:b]] = wg.view(np.complex128)
+            state += next_of[a:b]
+            flat[c] = _NEXT.take(state)
+        place = level * np.intp(STEPS) + np.clip(z * np.float32(3) + np.float32(STEPS / 2), 0, STEPS - 1).astype(np.intp)
         if learn:
             touched[gate] = True
             gain += np.bincount(place * 2 + bit, minlength=gain.size).reshape(gain.shape)
         else:
-            p = np.float32(0.25) + np.float32(0.25) * np.tanh(np.float32(0.5) * z) + np.float32(0.5) * refined.take(place)
-            p = np.clip(np.where(bit, p, 1 - p), 1e-6, 1)
-            total += np.bincount(read.row[tokens].take(which), np.log(p), read.rows)
+            p = np.clip(squashed, -_MOST, _MOST, out=squashed)
+            p *= np.float32(0.25)
+            p -= np.float32(0.25)
+            p += refined.take(place)  # of a 1, less a half
+            p *= side
+            p += np.float32(0.5)
+            np.log(np.clip(p, 1e-6, 1, out=p), out=p)
+            total += np.bincount(read.row[tokens].take(which), p, read.rows)
         lo = hi
     if not learn:
         return total
     many = touched.reshape(lanes, gates).sum(0)
-    change = (w.reshape(lanes, gates, INPUTS) - weights).sum(0) / np.maximum(many, 1)[:, None]
+    change = 2 * (w.reshape(lanes, gates, INPUTS) - half).sum(0) / np.maximum(many, 1)[:, None]
     return (weights + change).astype(np.float32), gain

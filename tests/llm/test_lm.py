@@ -9,6 +9,7 @@ import pytest
 
 from ledgerloom.llm import context_mixing as M
 from ledgerloom.llm import word_mixing as W
+from ledgerloom.llm import lm_scoring as L
 from ledgerloom.llm.lm_scoring import _few, _lgamma, _spellings, _table, lm_scores
 from ledgerloom.llm.textarrays import Words, text_buffers
 
@@ -161,3 +162,36 @@ def test_tables_come_from_few_tasks(spark):
     assert _few(spark.range(0, 1000, 1, 211)).rdd.getNumPartitions() <= most
     words = spark.createDataFrame([(f"word{k}".encode(),) for k in range(600)], "token binary")
     assert np.array_equal(_table(words.repartition(150)), _table(words.coalesce(1)))
+
+
+def test_repeats_are_counted_at_once(monkeypatch):
+    """Many copies of a text cost hardly more ways than one copy, and give its counts as often."""
+    text = "a b c a b a d e f a c b"
+    code = _code([text, "g h"])
+    walked = []
+    ragged = W.ragged
+    monkeypatch.setattr(W, "ragged", lambda starts, lengths: walked.append(int(lengths.sum())) or ragged(starts, lengths))
+    tables = []
+    for copies in (1, 50):
+        counts = np.zeros((code.size(), 2), np.uint32)
+        W.count(code, W.Read(code, _lot([text] * copies)), counts)
+        tables.append((counts, sum(walked)))
+        walked.clear()
+    assert np.array_equal(tables[0][0] * 50, tables[1][0])
+    assert tables[1][1] <= 2 * tables[0][1]
+
+
+def test_many_texts_are_read_side_by_side():
+    """A lot takes as many steps as its longest text, so a batch of 8 MB, as Spark sends them, is one lot."""
+    texts = ["a b c d " * 4000, *["a b c d " * 100] * 10_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    lots = list(L._read(iter([batch]), _code(["a b c d a"]), L.SIDE))
+    assert batch.nbytes > 8_000_000 and [part.num_rows for part, _, _ in lots] == [len(texts)]
+
+
+def test_symbols_are_found_by_hash():
+    """Also hashes at the ends of the range and next to a symbol's."""
+    code = _code([" ".join(f"w{k}" for k in range(3000))])
+    edges = np.iinfo(np.int64)
+    h = np.concatenate([code.hashes, code.hashes + 1, code.hashes - 1, [edges.min, -1, 0, 1, edges.max]])
+    assert np.array_equal(code.find(h), np.searchsorted(code.hashes, h))
