@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import amounts as A
 from ..functions import parsing as P
 from ..functions import texts as X
+from ..session import checkpointed
 from .common import RID, Result, find, find_loose, q, values, with_rid
 from .joins import small
 
@@ -18,8 +19,9 @@ FLAG = "`row` long, `column` string, value string, reason string"
 
 
 def numbered(df: DataFrame, into: str = "row", order: str = RID) -> DataFrame:
-    """df with dense row numbers from 1 in row order, by partition offsets: no single task sees all rows."""
-    parts = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
+    """df with dense row numbers from 1 in row order, by partition offsets: no single task sees all rows. The partitions are
+    kept: read again, the range could be cut elsewhere, and offsets of other partitions lose or misnumber rows."""
+    parts = checkpointed(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()))
     sizes = parts.groupBy("_p").agg(F.count("*").alias("_s"), F.min(order).alias("_low"))
     offsets = sizes.select("_p", (F.sum("_s").over(Window.orderBy("_low")) - F.col("_s")).alias("_o"))
     nth = F.row_number().over(Window.partitionBy("_p").orderBy(order))

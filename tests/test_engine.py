@@ -62,6 +62,13 @@ def test_summary_and_outliers(spark):
     assert N.numeric_summary(table(spark, ["v"], [["x"]]), "v").first().n == 0
 
 
+def test_numbers_keep_every_row_of_wide_tables(spark):
+    text = F.concat(*(F.sha2((F.col("id") * 7 + i).cast("string"), 256) for i in range(4)))
+    df = spark.range(1, 40_001, numPartitions=3).select((F.col("id") * 3).alias("_rid"), text.alias("text"))  # its row ids alone take few partitions, whole rows more
+    got = T.numbered(df)
+    assert got.agg(F.count("*"), F.min("row"), F.max("row"), F.count_if(F.col("row") * 3 != F.col("_rid")), F.sum(F.length("text"))).first()[:] == (40_000, 1, 40_000, 0, 256 * 40_000)
+
+
 def test_breakdown_and_concentration(spark):
     df = table(spark, *SALES)
     got = N.breakdown(df, "Customer", "Amount")
