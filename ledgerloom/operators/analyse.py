@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import amounts as A
 from ..functions import parsing as P
+from ..session import checkpointed
 from .common import RID, Result, find, q, with_rid
 from .filters import _typed
 
@@ -42,10 +43,11 @@ def ranked(df: DataFrame, order: str) -> DataFrame:
     """df of one column ``order`` (no nulls) with ``pos`` from 0, without sorting everything in one task.
 
     Values are counted, so ties cost one row; counts are then range-partitioned and the offset of each partition
-    follows from the sums of those before it (one row a partition).
+    follows from the sums of those before it (one row a partition). The counts are kept: read again, the range
+    could be cut elsewhere.
     """
     counts = df.groupBy(order).agg(F.count("*").alias("times")).repartitionByRange(order).sortWithinPartitions(order)
-    counts = counts.withColumn("part", F.spark_partition_id())
+    counts = checkpointed(counts.withColumn("part", F.spark_partition_id()))
     sums = counts.groupBy("part").agg(F.sum("times").alias("s"), F.min(order).alias("low"))
     before = sums.select("part", (F.sum("s").over(Window.orderBy("low")) - F.col("s")).alias("before"))
     inside = F.sum("times").over(Window.partitionBy("part").orderBy(order)) - F.col("times")
@@ -76,12 +78,15 @@ def numeric_summary(df: DataFrame, value: str) -> DataFrame:
     return out.select("n", "missing", "skipped", "total", F.try_divide(F.col("total"), n).cast(P.AMOUNT).alias("mean"), "min", F.when(one, F.col("min")).otherwise(mid("l0", "l1")).alias("p25"), mid("m0", "m1").alias("median"), F.when(one, F.col("max")).otherwise(mid("h0", "h1")).alias("p75"), "max", "negatives")
 
 
-def outliers_iqr(df: DataFrame, value: str, k: float = 1.5, cap: int = 10) -> Result:
-    """Values beyond Tukey's fences, at most ``cap`` a side (lowest and highest first); the report has fences and exact counts."""
+def outliers_iqr(df: DataFrame, value: str, k: float = 1.5, cap: int = 10, binary: bool = False) -> Result:
+    """Values beyond Tukey's fences, at most ``cap`` a side (lowest and highest first); the report has fences and exact counts.
+    With ``binary``, fences are doubles as SQL computes them: one may lie a last bit off, beside the values equal to it."""
     name = find(df, value)
     s = numeric_summary(df, value)
-    iqr = F.col("p75") - F.col("p25")
-    fences = s.select("n", F.when(F.col("n") >= 4, F.col("p25") - iqr * k).cast(P.AMOUNT).alias("lower_fence"), F.when(F.col("n") >= 4, F.col("p75") + iqr * k).cast(P.AMOUNT).alias("upper_fence"))
+    kind = "double" if binary else P.AMOUNT
+    p25, p75 = (F.col(c).cast(kind) for c in ("p25", "p75"))
+    iqr = p75 - p25
+    fences = s.select("n", F.when(F.col("n") >= 4, p25 - iqr * k).cast(kind).alias("lower_fence"), F.when(F.col("n") >= 4, p75 + iqr * k).cast(kind).alias("upper_fence"))
     v = df.select(amount_of(df, name).alias("value")).where(F.col("value").isNotNull()).crossJoin(F.broadcast(fences))
     side = F.when(F.col("value") < F.col("lower_fence"), "low").when(F.col("value") > F.col("upper_fence"), "high")
     out = v.select("value", side.alias("side")).where(F.col("side").isNotNull())

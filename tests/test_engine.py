@@ -16,7 +16,7 @@ from ledgerloom.operators import reconcile as R
 from ledgerloom.operators import reshape as S
 from ledgerloom.operators import tidy as T
 from ledgerloom.operators.common import RID
-from ledgerloom.plans import runtime
+from ledgerloom.plans import catalogue, runtime
 from ledgerloom.sources import readers, sinks
 from ledgerloom.streaming.windows import windowed_breakdown
 
@@ -69,6 +69,18 @@ def test_numbers_keep_every_row_of_wide_tables(spark):
     assert got.agg(F.count("*"), F.min("row"), F.max("row"), F.count_if(F.col("row") * 3 != F.col("_rid")), F.sum(F.length("text"))).first()[:] == (40_000, 1, 40_000, 0, 256 * 40_000)
 
 
+def test_outliers_on_a_fence_count_as_in_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    values = [1.0] * 4 + [1.18] * 5 + [1.45]  # the upper fence is 1.45, but 1.4499999999999997 in doubles
+    spark.createDataFrame([(v,) for v in values], "value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = catalogue.QUERIES["outliers_event_value"](spark, str(tmp_path)).first()
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert [tuple(got)] == db.sql(catalogue.ORACLE["outliers_event_value"]).fetchall() and got.high_count == 1
+    exact = N.outliers_iqr(spark.createDataFrame([(v,) for v in values], "value double"), "value").coverage()
+    assert exact["upper_fence"] == Decimal("1.45") and exact["high_count"] == 0
+
+
 def test_breakdown_and_concentration(spark):
     df = table(spark, *SALES)
     got = N.breakdown(df, "Customer", "Amount")
