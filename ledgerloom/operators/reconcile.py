@@ -14,6 +14,7 @@ from functools import reduce
 from itertools import combinations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,8 +130,9 @@ def match_key(a: DataFrame, b: DataFrame, o: Options) -> DataFrame:
 
 
 def _islands(steps: DataFrame, tol: Column) -> DataFrame:
-    """amt, island of distinct amounts; neighbours within the tolerance share an island."""
-    ranged = steps.repartitionByRange("amt").sortWithinPartitions("amt").withColumn("p", F.spark_partition_id())
+    """amt, island of distinct amounts; neighbours within the tolerance share an island. The partitions are kept: read again,
+    the range could be cut elsewhere."""
+    ranged = _kept(steps.repartitionByRange("amt").sortWithinPartitions("amt").withColumn("p", F.spark_partition_id()))
     edge = ranged.groupBy("p").agg(F.min("amt").alias("low"), F.max("amt").alias("high"))
     before = edge.select("p", F.lag("high").over(Window.orderBy("low")).alias("before"))
     prior = F.coalesce(F.lag("amt").over(Window.partitionBy("p").orderBy("amt")), F.col("before"))
@@ -153,65 +155,94 @@ def match_amount_date(a: DataFrame, b: DataFrame, o: Options) -> DataFrame:
         live = live.join(islands, "amt")
     else:
         live = live.withColumn("island", F.xxhash64("amt"))
-    sizes = live.groupBy("island").agg(F.count_if(F.col("side") == "a").alias("na"), F.count_if(F.col("side") == "b").alias("nb"))
-    live = _kept(live.join(sizes, "island"))
-    lone = live.where("na = 0 OR nb = 0")
-    names = ["rid", "amt", "dt", "ccy", "key", "side"]
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        A_, B_ = (rows[rows.side == s].sort_values("rid") for s in "ab")
-        free = {int(r.rid): r for r in B_.itertuples()}
-        out = []
-
-        def put(bucket, x, y):
-            gap = abs((x.dt - y.dt).days) if x is not None and y is not None and x.dt is not None and y.dt is not None and not pd.isna(x.dt) and not pd.isna(y.dt) else None
-            get = lambda r, c: None if r is None or (c == "dt" and pd.isna(r.dt)) else getattr(r, c)
-            out.append((bucket, get(x, "rid"), get(y, "rid"), get(x, "amt"), get(y, "amt"), get(x, "dt"), get(y, "dt"), get(x, "ccy"), get(y, "ccy"), None if x is None or y is None else x.amt - y.amt, gap))
-
-        from decimal import Decimal
-
-        most = Decimal(str(o.tolerance))
-        for x in A_.itertuples():
-            best: tuple | None = None
-            for y in free.values():
-                if abs(x.amt - y.amt) > most:
-                    continue
-                known = isinstance(x.ccy, str) and isinstance(y.ccy, str)
-                if known and x.ccy != y.ccy:
-                    continue
-                gap = abs((x.dt - y.dt).days) if o.date else None
-                rank = 2 if o.strict_currency and not known else 1 if not o.date else 0 if o.date_window_days is None or gap <= o.date_window_days else 1
-                if best is None or (rank, gap or 0) < best[:2]:
-                    best = (rank, gap or 0, y)
-            if best is None:
-                put("a_only", x, None)
-            else:
-                del free[int(best[2].rid)]
-                put(("matched", "ambiguous", "currency_unknown")[best[0]], x, best[2])
-        for y in free.values():
-            put("b_only", None, y)
-        return pd.DataFrame(out, columns=_COLUMNS)
-
-    # islands of exactly one record a side need no ordered choice: they are settled by expressions
-    pair = live.where("na = 1 AND nb = 1")
-    one = pair.where("side = 'a'").select("island", *(F.col(c) for c in names[:5]))
-    two = pair.where("side = 'b'").select(F.col("island").alias("isl"), *(F.col(c) for c in names[:5]))
-    x = one.select("island", F.col("rid").alias("a"), F.col("amt").alias("a_amt"), F.col("dt").alias("a_dt"), F.col("ccy").alias("a_ccy"))
-    y = two.select("isl", F.col("rid").alias("b"), F.col("amt").alias("b_amt"), F.col("dt").alias("b_dt"), F.col("ccy").alias("b_ccy"))
-    met = x.join(y, x.island == y.isl)
+    # an island of at most one kind of records a side (amount, date and currency) needs no ordered choice: the nth of the one
+    # side meets the nth of the other, by expressions
+    whole = Window.partitionBy("island")
+    kinds = lambda s: [f(F.when(F.col("side") == s, F.struct("amt", "dt", "ccy"))).over(whole) for f in (F.min, F.max)]
+    plain = reduce(lambda x, y: x & y, (low.eqNullSafe(high) for low, high in (kinds("a"), kinds("b"))))
+    live = _kept(live.withColumn("plain", plain))
+    nth = F.row_number().over(Window.partitionBy("island", "side").orderBy("rid"))
+    of = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c)))
+    fields = [of(s, c).alias(n) for s in "ab" for c, n in (("rid", s), ("amt", f"{s}_amt"), ("dt", f"{s}_dt"), ("ccy", f"{s}_ccy"))]
+    met = live.where("plain").withColumn("nth", nth).groupBy("island", "nth").agg(*fields).drop("island", "nth")
     rel = A.currency_relation(F.col("a_ccy"), F.col("b_ccy"), o.strict_currency)
     fits = (F.abs(F.col("a_amt") - F.col("b_amt")) <= tol) & (rel != "mismatch")
     inside = F.lit(True) if o.date_window_days is None else F.abs(F.datediff("a_dt", "b_dt")) <= o.date_window_days
     kind = F.when(rel == "unknown", "currency_unknown").when(inside, "matched").otherwise("ambiguous") if o.date else F.when(rel == "unknown", "currency_unknown").otherwise("ambiguous")
-    settled = _bucketed(met.where(fits), kind)
-    apart = met.where(~fits)
+    ends = {s: F.struct(*(F.col(c) if c[0] == s else F.lit(None).cast(t).alias(c) for c, t in _FIELDS)) for s in "ab"}
+    both_ = F.struct(*(F.col(c) for c, _ in _FIELDS))
+    apart = F.filter(F.array(*(F.when(F.col(s).isNotNull(), F.struct(F.lit(f"{s}_only").alias("bucket"), ends[s].alias("r"))) for s in "ab")), lambda x: x.isNotNull())
+    settled = met.select(F.inline(F.when(F.col("a").isNotNull() & F.col("b").isNotNull() & fits, F.array(F.struct(kind.alias("bucket"), both_.alias("r")))).otherwise(apart))).select("bucket", "r.*")
     single = lambda d, s, other: _bucketed(_empty(d.select(*(c for c in d.columns if c.startswith(s) and (c == s or c[1] == "_"))), other), F.lit(f"{s}_only"))
-    split_a, split_b = single(apart.select("a", "a_amt", "a_dt", "a_ccy"), "a", "b"), single(apart.select("b", "b_amt", "b_dt", "b_ccy"), "b", "a")
-    crowd = live.where("na > 0 AND nb > 0 AND na + nb > 2").select("island", *names).groupBy("island").applyInPandas(choose, BUCKETS)
-    rest = lone.select(*names).unionByName(dead.select(*names))
-    rest_a = single(_side(rest.where("side = 'a'"), "a"), "a", "b")
-    rest_b = single(_side(rest.where("side = 'b'"), "b"), "b", "a")
-    return settled.unionByName(split_a).unionByName(split_b).unionByName(crowd).unionByName(rest_a).unionByName(rest_b)
+    crowd = live.where("NOT plain").select("island", "side", "rid", "amt", "dt", "ccy").repartition("island").sortWithinPartitions("island", "side", "rid").mapInPandas(_chooser(o), ", ".join(["bucket string", *(f"{c} {t}" for c, t in _FIELDS)]))
+    met = settled.unionByName(crowd)
+    rest_a = single(_side(dead.where("side = 'a'"), "a"), "a", "b")
+    rest_b = single(_side(dead.where("side = 'b'"), "b"), "b", "a")
+    return _bucketed(met, F.col("bucket")).unionByName(rest_a).unionByName(rest_b)
+
+
+_FIELDS = [("a", "long"), ("a_amt", P.AMOUNT), ("a_dt", "date"), ("a_ccy", "string"), ("b", "long"), ("b_amt", P.AMOUNT), ("b_dt", "date"), ("b_ccy", "string")]
+
+
+def _chooser(o: Options):
+    """The ordered choice inside islands, over records sorted by island, side and rid. B records of one amount, date and
+    currency wait in one queue; an A looks only at the queues of amounts within the tolerance."""
+    from collections import deque
+    from decimal import Decimal
+
+    most, window, dated, strict = Decimal(str(o.tolerance)), o.date_window_days, bool(o.date), o.strict_currency
+
+    def island(A_: list, B_: list, out: list) -> None:
+        at: dict = {}
+        for y in B_:
+            at.setdefault(y[1], {}).setdefault(y[2:], deque()).append(y)
+        amounts = sorted(at)
+        for x in A_:
+            rid, amt, dt, ccy = x
+            best = None
+            for v in amounts[bisect_left(amounts, amt - most) : bisect_right(amounts, amt + most)]:
+                for k, line in at[v].items():
+                    known = ccy is not None and k[1] is not None
+                    if known and ccy != k[1]:
+                        continue
+                    gap = abs((dt - k[0]).days) if dated else 0
+                    rank = 2 if strict and not known else 1 if not dated else 0 if window is None or gap <= window else 1
+                    if best is None or (rank, gap, line[0][0]) < best[:3]:
+                        best = (rank, gap, line[0][0], v, k)
+            if best is None:
+                out.append(("a_only", *x, None, None, None, None))
+                continue
+            line = at[best[3]][best[4]]
+            out.append((("matched", "ambiguous", "currency_unknown")[best[0]], *x, *line.popleft()))
+            if not line:
+                del at[best[3]][best[4]]
+                if not at[best[3]]:
+                    del at[best[3]]
+                    amounts.pop(bisect_left(amounts, best[3]))
+        out.extend(("b_only", None, None, None, None, *y) for lines in at.values() for line in lines.values() for y in line)
+
+    def choose(batches):
+        names = ["bucket", *(c for c, _ in _FIELDS)]
+        now, sides, out = None, ([], []), []
+
+        def frame():
+            done = pd.DataFrame(out, columns=names, dtype=object)
+            out.clear()
+            return done
+
+        for batch in batches:
+            null = lambda c: batch[c].astype(object).where(batch[c].notna(), None).tolist()  # noqa: E731, B023
+            for i, s, *x in zip(batch.island.tolist(), batch.side.tolist(), batch.rid.tolist(), batch.amt.tolist(), null("dt"), null("ccy"), strict=True):
+                if i != now:
+                    island(*sides, out)
+                    now, sides = i, ([], [])
+                sides[s == "b"].append(tuple(x))
+            if len(out) >= 10_000:
+                yield frame()
+        island(*sides, out)
+        yield frame()
+
+    return choose
 
 
 def refine(buckets: DataFrame, o: Options) -> DataFrame:
@@ -222,35 +253,77 @@ def refine(buckets: DataFrame, o: Options) -> DataFrame:
     a = buckets.where("bucket = 'a_only' AND a_amt IS NOT NULL").select("a", "a_amt", "a_dt", "a_ccy")
     b = buckets.where("bucket = 'b_only' AND b_amt IS NOT NULL").select("b", "b_amt", "b_dt", "b_ccy")
     compatible = A.currency_relation(F.col("a_ccy"), F.col("b_ccy")) != "mismatch"
-    gap = F.abs(F.datediff("a_dt", "b_dt"))
-    inside = F.lit(True) if o.date_window_days is None else F.coalesce(gap <= o.date_window_days, F.lit(True))
+    inside = F.lit(True) if o.date_window_days is None else F.coalesce(F.abs(F.datediff("a_dt", "b_dt")) <= o.date_window_days, F.lit(True))
     flips = _kept(_flips(a.where(F.abs("a_amt") > near), b, near, o))
     a2, b2 = a.join(flips, "a", "left_anti"), b.join(flips, "b", "left_anti")
-    ratios = F.explode(F.array(*(F.lit(1 + float(r)) for r in A.TAX_RATES)))
-    width = F.log(F.lit(1.002))
-    scale = lambda c: F.floor(F.log(F.abs(c).cast("double")) / width)
-    sides = []
-    for up, down, s, other in ((a2, b2, "a", "b"), (b2, a2, "b", "a")):  # one side is the net amount, the other the gross
-        net = up.where(F.col(f"{s}_amt") != 0).select("*", ratios.alias("r")).withColumn("cell", F.floor(F.log(F.abs(f"{s}_amt").cast("double") * F.col("r")) / width))
-        gross = down.where(F.col(f"{other}_amt") != 0).select("*", F.explode(F.array(*(scale(F.col(f"{other}_amt")) + i for i in (-1, 0, 1)))).alias("cell_b"))
-        met = net.join(gross, F.col("cell") == F.col("cell_b"))
-        sides.append(met.where((F.signum("a_amt") == F.signum("b_amt")) & (F.abs(F.col("a_amt") - F.col("b_amt")) > tol) & compatible & inside & A.tax_hint(F.col("a_amt"), F.col("b_amt")).isNotNull()).select("a", "b", F.coalesce(gap, F.lit(0)).alias("w")))
-    taxed = _greedy(sides[0].unionByName(sides[1]).distinct())
+    taxed = _taxed(a2, b2, tol, compatible, inside, o)
     pairs = _kept(flips.unionByName(taxed))
     full = pairs.join(a, "a").join(b, "b")
     diffs = _bucketed(full, F.lit("value_diff"))
     rest = buckets.join(pairs.select(F.col("a").alias("pa")), (F.col("bucket") == "a_only") & (F.col("a") == F.col("pa")), "left_anti").join(pairs.select(F.col("b").alias("pb")), (F.col("bucket") == "b_only") & (F.col("b") == F.col("pb")), "left_anti")
-    rest = _kept(rest)
     for s in "ab":
-        twins = rest.where(F.col("bucket").isin("matched", f"{s}_only") & F.col(f"{s}_amt").isNotNull())
-        order = Window.partitionBy(f"{s}_amt", f"{s}_dt").orderBy((F.col("bucket") != "matched").cast("int"), s)
-        again = twins.select("bucket", F.col(s).alias("t"), F.row_number().over(order).alias("nth")).where(f"bucket = '{s}_only' AND nth > 1").select("t")
-        hit = again.withColumn("hit", F.lit(True))
-        rest = rest.join(hit, (rest.bucket == f"{s}_only") & (rest[s] == hit.t), "left").withColumn("bucket", F.when(F.col("hit"), f"dup_{s}").otherwise(F.col("bucket"))).drop("t", "hit")
-        rest = _kept(rest)
+        twin = F.col("bucket").isin("matched", f"{s}_only") & F.col(f"{s}_amt").isNotNull()
+        alone = F.when(~twin, F.xxhash64("a", "b"))  # others take no part, and don't pile up under one key
+        order = Window.partitionBy(f"{s}_amt", f"{s}_dt", "twin", "alone").orderBy((F.col("bucket") != "matched").cast("int"), s)
+        rest = rest.withColumns({"twin": twin, "alone": alone}).withColumn("nth", F.row_number().over(order))
+        rest = rest.withColumn("bucket", F.when(F.col("twin") & (F.col("bucket") == f"{s}_only") & (F.col("nth") > 1), f"dup_{s}").otherwise(F.col("bucket"))).drop("twin", "alone", "nth")
     return rest.select(*_COLUMNS).unionByName(diffs)
 
 
+def _taxed(a: DataFrame, b: DataFrame, tol: Column, compatible: Column, inside: Column, o: Options) -> DataFrame:
+    """(a, b) whose amounts are apart by a usual tax rate: each A in order takes its nearest free B, of equally near ones the
+    first. Pairs are listed between kinds (records of one amount, date and currency), met by cells of amount and days."""
+    width, days = F.log(F.lit(1.002)), None if o.date_window_days is None else o.date_window_days + 1
+    kind = lambda d, s: _kept(d.where(F.col(f"{s}_amt") != 0).withColumn(f"k{s}", F.min(s).over(Window.partitionBy(f"{s}_amt", f"{s}_dt", f"{s}_ccy"))))
+    a, b = kind(a, "a"), kind(b, "b")
+    ratios = F.explode(F.array(*(F.lit(1 + float(r)) for r in A.TAX_RATES)))
+    scale = lambda c: F.floor(F.log(F.abs(c).cast("double")) / width)
+    day = lambda s: F.floor(F.datediff(f"{s}_dt", F.lit("1970-01-01").cast("date")) / days)
+    listed = []
+    one = {"a": a.where("a = ka").drop("a"), "b": b.where("b = kb").drop("b")}
+    for s, other in ("ab", "ba"):  # one side is the net amount, the other the gross
+        net = one[s].select("*", ratios.alias("r")).withColumn("cell", F.floor(F.log(F.abs(f"{s}_amt").cast("double") * F.col("r")) / width))
+        gross = one[other].select("*", F.explode(F.array(*(scale(F.col(f"{other}_amt")) + i for i in (-1, 0, 1)))).alias("cell"))
+        if days is None:
+            met = [net.join(gross, "cell")]
+        else:  # records without a date meet all others
+            dated = {t: F.col(f"{t}_dt").isNotNull() for t in "ab"}
+            near = gross.where(dated[other]).withColumn("day", F.explode(F.array(*(day(other) + i for i in (-1, 0, 1)))))
+            met = [net.where(dated[s]).withColumn("day", day(s)).join(near, ["cell", "day"]).drop("day"), net.where(~dated[s]).join(gross, "cell"), net.where(dated[s]).join(gross.where(~dated[other]), "cell")]
+        x, y = (F.abs(f"{t}_amt").cast("double") for t in (s, other))
+        off = F.abs((y - x) / x - (F.col("r") - 1))  # near the limit, decimals decide
+        apart = F.when(off < 0.00099, True).when(off > 0.00101, False).otherwise(A.tax_hint(F.col("a_amt"), F.col("b_amt")).isNotNull())
+        for m in met:
+            listed.append(m.where((F.signum("a_amt") == F.signum("b_amt")) & inside & apart & (F.abs(F.col("a_amt") - F.col("b_amt")) > tol) & compatible).select("ka", "kb", F.coalesce(F.abs(F.datediff("a_dt", "b_dt")), F.lit(0)).alias("w")))
+    edges = _kept(reduce(DataFrame.unionByName, listed).groupBy("ka").agg(F.sort_array(F.collect_list(F.struct("w", "kb"))).alias("to")))
+    lines = b.join(edges.select(F.explode("to.kb").alias("kb")).distinct(), "kb", "left_semi").select(F.lit(0).alias("side"), F.col("b").alias("rid"), "kb", F.lit(None).cast("array<int>").alias("w"), F.lit(None).cast("array<long>").alias("to"))
+    asks = a.join(edges, "ka").select(F.lit(1).alias("side"), F.col("a").alias("rid"), F.lit(None).cast("long").alias("kb"), F.col("to.w").alias("w"), F.col("to.kb").alias("to"))
+
+    def choose(batches):
+        from collections import deque
+
+        queues: dict = {}
+        for batch in batches:
+            got = []
+            for side, rid, kb, w, to in zip(*(batch.column(c).to_pylist() for c in ("side", "rid", "kb", "w", "to")), strict=True):
+                if side == 0:
+                    queues.setdefault(kb, deque()).append(rid)
+                    continue
+                best = None
+                for gap, k in zip(w, to, strict=True):
+                    if best is not None and gap > best[0]:
+                        break
+                    if k in queues and (best is None or queues[k][0] < best[1]):
+                        best = (gap, queues[k][0], k)
+                if best is not None:
+                    got.append((rid, queues[best[2]].popleft()))
+                    if not queues[best[2]]:
+                        del queues[best[2]]
+            yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return lines.unionByName(asks).repartition(1).sortWithinPartitions("side", "rid").mapInArrow(choose, "a long, b long")
+
+
 def _flips(a: DataFrame, b: DataFrame, near: Column, o: Options) -> DataFrame:
     """(a, b) of opposite amounts: each A in order takes the first free B that fits. B records of one amount, date and currency
     wait in one queue, so an island of sizes costs its A records times its queues, and no pairs are listed."""

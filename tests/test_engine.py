@@ -1,11 +1,13 @@
 import datetime as dt
 import json
 import random
+import time
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import amounts as A
 from ledgerloom.operators import analyse as N
 from ledgerloom.operators import convert as C
 from ledgerloom.operators import extract as E
@@ -270,6 +272,35 @@ def test_sign_flips_of_large_groups_pair_in_order(spark):
     assert got == want and {(k, k) for k in range(450)} <= got
 
 
+def test_large_equal_groups_match_in_order_and_in_time(spark):
+    n = 20_000  # looking through all free records for each would take hundreds of millions of steps
+    side = lambda odd: spark.range(n).selectExpr(f"id AS {RID}", "'100.00' AS amount", "'2026-01-03' AS date").union(spark.sql(f"SELECT {n}L, '{odd}', '2026-01-03'"))
+    start = time.monotonic()
+    o = R.Options(mode="amount_date", date="date")
+    got = R.match_amount_date(R.items(side("100.01"), o), R.items(side("100.02"), o), o).collect()
+    assert {(r.bucket, r.a, r.b) for r in got} == {("matched", k, k) for k in range(n + 1)} and time.monotonic() - start < 90
+
+
+def test_tax_pairs_are_the_serial_choice(spark):
+    rng = random.Random(7)
+    day = lambda: rng.choice([None, *((dt.date(2026, 1, 1) + dt.timedelta(days=k)) for k in range(0, 24, 2))])
+    sides = [[(Decimal(rng.choice(c)), day()) for _ in range(90)] for c in (("100", "200", "-100", "107"), ("105.05", "107.20", "214", "-108", "115.101", "100"))]
+    a, b = (spark.createDataFrame([(i, v, d, None) for i, (v, d) in enumerate(x)], f"{s} long, {s}_amt decimal(28,6), {s}_dt date, {s}_ccy string") for s, x in zip("ab", sides, strict=True))
+    inside = F.coalesce(F.abs(F.datediff("a_dt", "b_dt")) <= 5, F.lit(True))
+    got = R._taxed(a, b, F.lit("0.01").cast("decimal(28,6)"), F.lit(True), inside, R.Options(mode="amount_date", date="date"))
+    free, want = dict(enumerate(sides[1])), set()
+    for i, (v, d) in enumerate(sides[0]):
+        fits = []
+        for j, (w, e) in free.items():
+            gap, low, high = abs((d - e).days) if d and e else 0, *sorted((abs(v), abs(w)))
+            if (v > 0) == (w > 0) and gap <= 5 and any(abs((high - low) / low - Decimal(r)) <= Decimal("0.001") for r in A.TAX_RATES):
+                fits.append((gap, j))
+        if fits:
+            want.add((i, min(fits)[1]))
+            del free[min(fits)[1]]
+    assert {(r.a, r.b) for r in got.collect()} == want and len(want) > 20
+
+
 def test_greedy_rounds_leave_no_edge(spark, monkeypatch):
     monkeypatch.setattr(R, "ONE_TASK_EDGES", 0)
     edges = spark.range(52).selectExpr("id AS a").crossJoin(spark.range(52).selectExpr("id AS b")).selectExpr("a", "b", "0 AS w")
